@@ -97,3 +97,211 @@ QUERIES = {
     "latest_height": q_latest_height,
     "max_height": q_max_height,
 }
+
+
+# --- retention -------------------------------------------------------------
+
+def _retention_store(spark: SparkSession, sf_dir: str) -> str:
+    import uuid
+
+    from chainsift.operators.store import append_events
+    from chainsift.session import sub_dir
+
+    path = sub_dir(spark, "retention", uuid.uuid4().hex)
+    append_events(fixtures.stored_events(spark, sf_dir), path)
+    return path
+
+
+def q_retained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows left after an in-place cleanup at AS_OF (7 days kept)."""
+    from chainsift.operators.store import apply_retention, read_store
+
+    path = _retention_store(spark, sf_dir)
+    apply_retention(spark, path, C.AS_OF)
+    st = read_store(spark, path)
+    return st.select("user", "block", F.try_variant_get("data", "$.oid", "bigint").alias("oid"))
+
+
+def q_cleanup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: rows a cleanup at AS_OF removes."""
+    from chainsift.operators.store import expired_count
+
+    return expired_count(fixtures.stored_events(spark, sf_dir), C.AS_OF)
+
+
+# --- whitelist -------------------------------------------------------------
+
+WL_LO, WL_HI = 5.0, 10.0
+WL_CURSOR = (7.0, "0x" + format(700, "x").rjust(40, "0"))
+WL_PAGE_SIZE = 50
+WL_DELTA_CURSOR, WL_DELTA_UNTIL = 5.0, 12.0
+
+
+def q_whitelist_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members with 5 < score <= 10."""
+    from chainsift.operators.membership import whitelist_range
+
+    return whitelist_range(fixtures.whitelist(spark, sf_dir), WL_LO, WL_HI, lo_open=True)
+
+
+def q_whitelist_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 L4: the page after cursor (score 7, address of 700), 50 members."""
+    from chainsift.operators.membership import whitelist_page
+
+    return whitelist_page(fixtures.whitelist(spark, sf_dir), WL_CURSOR, WL_PAGE_SIZE)
+
+
+def q_whitelist_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: members in (5, 12] and the cursor after loading them."""
+    from chainsift.operators.membership import whitelist_delta
+
+    d, nxt = whitelist_delta(fixtures.whitelist(spark, sf_dir), WL_DELTA_CURSOR, WL_DELTA_UNTIL)
+    return d.withColumn("next_cursor", F.lit(nxt))
+
+
+def _wl_delta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chainsift.functions import address
+    from chainsift.sources.tables import table
+
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return c.where(F.col("c_custkey") % 7 == 0).select(
+        address("c_custkey").alias("address"), (F.col("c_nationkey") + 100).cast("double").alias("score")
+    )
+
+
+def q_whitelist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BUILDING members merged with a delta (every 7th customer, score + 100)."""
+    from chainsift.operators.membership import whitelist_merge
+
+    return whitelist_merge(fixtures.whitelist(spark, sf_dir), _wl_delta_table(spark, sf_dir))
+
+
+def q_whitelist_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5 in bulk: score of every member seen in valid fills."""
+    from chainsift.operators.membership import member_scores
+
+    return member_scores(C.fill_events(spark, sf_dir), fixtures.whitelist(spark, sf_dir))
+
+
+# --- Bloom -----------------------------------------------------------------
+
+def q_bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: bit words of the whitelist at the service's sizing (10^8 items, 1 %)."""
+    from chainsift.operators.bloom import bloom_build, bloom_params
+
+    m, k = bloom_params()
+    return bloom_build(fixtures.whitelist(spark, sf_dir), m, k)
+
+
+def q_bloom_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid fills whose user passes the Bloom probe (superset of whitelisted_fills)."""
+    from chainsift.operators.bloom import bloom_build, bloom_params, bloom_prefilter
+
+    m, k = bloom_params()
+    bits = bloom_build(fixtures.whitelist(spark, sf_dir), m, k)
+    return C.fill_columns(bloom_prefilter(C.fill_events(spark, sf_dir), bits, m, k))
+
+
+# --- subscriptions ---------------------------------------------------------
+
+def q_active_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last-action-wins subscription state."""
+    from chainsift.operators.subscriptions import active_subscriptions
+
+    return active_subscriptions(fixtures.subscription_log(spark, sf_dir))
+
+
+def q_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whitelisted event for every client subscribed to its type."""
+    from chainsift.operators.subscriptions import active_subscriptions, fan_out
+
+    act = active_subscriptions(fixtures.subscription_log(spark, sf_dir))
+    return fan_out(C.all_events(spark, sf_dir), act).select(
+        "client_id", "user", "event", "block", "event_pos", "user_pos"
+    )
+
+
+def q_temporal_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitelisted fills delivered to clients subscribed at the fill's time."""
+    from chainsift.operators.subscriptions import temporal_delivery
+
+    ev = C.whitelisted_fills(spark, sf_dir).withColumn(
+        "ts", F.timestamp_millis(F.try_variant_get("data", "$.time", "bigint"))
+    )
+    out = temporal_delivery(ev, fixtures.subscription_log(spark, sf_dir), "ts")
+    return out.select("client_id", "user", "event", "block", "event_pos")
+
+
+# --- paths and positions ---------------------------------------------------
+
+def q_hour_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour file decoded to (type, date, hour) and rebuilt from its hour."""
+    from chainsift.functions import decode_path, hour_path
+
+    root = fixtures.fixture_root(spark, sf_dir)
+    from chainsift.sources.blocklog import read_block_log
+
+    files = read_block_log(spark, root).select("file").distinct()
+    d = decode_path("file")
+    return files.select(
+        "file", d["type"].alias("log_type"), d["date"].alias("date"), d["hour"].alias("hour"),
+        hour_path(d["type"], d["hour_ts"]).alias("rebuilt"),
+    )
+
+
+def q_files_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hour path from the first fill hour to the last, and whether it exists."""
+    from chainsift.functions import decode_path
+    from chainsift.operators.positions import files_between
+
+    existing = C.lines(spark, sf_dir, FILL_TYPE).select("file").distinct()
+    bounds = existing.select(decode_path("file")["hour_ts"].alias("h")).agg(F.min("h").alias("a"), F.max("h").alias("b")).first()
+    paths = files_between(spark, FILL_TYPE, bounds["a"], bounds["b"])
+    ex = existing.select(F.col("file").alias("_f"), F.lit(True).alias("_e"))
+    return paths.join(ex, paths["file"] == ex["_f"], "left").select(
+        "file", F.coalesce(F.col("_e"), F.lit(False)).alias("exists")
+    )
+
+
+def q_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 K5: per fill file, bytes consumed after reading it whole."""
+    from chainsift.operators.positions import positions
+
+    return positions(C.lines(spark, sf_dir, FILL_TYPE))
+
+
+def q_resume_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill events read from a saved position (middle block of the log) onward."""
+    return C.fill_columns(C.resumed_fills(spark, sf_dir))
+
+
+def q_dedupe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay from the saved position appended twice, removed by the lineage key."""
+    from chainsift.operators.membership import whitelisted
+    from chainsift.operators.store import dedupe
+
+    wl = fixtures.whitelist(spark, sf_dir)
+    once = C.whitelisted_fills(spark, sf_dir)
+    replay = whitelisted(C.resumed_fills(spark, sf_dir), wl)
+    return C.fill_columns(dedupe(once.unionByName(replay)))
+
+
+QUERIES.update({
+    "retained_events": q_retained_events,
+    "cleanup_count": q_cleanup_count,
+    "whitelist_range": q_whitelist_range,
+    "whitelist_page": q_whitelist_page,
+    "whitelist_delta": q_whitelist_delta,
+    "whitelist_merge": q_whitelist_merge,
+    "whitelist_score": q_whitelist_score,
+    "bloom_build": q_bloom_build,
+    "bloom_prefilter": q_bloom_prefilter,
+    "active_subscriptions": q_active_subscriptions,
+    "fan_out": q_fan_out,
+    "temporal_delivery": q_temporal_delivery,
+    "hour_paths": q_hour_paths,
+    "files_between": q_files_between,
+    "positions": q_positions,
+    "resume_from": q_resume_from,
+    "dedupe_replay": q_dedupe_replay,
+})

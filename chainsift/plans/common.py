@@ -98,3 +98,22 @@ def misc_columns(df: DataFrame) -> DataFrame:
         F.try_variant_get(d, "$.LedgerUpdate.delta.type", "string").alias("delta_type"),
         F.try_variant_get(d, "$.LedgerUpdate.delta.usdc", "string").alias("usdc"),
     )
+
+
+def resume_position(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """A saved position: start of the first valid fill line at or after the middle block."""
+    from chainsift.sources.tables import table
+
+    top = table(spark, sf_dir, "events").agg(F.max("event_id").alias("m")).first()["m"]
+    target = fixtures.BASE_BLOCK + (top // 4) // 2
+    d = decode_fill_lines(lines(spark, sf_dir, FILL_TYPE))
+    r = d.where(F.col("reason").isNull() & (F.col("block") >= target)).orderBy("block", "offset").select("file", "offset").first()
+    return r["file"], int(r["offset"])
+
+
+def resumed_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill events read through the source from the saved position (catch-up)."""
+    f, pos = resume_position(spark, sf_dir)
+    root = fixtures.fixture_root(spark, sf_dir)
+    src = read_block_log(spark, root, [FILL_TYPE], startingPositions={f: pos})
+    return explode_fills(parse_fills(src))

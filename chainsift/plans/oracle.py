@@ -104,3 +104,126 @@ SQL = {
     "max_height": f"""WITH {BAD_BLOCKS}
       SELECT coalesce(max(block), 0) AS height FROM bb WHERE NOT (block % 97 = 0 OR block % 89 = 0)""",
 }
+
+WL_ADDR = ADDR.format(n="c_custkey")
+SUBLOG = """
+sublog AS (
+  SELECT user_id AS client_id,
+         CASE event_type WHEN 'signup' THEN 'subscribe' WHEN 'error' THEN 'unsubscribe' ELSE event_type END AS action,
+         CASE event_id % 3 WHEN 0 THEN 'fill' WHEN 1 THEN 'misc' ELSE 'bogus' END AS event,
+         epoch_us(ts) // 1000 AS ts_ms, event_id AS seq
+  FROM events
+),
+active AS (
+  SELECT client_id, event FROM (
+    SELECT client_id, event, arg_max(action, (ts_ms, seq)) AS last_action FROM sublog
+    WHERE action IN ('subscribe', 'unsubscribe') AND event IN ('fill', 'misc')
+    GROUP BY client_id, event
+  ) WHERE last_action = 'subscribe'
+)
+"""
+
+MID_BLOCK = """
+mid AS (
+  SELECT min(block) AS b0 FROM (SELECT DISTINCT 696372899 + event_id // 4 AS block FROM events)
+  WHERE NOT (block % 97 = 0 OR block % 89 = 0)
+    AND block >= 696372899 + ((SELECT max(event_id) FROM events) // 4) // 2
+)
+"""
+
+LINE_TEXT = f"""
+lt_e AS (
+  SELECT e.*, 696372899 + event_id // 4 AS block,
+         min(ts) OVER (PARTITION BY event_id // 4) AS block_time,
+         max(ts) OVER (PARTITION BY event_id // 4) AS local_time,
+         {ADDR.format(n='user_id')} AS u,
+         '{{"coin":"' || CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'purchase' THEN 'SUI' ELSE 'XRP' END
+         || '","px":"' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR)
+         || '","sz":"' || CAST(event_id % 1000 + 1 AS VARCHAR)
+         || '","side":"' || CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'A' END
+         || '","time":' || CAST(epoch_us(ts) // 1000 AS VARCHAR)
+         || ',"oid":' || CAST(event_id AS VARCHAR)
+         || ',"crossed":' || CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END
+         || ',"tid":' || CAST(320000000000000001 + event_id AS VARCHAR)
+         || ',"twapId":null}}' AS payload
+  FROM events e
+),
+lt_el AS (
+  SELECT block, block_time, local_time, event_id,
+         CASE WHEN event_id % 53 = 0 THEN '[7,' || payload || ']'
+              WHEN event_id % 59 = 0 THEN '["' || u || '"]'
+              WHEN event_id % 61 = 0 THEN '["' || u || '",' || payload || ',9]'
+              WHEN event_id % 67 = 0 THEN '["' || u || '",[1]]'
+              ELSE '["' || u || '",' || payload || ']' END AS elem
+  FROM lt_e
+),
+lt_b AS (
+  SELECT block, min(block_time) AS block_time, max(local_time) AS local_time,
+         string_agg(elem, ',' ORDER BY event_id) AS evs
+  FROM lt_el GROUP BY block
+),
+lt AS (
+  SELECT {FILL_FILE} AS file, block,
+         CASE WHEN block % 97 = 0 THEN 'junk {{'
+              ELSE '{{"local_time":"' || strftime(local_time, '%Y-%m-%dT%H:%M:%S.%f') || '000Z'
+                   || '","block_time":"' || strftime(block_time, '%Y-%m-%dT%H:%M:%S.%f') || '000Z'
+                   || '","block_number":' || CASE WHEN block % 89 = 0 THEN '"x"' ELSE CAST(block AS VARCHAR) END
+                   || ',"events":[' || evs || ']}}' END AS value
+  FROM lt_b
+)
+"""
+
+SQL.update({
+    "retained_events": f"""SELECT {ADDR.format(n='user_id')} AS "user", 696372899 + event_id // 4 AS block, event_id AS oid
+      FROM events WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'""",
+    "cleanup_count": "SELECT count(*) AS removed FROM events WHERE ts < TIMESTAMP '2024-01-24 00:00:00'",
+    "whitelist_range": f"""SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer
+      WHERE c_mktsegment = 'BUILDING' AND c_nationkey > 5 AND c_nationkey <= 10""",
+    "whitelist_page": f"""SELECT address, score FROM (
+        SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer WHERE c_mktsegment = 'BUILDING')
+      WHERE score > 7 OR (score = 7 AND address > '0x' || lpad(lower(to_hex(700)), 40, '0'))
+      ORDER BY score, address LIMIT 50""",
+    "whitelist_delta": f"""WITH d AS (
+        SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer
+        WHERE c_mktsegment = 'BUILDING' AND c_nationkey > 5 AND c_nationkey <= 12)
+      SELECT address, score, coalesce((SELECT max(score) FROM d), 5.0) AS next_cursor FROM d""",
+    "whitelist_merge": f"""WITH o AS (
+        SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer WHERE c_mktsegment = 'BUILDING'),
+      d AS (SELECT {WL_ADDR} AS address, CAST(c_nationkey + 100 AS DOUBLE) AS score FROM customer WHERE c_custkey % 7 = 0)
+      SELECT * FROM d UNION ALL SELECT * FROM o WHERE address NOT IN (SELECT address FROM d)""",
+    "whitelist_score": f"""WITH {FILLS_CTE}
+      SELECT DISTINCT {ADDR.format(n='user_id')} AS address, CAST(c.c_nationkey AS DOUBLE) AS score
+      FROM vf JOIN customer c ON c.c_custkey = vf.user_id AND c.c_mktsegment = 'BUILDING'""",
+    "active_subscriptions": f"WITH {SUBLOG} SELECT client_id, event FROM active",
+    "fan_out": f"""WITH {ALL_EVENTS_CTE.rstrip()}, {SUBLOG}
+      SELECT a.client_id, ae."user", ae.event, ae.block, ae.event_pos, ae.user_pos
+      FROM ae JOIN active a ON a.event = ae.event""",
+    "temporal_delivery": f"""WITH {FILLS_CTE.rstrip()}, {SUBLOG.rstrip()},
+      iv AS (
+        SELECT client_id, event, action, ts_ms AS vf,
+               lead(ts_ms) OVER (PARTITION BY client_id, event ORDER BY ts_ms, seq) AS vt
+        FROM sublog WHERE action IN ('subscribe', 'unsubscribe') AND event IN ('fill', 'misc')
+      ),
+      w AS (SELECT vf.*, epoch_us(ts) // 1000 AS t_ms FROM vf WHERE user_id IN (SELECT c_custkey FROM wl))
+      SELECT iv.client_id, {ADDR.format(n='w.user_id')} AS "user", 'fill' AS event, w.block, w.event_pos
+      FROM w JOIN iv ON iv.event = 'fill' AND iv.action = 'subscribe'
+       AND w.t_ms >= iv.vf AND (iv.vt IS NULL OR w.t_ms < iv.vt)""",
+    "hour_paths": f"""WITH {BAD_BLOCKS.rstrip()},
+      mb AS (SELECT 696372899 + o_orderkey // 4 AS block, min(o_orderdate) AS block_time FROM orders GROUP BY 1),
+      p AS (
+        SELECT DISTINCT {FILL_FILE} AS file, 'node_fills_by_block' AS log_type, strftime(block_time, '%Y%m%d') AS date,
+               CAST(hour(block_time) AS INTEGER) AS hour FROM bb
+        UNION
+        SELECT DISTINCT {MISC_FILE}, 'misc_events_by_block', strftime(block_time, '%Y%m%d'),
+               CAST(hour(block_time) AS INTEGER) FROM mb
+      )
+      SELECT file, log_type, date, hour, file AS rebuilt FROM p""",
+    "files_between": f"""WITH {BAD_BLOCKS.rstrip()},
+      f AS (SELECT DISTINCT {FILL_FILE} AS file FROM bb),
+      h AS (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(block_time) FROM bb)),
+                                          date_trunc('hour', (SELECT max(block_time) FROM bb)), INTERVAL 1 HOUR)) AS block_time)
+      SELECT {FILL_FILE} AS file, {FILL_FILE} IN (SELECT file FROM f) AS exists FROM h""",
+    "positions": f"""WITH {LINE_TEXT} SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS position FROM lt GROUP BY file""",
+    "resume_from": f"""WITH {FILLS_CTE.rstrip()}, {MID_BLOCK} SELECT {FILL_SELECT} FROM vf WHERE block >= (SELECT b0 FROM mid)""",
+    "dedupe_replay": f"WITH {FILLS_CTE} SELECT {FILL_SELECT} FROM vf WHERE user_id IN (SELECT c_custkey FROM wl)",
+})

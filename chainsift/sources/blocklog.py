@@ -83,12 +83,13 @@ class _Lister:
     """Driver-side listing of hour files and their consumable sizes."""
 
     def __init__(self, options):
+        options = _lower(options)
         self.root = options.get("path") or options.get("root")
         if not self.root:
             raise ValueError("blocklog: option 'path' is required")
         self.types = [t for t in (options.get("types") or ",".join(LOG_TYPES)).split(",") if t]
-        self.split = int(options.get("splitBytes", 64 << 20))
-        self.grace = _dt.timedelta(hours=float(options.get("graceHours", 1)))
+        self.split = int(options.get("splitbytes", 64 << 20))
+        self.grace = _dt.timedelta(hours=float(options.get("gracehours", 1)))
         now = options.get("now")
         self.fixed_now = _dt.datetime.fromisoformat(now.replace("Z", "+00:00")) if now else None
         if self.fixed_now is not None and self.fixed_now.tzinfo is None:
@@ -220,8 +221,13 @@ def _read_ranges(root: str, ranges):
                 pos, carry = p, tail
 
 
+def _lower(options) -> dict:
+    """Option names are case-insensitive; keep one lower-case spelling."""
+    return {str(k).lower(): v for k, v in dict(options).items()}
+
+
 def _positions(options) -> dict:
-    raw = options.get("startingPositions")
+    raw = _lower(options).get("startingpositions")
     return json.loads(raw) if raw else {}
 
 
@@ -243,7 +249,7 @@ def _start_spans(lister: _Lister, files, starts: dict):
 
 class BlockLogReader(DataSourceReader):
     def __init__(self, options):
-        self.options = dict(options)
+        self.options = _lower(options)
 
     def partitions(self):
         lister = _Lister(self.options)
@@ -267,9 +273,9 @@ class BlockLogStreamReader(DataSourceStreamReader):
     """
 
     def __init__(self, options):
-        self.options = dict(options)
+        self.options = _lower(options)
         self.lister = _Lister(self.options)
-        self.max_bytes = int(self.options.get("maxBytesPerTrigger", 0)) or None
+        self.max_bytes = int(self.options.get("maxbytespertrigger", 0)) or None
         self._latest = None
 
     @staticmethod

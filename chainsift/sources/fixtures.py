@@ -220,5 +220,24 @@ def subscription_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.when(eid % 3 == 0, F.lit("fill")).when(eid % 3 == 1, F.lit("misc")).otherwise(F.lit("bogus"))
     return e.select(
         F.col("user_id").alias("client_id"), action.alias("action"), event.alias("event"),
-        F.col("ts").cast("timestamp").alias("ts"), eid.alias("seq"),
+        # Millisecond resolution, the resolution of event times in the log payload.
+        F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"), eid.alias("seq"),
     )
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store rows for retention tests: one fill per `events` row, created_at = ts."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    eid = F.col("event_id")
+    block = (F.lit(BASE_BLOCK) + F.floor(eid / 4)).cast("bigint")
+    return e.select(
+        address("user_id").alias("user"),
+        F.lit("fill").alias("event"),
+        block.alias("block"),
+        F.to_variant_object(F.struct(eid.alias("oid"))).alias("data"),
+        hour_path(FILL_TYPE, "ts").alias("file"),
+        block.alias("offset"),
+        (eid % 4).cast("int").alias("event_pos"),
+        F.lit(0).alias("user_pos"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    ).withColumn("ingest_date", F.to_date("created_at"))
