@@ -305,3 +305,8 @@ QUERIES.update({
     "resume_from": q_resume_from,
     "dedupe_replay": q_dedupe_replay,
 })
+
+
+from chainsift.plans.streams import STREAM_QUERIES  # noqa: E402
+
+QUERIES.update(STREAM_QUERIES)

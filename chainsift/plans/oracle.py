@@ -227,3 +227,35 @@ SQL.update({
     "resume_from": f"""WITH {FILLS_CTE.rstrip()}, {MID_BLOCK} SELECT {FILL_SELECT} FROM vf WHERE block >= (SELECT b0 FROM mid)""",
     "dedupe_replay": f"WITH {FILLS_CTE} SELECT {FILL_SELECT} FROM vf WHERE user_id IN (SELECT c_custkey FROM wl)",
 })
+
+LIVE_FROM = """
+live AS (
+  SELECT date_trunc('hour', min(ts)) + INTERVAL 12 HOUR AS h FROM events
+  WHERE 696372899 + event_id // 4 = (SELECT b0 FROM mid)
+)
+"""
+
+SQL.update({
+    "stream_fills": SQL["all_events"],
+    "stream_delivery": SQL["fan_out"],
+    "stream_catchup_delivery": f"""WITH {ALL_EVENTS_CTE.rstrip()}, {SUBLOG.rstrip()}, {MID_BLOCK.rstrip()}, {LIVE_FROM.rstrip()},
+      bt AS (SELECT 696372899 + event_id // 4 AS block, min(ts) AS block_time FROM events GROUP BY 1)
+      SELECT a.client_id, ae."user", ae.event, ae.block, ae.event_pos, ae.user_pos
+      FROM ae JOIN active a ON a.event = ae.event JOIN bt ON bt.block = ae.block
+      WHERE ae.event = 'fill' AND ae.block >= (SELECT b0 FROM mid)
+        AND date_trunc('hour', bt.block_time) >= (SELECT h FROM live)""",
+    "stream_whitelist_refresh": f"""WITH {ALL_EVENTS_CTE.rstrip()}, {MID_BLOCK.rstrip()},
+      midh AS (SELECT date_trunc('hour', min(ts)) AS h FROM events WHERE 696372899 + event_id // 4 = (SELECT b0 FROM mid)),
+      bt AS (SELECT 696372899 + event_id // 4 AS block, min(ts) AS block_time FROM events GROUP BY 1),
+      v1 AS (SELECT {WL_ADDR} AS address FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <= 12)
+      SELECT ae.* FROM ae JOIN bt ON bt.block = ae.block
+      WHERE ae.event = 'fill'
+        AND (date_trunc('hour', bt.block_time) >= (SELECT h FROM midh) OR ae."user" IN (SELECT address FROM v1))""",
+    "stream_hourly_counts": f"""WITH {ALL_EVENTS_CTE.rstrip()},
+      bt AS (SELECT 696372899 + event_id // 4 AS block, min(ts) AS block_time FROM events GROUP BY 1),
+      mt AS (SELECT 696372899 + o_orderkey // 4 AS block, min(o_orderdate) AS block_time FROM orders GROUP BY 1)
+      SELECT ae.event, strftime(CASE WHEN ae.event = 'fill' THEN bt.block_time ELSE mt.block_time END, '%Y%m%d%H') AS hour,
+             count(*) AS n
+      FROM ae LEFT JOIN bt ON bt.block = ae.block LEFT JOIN mt ON mt.block = ae.block
+      GROUP BY 1, 2""",
+})

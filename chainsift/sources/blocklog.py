@@ -266,10 +266,12 @@ class BlockLogReader(DataSourceReader):
 
 
 class BlockLogStreamReader(DataSourceStreamReader):
-    """Offset: {"files": {rel: consumed bytes}, "floor": {type: 'YYYYmmddHH'}}.
+    """Offset: {"floor": {type: 'YYYYmmddHH'}, "files": {rel: bytes consumed}}.
 
-    ``floor`` is the oldest hour still tracked per type; files of older hours are
-    fully consumed and closed, so they drop out of the offset and of listing.
+    Every file of a type whose hour is before ``floor[type]`` is closed and
+    fully consumed as of that offset; files at or after the floor are consumed
+    up to ``files[rel]`` (0 when absent). Old hours therefore leave the offset,
+    which stays small, and listing starts at the floor's date folder.
     """
 
     def __init__(self, options):
@@ -289,66 +291,62 @@ class BlockLogStreamReader(DataSourceStreamReader):
             hk = _hour_key(rel)
             if hk is not None:
                 floor[hk[0]] = hk[1].strftime("%Y%m%d%H")
-        return {"files": {k: int(v) for k, v in starts.items()}, "floor": floor}
+        return {"floor": floor, "files": {k: int(v) for k, v in starts.items()}}
 
     def latestOffset(self):
+        # The budget applies only once the previous end (= next start) is known;
+        # right after a (re)start everything available is taken, so the new end
+        # can never fall behind a committed offset.
+        known = self._latest is not None
         prev = self._latest or self.initialOffset()
-        files = dict(prev["files"])
-        floors = self._floors(prev)
-        budget = self.max_bytes
-        listing = self.lister.list(floors)
+        pfloor = self._floors(prev)
+        budget = self.max_bytes if known else None
+        listing = self.lister.list(pfloor)
+        pos = {}
         for rel, hour_ts, size in listing:
-            done = files.get(rel, 0)
-            if size <= done:
-                continue
-            limit = self.lister.consumable(rel, size, hour_ts)
-            if limit <= done:
-                continue
-            if budget is not None and budget <= 0:
-                break
-            files[rel] = limit
-            if budget is not None:
-                budget -= limit - done
-        # Advance each type's floor past hours that are closed and fully consumed.
-        new_floor = dict(prev.get("floor", {}))
+            done = int(prev["files"].get(rel, 0))
+            limit = self.lister.consumable(rel, size, hour_ts) if size > done else done
+            if limit > done and (budget is None or budget > 0):
+                pos[rel] = limit
+                if budget is not None:
+                    budget -= limit - done
+            else:
+                pos[rel] = done
+        floor = {t: v for t, v in prev.get("floor", {}).items()}
         by_type = {}
         for rel, hour_ts, size in listing:
             by_type.setdefault(rel.split("/")[0], []).append((rel, hour_ts, size))
         for t, lst in by_type.items():
-            floor = None
+            f = None
             for rel, hour_ts, size in lst:
-                if self.lister.closed(hour_ts) and files.get(rel, 0) >= size:
-                    continue
-                floor = hour_ts
-                break
-            if floor is None:
-                floor = lst[-1][1]
-            new_floor[t] = floor.strftime("%Y%m%d%H")
-        floors = {t: _dt.datetime.strptime(v, "%Y%m%d%H").replace(tzinfo=_dt.timezone.utc) for t, v in new_floor.items()}
-        kept = {}
-        for rel, pos in files.items():
-            hk = _hour_key(rel)
-            if hk is None or hk[0] not in floors or hk[1] >= floors[hk[0]]:
-                kept[rel] = pos
-        self._latest = {"files": kept, "floor": new_floor}
+                if self.lister.closed(hour_ts) and pos[rel] >= size:
+                    f = hour_ts + _dt.timedelta(hours=1)
+                else:
+                    break
+            if f is not None:
+                floor[t] = f.strftime("%Y%m%d%H")
+        floors = self._floors({"floor": floor})
+        files = {}
+        for rel, hour_ts, size in listing:
+            t = rel.split("/")[0]
+            if (t not in floors or hour_ts >= floors[t]) and pos[rel] > 0:
+                files[rel] = pos[rel]
+        self._latest = {"floor": floor, "files": files}
         return self._latest
 
     def partitions(self, start, end):
-        sfiles = start.get("files", {})
-        sfloors = self._floors(start)
+        sfloors, efloors = self._floors(start), self._floors(end)
+        sfiles, efiles = start.get("files", {}), end.get("files", {})
         spans = []
-        for rel, limit in sorted(end.get("files", {}).items()):
-            hk = _hour_key(rel)
-            if hk is None:
-                continue
-            if rel in sfiles:
-                s = int(sfiles[rel])
-            elif hk[0] in sfloors and hk[1] < sfloors[hk[0]]:
-                continue  # consumed before the start offset was taken
+        for rel, hour_ts, size in self.lister.list(sfloors):
+            t = rel.split("/")[0]
+            s = int(sfiles.get(rel, 0))
+            if t in efloors and hour_ts < efloors[t]:
+                e = size  # closed and fully consumed as of end
             else:
-                s = 0
-            if int(limit) > s:
-                spans.append((rel, s, int(limit)))
+                e = int(efiles.get(rel, 0))
+            if e > s:
+                spans.append((rel, s, e))
         return self.lister.plan(spans) or [_Part([])]
 
     def read(self, partition):

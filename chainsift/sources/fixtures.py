@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from chainsift.functions import address, hour_path, iso_nanos
 from chainsift.schemas import FILL_TYPE, MISC_TYPE
 from chainsift.session import sub_dir
-from chainsift.sources.tables import table
+from chainsift.sources.tables import table  # noqa: F401  (re-exported)
 
 # Fixed fixture values.
 BASE_BLOCK = 696372899
