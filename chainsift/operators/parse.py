@@ -20,6 +20,17 @@ def _field(v: Column, name: str) -> Column:
     return F.variant_get(v, f"$.{name}", "variant")
 
 
+def _decoded(e: DataFrame, block: Column, events: Column, reason: Column) -> DataFrame:
+    """Emit the decode results through a generator.
+
+    Filters on ``reason`` can then not be pushed below the parse: without this
+    barrier Catalyst substitutes the parse into the filter condition once per
+    reference and every line would be parsed dozens of times.
+    """
+    res = F.struct(block.alias("block"), events.alias("events"), reason.alias("reason"))
+    return e.select("file", "offset", "value", F.inline(F.array(res)))
+
+
 def _envelope(lines: DataFrame) -> DataFrame:
     v = strict_parse_json("value")
     return lines.where(F.trim(F.col("value")) != F.lit("")).select("file", "offset", "value", v.alias("_v"))
@@ -46,11 +57,11 @@ def decode_fill_lines(lines: DataFrame) -> DataFrame:
     bn = _field(v, "block_number")
     block_ok = absent_null_or(bn, vtype(bn) == F.lit("BIGINT"))
     elem_ok = lambda x: x.isNull() | is_vnull(x) | as_array(x).isNotNull()
-    return e.select(
-        "file", "offset", "value",
-        F.coalesce(F.try_variant_get(v, "$.block_number", "bigint"), F.lit(0)).alias("block"),
-        as_array(_field(v, "events")).alias("events"),
-        _reasons(v, block_ok, elem_ok).alias("reason"),
+    return _decoded(
+        e,
+        F.coalesce(F.try_variant_get(v, "$.block_number", "bigint"), F.lit(0)),
+        as_array(_field(v, "events")),
+        _reasons(v, block_ok, elem_ok),
     )
 
 
@@ -71,12 +82,7 @@ def decode_misc_lines(lines: DataFrame) -> DataFrame:
             & absent_null_or(i, is_object(i))
         )
 
-    return e.select(
-        "file", "offset", "value",
-        F.coalesce(blk, F.lit(0)).alias("block"),
-        as_array(_field(v, "events")).alias("events"),
-        _reasons(v, block_ok, elem_ok).alias("reason"),
-    )
+    return _decoded(e, F.coalesce(blk, F.lit(0)), as_array(_field(v, "events")), _reasons(v, block_ok, elem_ok))
 
 
 def parse_fills(lines: DataFrame) -> DataFrame:

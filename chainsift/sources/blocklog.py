@@ -17,7 +17,10 @@ packed together so one task reads many.
 Options
   path            data folder (local path or a pyarrow-supported URI)
   types           comma list of log types (default: both)
-  splitBytes      target bytes per input partition (default 64 MiB)
+  splitBytes      largest bytes per input partition (default 64 MiB)
+  parallelism     cores to spread a small input over (default 1; the read helpers pass
+                  ``defaultParallelism``): split = min(splitBytes, max(openCostBytes, total / parallelism))
+  openCostBytes   cost charged per file when packing small files (default 1 MiB)
   graceHours      an hour file is closed once ``hour + 1h + graceHours`` <= now;
                   only closed files give up an unterminated last line (default 1)
   now             ISO timestamp standing in for the clock (tests)
@@ -88,7 +91,9 @@ class _Lister:
         if not self.root:
             raise ValueError("blocklog: option 'path' is required")
         self.types = [t for t in (options.get("types") or ",".join(LOG_TYPES)).split(",") if t]
-        self.split = int(options.get("splitbytes", 64 << 20))
+        self.max_split = int(options.get("splitbytes", 64 << 20))
+        self.parallelism = max(1, int(options.get("parallelism", 1)))
+        self.open_cost = int(options.get("opencostbytes", 1 << 20))
         self.grace = _dt.timedelta(hours=float(options.get("gracehours", 1)))
         now = options.get("now")
         self.fixed_now = _dt.datetime.fromisoformat(now.replace("Z", "+00:00")) if now else None
@@ -148,16 +153,23 @@ class _Lister:
         return 0
 
     def plan(self, spans):
-        """spans: [(rel, start, limit)] -> packed partitions of newline-owned ranges."""
+        """spans: [(rel, start, limit)] -> packed partitions of newline-owned ranges.
+
+        Like Spark's file splitting: small inputs are spread over the cores,
+        large ones cut at ``splitBytes``; each file also costs ``openCostBytes``.
+        """
+        total = sum(limit - start + self.open_cost for _, start, limit in spans)
+        split = max(1, min(self.max_split, max(self.open_cost, total // self.parallelism)))
         parts, cur, cur_bytes = [], [], 0
         for rel, start, limit in spans:
             s = start
+            cur_bytes += self.open_cost
             while s < limit:
-                e = min(limit, s + self.split)
+                e = min(limit, s + split)
                 cur.append(_Range(rel, s, e, limit))
                 cur_bytes += e - s
                 s = e
-                if cur_bytes >= self.split:
+                if cur_bytes >= split:
                     parts.append(_Part(cur))
                     cur, cur_bytes = [], 0
         if cur:
@@ -377,7 +389,7 @@ def register(spark) -> None:
 
 def read_block_log(spark, root: str, types=None, **options):
     """Batch read of all hour files under root: DataFrame(file, offset, value)."""
-    r = spark.read.format("blocklog").option("path", root)
+    r = spark.read.format("blocklog").option("path", root).option("parallelism", spark.sparkContext.defaultParallelism)
     if types:
         r = r.option("types", ",".join(types))
     for k, v in options.items():
@@ -386,7 +398,7 @@ def read_block_log(spark, root: str, types=None, **options):
 
 
 def stream_block_log(spark, root: str, types=None, **options):
-    r = spark.readStream.format("blocklog").option("path", root)
+    r = spark.readStream.format("blocklog").option("path", root).option("parallelism", spark.sparkContext.defaultParallelism)
     if types:
         r = r.option("types", ",".join(types))
     for k, v in options.items():

@@ -20,6 +20,8 @@ from chainsift.sources.tables import table  # noqa: F401  (re-exported)
 
 # Fixed fixture values.
 BASE_BLOCK = 696372899
+# Bump when the line format changes, so cached hour files are not reused.
+FIXTURE_VERSION = "v1"
 TID_BASE = 320000000000000001
 COIN_BY_EVENT_TYPE = {"click": "BTC", "view": "ETH", "purchase": "SUI"}  # anything else: XRP
 
@@ -189,7 +191,7 @@ def fixture_root(spark: SparkSession, sf_dir: str) -> str:
     """Hour files of both log types for sf_dir, written once per work folder."""
     import pyarrow.fs as pafs
 
-    tag = hashlib.sha1(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    tag = hashlib.sha1((FIXTURE_VERSION + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
     root = sub_dir(spark, "fixtures", tag)
     fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
     marker = f"{base}/_SUCCESS"
