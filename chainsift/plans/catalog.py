@@ -238,10 +238,9 @@ def q_hour_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hour file decoded to (type, date, hour) and rebuilt from its hour."""
     from chainsift.functions import decode_path, hour_path
 
-    root = fixtures.fixture_root(spark, sf_dir)
-    from chainsift.sources.blocklog import read_block_log
+    from chainsift.sources.blocklog import list_block_log
 
-    files = read_block_log(spark, root).select("file").distinct()
+    files = list_block_log(spark, fixtures.fixture_root(spark, sf_dir)).select("file")
     d = decode_path("file")
     return files.select(
         "file", d["type"].alias("log_type"), d["date"].alias("date"), d["hour"].alias("hour"),
@@ -254,7 +253,9 @@ def q_files_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainsift.functions import decode_path
     from chainsift.operators.positions import files_between
 
-    existing = C.lines(spark, sf_dir, FILL_TYPE).select("file").distinct()
+    from chainsift.sources.blocklog import list_block_log
+
+    existing = list_block_log(spark, fixtures.fixture_root(spark, sf_dir), [FILL_TYPE]).select("file")
     bounds = existing.select(decode_path("file")["hour_ts"].alias("h")).agg(F.min("h").alias("a"), F.max("h").alias("b")).first()
     paths = files_between(spark, FILL_TYPE, bounds["a"], bounds["b"])
     ex = existing.select(F.col("file").alias("_f"), F.lit(True).alias("_e"))

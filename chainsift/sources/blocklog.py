@@ -383,8 +383,68 @@ class BlockLogSource(DataSource):
         return BlockLogStreamReader(self.options)
 
 
+class _DatePart(InputPartition):
+    def __init__(self, folders):
+        self.folders = folders  # [(log_type, yyyymmdd)]
+
+
+class BlockLogFilesReader(DataSourceReader):
+    """S6 as a table: date folders are dealt to ~2 partitions per core; executors list the files."""
+
+    def __init__(self, options):
+        self.options = _lower(options)
+
+    def partitions(self):
+        import pyarrow.fs as pafs
+
+        lister = _Lister(self.options)
+        fs, base = _fs(lister.root)
+        folders = []
+        for t in lister.types:
+            tdir = f"{base}/{t}/{HOURLY_DIR}"
+            if fs.get_file_info(tdir).type != pafs.FileType.Directory:
+                continue
+            for d in fs.get_file_info(pafs.FileSelector(tdir)):
+                if d.type == pafs.FileType.Directory and _DATE.match(d.base_name):
+                    folders.append((t, d.base_name))
+        n = max(1, min(len(folders), 2 * lister.parallelism))
+        return [_DatePart(folders[i::n]) for i in range(n)] if folders else [_DatePart([])]
+
+    def read(self, partition):
+        import pyarrow.fs as pafs
+
+        fs, base = _fs(self.options.get("path") or self.options.get("root"))
+        for log_type, date_dir in partition.folders:
+            d = f"{base}/{log_type}/{HOURLY_DIR}/{date_dir}"
+            for f in fs.get_file_info(pafs.FileSelector(d)):
+                rel = f"{log_type}/{HOURLY_DIR}/{date_dir}/{f.base_name}"
+                if f.type == pafs.FileType.File and _hour_key(rel) is not None:
+                    yield (rel, f.size)
+
+
+class BlockLogFilesSource(DataSource):
+    @classmethod
+    def name(cls):
+        return "blocklogfiles"
+
+    def schema(self):
+        return "file string, size bigint"
+
+    def reader(self, schema):
+        return BlockLogFilesReader(self.options)
+
+
 def register(spark) -> None:
     spark.dataSource.register(BlockLogSource)
+    spark.dataSource.register(BlockLogFilesSource)
+
+
+def list_block_log(spark, root: str, types=None):
+    """Hour files under root with their sizes: DataFrame(file, size); contents are not read."""
+    r = spark.read.format("blocklogfiles").option("path", root).option("parallelism", spark.sparkContext.defaultParallelism)
+    if types:
+        r = r.option("types", ",".join(types))
+    return r.load()
 
 
 def read_block_log(spark, root: str, types=None, **options):
