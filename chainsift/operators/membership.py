@@ -64,3 +64,8 @@ def member_scores(events: DataFrame, wl: DataFrame, user_col: str = "user") -> D
     """J5 in bulk: score of each distinct member among the events' users."""
     users = events.select(F.col(user_col).alias("address")).distinct()
     return users.join(wl.select("address", "score"), "address", "inner")
+
+
+def member_score(wl: DataFrame, address: str) -> DataFrame:
+    """Score of one member (empty when absent)."""
+    return wl.where(F.col("address") == F.lit(address)).select("score")

@@ -36,3 +36,23 @@ def resume_from(lines: DataFrame, position_file: str, position: int) -> DataFram
     return lines.where(
         ~same_type | (F.col("hour_ts") > h) | ((F.col("hour_ts") == h) & (F.col("offset") >= F.lit(position)))
     )
+
+
+def save_positions(lines: DataFrame, path: str) -> None:
+    """K5: per log type, the last file read and the byte position reached in it."""
+    from chainsift.functions.paths import decode_path
+
+    p = positions(lines).withColumn("_d", decode_path("file"))
+    last = p.groupBy(F.col("_d.type").alias("log_type")).agg(
+        F.max_by(F.struct("file", "position"), F.col("_d.hour_ts")).alias("p")
+    )
+    last.select("log_type", "p.file", "p.position").write.mode("overwrite").parquet(path)
+
+
+def load_positions(spark: SparkSession, path: str) -> dict:
+    """Saved positions as the source's ``startingPositions`` (one row per log type).
+
+    Types are independent: a type without a saved position simply starts from
+    its oldest file.
+    """
+    return {r["file"]: int(r["position"]) for r in spark.read.parquet(path).select("file", "position").collect()}

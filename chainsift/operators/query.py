@@ -67,3 +67,8 @@ def latest_height(decoded_fill_lines: DataFrame) -> DataFrame:
 def max_height(decoded_fill_lines: DataFrame) -> DataFrame:
     ok = decoded_fill_lines.where(F.col("reason").isNull())
     return ok.agg(F.coalesce(F.max("block"), F.lit(0).cast("bigint")).alias("height"))
+
+
+def as_json(events: DataFrame) -> DataFrame:
+    """One JSON object per event ``{"user","event","block","data"}``; VARIANT keys come out sorted."""
+    return events.select(F.to_json(F.struct("user", "event", "block", "data")).alias("json"))

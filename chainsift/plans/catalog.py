@@ -287,7 +287,18 @@ def q_dedupe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fill_columns(dedupe(once.unionByName(replay)))
 
 
+def q_text_fill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 via the built-in JVM text reader (closed files read whole): same events as fill_events."""
+    from chainsift.operators.explode import explode_fills
+    from chainsift.operators.parse import parse_fills
+    from chainsift.sources.text import scan_text
+
+    lines = scan_text(spark, fixtures.fixture_root(spark, sf_dir), [FILL_TYPE])
+    return C.fill_columns(explode_fills(parse_fills(lines)))
+
+
 QUERIES.update({
+    "text_fill_events": q_text_fill_events,
     "retained_events": q_retained_events,
     "cleanup_count": q_cleanup_count,
     "whitelist_range": q_whitelist_range,

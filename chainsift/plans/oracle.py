@@ -259,3 +259,6 @@ SQL.update({
       FROM ae LEFT JOIN bt ON bt.block = ae.block LEFT JOIN mt ON mt.block = ae.block
       GROUP BY 1, 2""",
 })
+
+SQL["text_fill_events"] = SQL["fill_events"]
+SQL["stream_latest_height"] = SQL["latest_height"]

@@ -47,3 +47,11 @@ def test_merge_and_semi_join(spark):
     assert m["a001"] == 9.0 and m["zz"] == 1.0 and len(m) == 6
     ev = spark.createDataFrame([("a001", 1), ("a001", 2), ("A001", 3), ("nope", 4)], "user string, k int")
     assert sorted(r["k"] for r in whitelisted(ev, delta.unionByName(old)).collect()) == [1, 2]
+
+
+def test_point_lookup(spark):
+    from chainsift.operators.membership import member_score
+
+    w = wl(spark)
+    assert [r["score"] for r in member_score(w, "a005").collect()] == [1.0]
+    assert member_score(w, "zzz").count() == 0

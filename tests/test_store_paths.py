@@ -55,3 +55,28 @@ def test_paths(spark):
 def test_positions_count_bytes(spark):
     df = lines_df(spark, ["ab", "é", ""])
     assert positions(df).first()["position"] == 3 + 3 + 1
+
+
+def test_saved_positions_round_trip(spark, scratch):
+    from chainsift.operators.positions import load_positions, save_positions
+
+    rows = [("node_fills_by_block/hourly/20240101/3", 0, "ab"), ("node_fills_by_block/hourly/20240101/4", 0, "abc"),
+            ("node_fills_by_block/hourly/20240101/4", 4, "d"), ("misc_events_by_block/hourly/20240101/1", 0, "x")]
+    df = spark.createDataFrame(rows, "file string, offset bigint, value string")
+    save_positions(df, scratch + "/pos")
+    assert load_positions(spark, scratch + "/pos") == {
+        "node_fills_by_block/hourly/20240101/4": 6, "misc_events_by_block/hourly/20240101/1": 2,
+    }
+
+
+def test_create_store_idempotent_and_json(spark, scratch):
+    from chainsift.operators.query import as_json
+    from chainsift.operators.store import create_store
+
+    create_store(spark, scratch + "/s")
+    create_store(spark, scratch + "/s")
+    assert read_store(spark, scratch + "/s").count() == 0
+    ev = spark.createDataFrame([("u", "fill", 5)], "user string, event string, block bigint").withColumn(
+        "data", F.parse_json(F.lit('{"b":1,"a":"x"}'))
+    )
+    assert as_json(ev).first()["json"] == '{"user":"u","event":"fill","block":5,"data":{"a":"x","b":1}}'
