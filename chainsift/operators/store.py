@@ -29,15 +29,11 @@ def with_ingest_time(events: DataFrame, created_at: Column | None = None) -> Dat
 
 
 def create_store(spark: SparkSession, path: str) -> None:
-    """K2: create an empty store if absent (idempotent)."""
-    from pyspark.sql.utils import AnalysisException
+    """K2: create the store folder if absent (idempotent); the schema is fixed (STORE_DDL)."""
+    import pyarrow.fs as pafs
 
-    try:
-        spark.read.parquet(path).schema
-        return
-    except AnalysisException:
-        pass
-    spark.createDataFrame([], STORE_DDL).write.mode("append").partitionBy("ingest_date").parquet(path)
+    fs, base = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
+    fs.create_dir(base, recursive=True)
 
 
 def append_events(rows: DataFrame, path: str) -> None:
@@ -59,8 +55,8 @@ def append_events(rows: DataFrame, path: str) -> None:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store as a DataFrame; filters on block / ingest_date reach the scan."""
-    return spark.read.parquet(path)
+    """The store as a DataFrame with its fixed schema; filters on block / ingest_date reach the scan."""
+    return spark.read.schema(STORE_DDL).parquet(path)
 
 
 def retain(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
