@@ -27,12 +27,12 @@ def explode_fills(blocks: DataFrame) -> DataFrame:
     x = blocks.where(F.col("block") >= 0).select(
         "file", "offset", "block", F.posexplode("events").alias("event_pos", "e")
     )
-    e = F.col("e")
-    first = F.variant_get(e, "$[0]", "variant")
-    second = F.variant_get(e, "$[1]", "variant")
+    e = F.col("e")  # ARRAY<VARIANT>, or NULL for a null element
+    first = F.try_element_at(e, F.lit(1))
+    second = F.try_element_at(e, F.lit(2))
     ok = is_string(first) & is_object(second)
     return x.where(ok).select(
-        F.try_variant_get(e, "$[0]", "string").alias("user"),
+        F.try_variant_get(first, "$", "string").alias("user"),
         F.lit(EVENT_FILL).alias("event"),
         "block",
         second.alias("data"),
@@ -46,11 +46,12 @@ def explode_fills(blocks: DataFrame) -> DataFrame:
 def explode_misc_users(blocks: DataFrame) -> DataFrame:
     """(file, offset, block, events) -> one row per string user of a LedgerUpdate, payload not yet built.
 
-    Columns: user, block, file, offset, event_pos, user_pos, e (the misc event).
+    Columns: user, block, file, offset, event_pos, user_pos, e (the misc event struct).
     """
     x = blocks.select("file", "offset", "block", F.posexplode("events").alias("event_pos", "e"))
-    ledger = F.variant_get(F.col("e"), "$.inner.LedgerUpdate", "variant")
-    users = F.try_variant_get(F.col("e"), "$.inner.LedgerUpdate.users", "array<variant>")
+    inner = F.col("e")["inner"]
+    ledger = F.variant_get(inner, "$.LedgerUpdate", "variant")
+    users = F.try_variant_get(inner, "$.LedgerUpdate.users", "array<variant>")
     y = x.where(is_object(ledger) & users.isNotNull()).select(
         "file", "offset", "block", "event_pos", "e", F.posexplode(users).alias("user_pos", "u")
     )
@@ -65,10 +66,10 @@ def explode_misc_users(blocks: DataFrame) -> DataFrame:
 
 def misc_payload(rows: DataFrame) -> DataFrame:
     """Build the stored payload of exploded misc rows and project to canonical events."""
-    e = F.col("e")
-    h = F.coalesce(F.try_variant_get(e, "$.hash", "string"), F.lit(""))
-    t = F.coalesce(F.try_variant_get(e, "$.time", "string"), F.lit(""))
-    inner = as_object_map(F.variant_get(e, "$.inner", "variant"))
+    e = F.col("e")  # STRUCT<time, hash, inner: VARIANT>
+    h = F.coalesce(F.try_variant_get(e["hash"], "$", "string"), F.lit(""))
+    t = F.coalesce(F.try_variant_get(e["time"], "$", "string"), F.lit(""))
+    inner = as_object_map(e["inner"])
     data = F.to_variant_object(
         F.map_concat(
             F.map_filter(inner, lambda k, v: ~k.isin("hash", "time")),

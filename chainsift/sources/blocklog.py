@@ -177,10 +177,50 @@ class _Lister:
         return parts
 
 
-def _read_ranges(root: str, ranges):
-    """Executor side: yield Arrow batches of the lines each range owns."""
+def _lines_batch(rel: str, data: bytes, pos: int, end: int):
+    """Arrow batch of the lines in ``data`` (which starts at a line start, absolute ``pos``).
+
+    Every ``\n`` in ``data`` ends a line; bytes after the last one form a final
+    line. Only lines starting before ``end`` are kept. Returns (batch or None,
+    stopped) where ``stopped`` says a line at or after ``end`` was seen.
+    The string column is built from buffers: newlines are removed in one pass
+    and line i starts at (its byte position - i) in the compacted buffer.
+    """
+    import numpy as np
     import pyarrow as pa
 
+    buf = np.frombuffer(data, dtype=np.uint8)
+    nl = np.flatnonzero(buf == 10)
+    starts = np.empty(len(nl) + 1, dtype=np.int64)
+    starts[0] = 0
+    starts[1:] = nl + 1
+    if starts[-1] >= len(data):  # data ends with a newline: no final partial line
+        starts = starts[:-1]
+    n_all = len(starts)
+    n = int(np.searchsorted(starts, end - pos, side="left"))
+    stopped = n < n_all
+    if n == 0:
+        return None, stopped
+    cut = len(data) if n == n_all else int(starts[n])
+    compact = data[:cut].replace(b"\n", b"")
+    offs = np.empty(n + 1, dtype=np.int32)
+    offs[:n] = starts[:n] - np.arange(n, dtype=np.int64)
+    offs[n] = len(compact)
+    values = pa.StringArray.from_buffers(n, pa.py_buffer(offs.tobytes()), pa.py_buffer(compact))
+    try:
+        values.validate(full=True)
+    except pa.ArrowInvalid:  # invalid UTF-8: decode line by line with replacement characters
+        raw = data[:cut].split(b"\n")[:n]
+        values = pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([rel] * n, pa.string()), pa.array(starts[:n] + pos, pa.int64()), values],
+        names=["file", "offset", "value"],
+    )
+    return batch, stopped
+
+
+def _read_ranges(root: str, ranges):
+    """Executor side: yield Arrow batches of the lines each range owns."""
     fs, base = _fs(root)
     for r in ranges:
         path = f"{base}/{r.rel}"
@@ -207,30 +247,20 @@ def _read_ranges(root: str, ranges):
             while pos < r.end:
                 want = min(_READ_CHUNK, r.limit - pos - len(carry))
                 chunk = f.read(want) if want > 0 else b""
-                data = carry + chunk
+                data = carry + chunk if carry else chunk
                 if not data:
                     break
                 at_limit = pos + len(data) >= r.limit or (want > 0 and not chunk)
-                lines = data.split(b"\n")
-                tail = lines.pop()  # bytes after the last newline (maybe empty)
-                if at_limit and tail:
-                    lines.append(tail)  # an unterminated last line inside the readable limit
-                    tail = b""
-                offsets, values, p = [], [], pos
-                for ln in lines:
-                    if p >= r.end:
-                        break
-                    offsets.append(p)
-                    values.append(ln.decode("utf-8", "replace"))
-                    p += len(ln) + 1
-                if offsets:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r.rel] * len(offsets), pa.string()), pa.array(offsets, pa.int64()), pa.array(values, pa.string())],
-                        names=["file", "offset", "value"],
-                    )
-                if p >= r.end or at_limit:
+                # Complete lines only, unless the readable limit is reached (then the tail is a line).
+                cut = len(data) if at_limit else data.rfind(b"\n") + 1
+                stopped = False
+                if cut > 0:
+                    batch, stopped = _lines_batch(r.rel, data[:cut] if cut < len(data) else data, pos, r.end)
+                    if batch is not None:
+                        yield batch
+                if stopped or at_limit:
                     break
-                pos, carry = p, tail
+                pos, carry = pos + cut, data[cut:]
 
 
 def _lower(options) -> dict:

@@ -15,7 +15,13 @@ from chainsift.schemas import HOURLY_DIR, LOG_TYPES
 
 
 def scan_text(spark: SparkSession, root: str, types=LOG_TYPES) -> DataFrame:
-    paths = [f"{root.rstrip('/')}/{t}/{HOURLY_DIR}/*/*" for t in types]
+    import pyarrow.fs as pafs
+
+    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+    present = [t for t in types if fs.get_file_info(f"{base}/{t}/{HOURLY_DIR}").type == pafs.FileType.Directory]
+    paths = [f"{root.rstrip('/')}/{t}/{HOURLY_DIR}/*/*" for t in present]
+    if not paths:
+        return spark.createDataFrame([], "file string, offset bigint, value string")
     df = spark.read.option("lineSep", "\n").text(paths)
     return df.select(
         rel_path(F.col("_metadata.file_path")).alias("file"), F.lit(None).cast("bigint").alias("offset"), "value"

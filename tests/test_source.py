@@ -104,3 +104,12 @@ def test_bounded_trigger(spark, scratch):
     write_log(root, "node_fills_by_block/hourly/20240101/5", "y\n")
     _run_stream(spark, root, out, ckpt, now=NOW_LATE, maxBytesPerTrigger=1)
     assert spark.read.parquet(out).where(F.col("value") == "y").count() == 1
+
+
+def test_invalid_utf8_is_replaced_not_fatal(spark, scratch):
+    path = os.path.join(scratch, F1)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(b'{"a":"\xff"}\nok\n')
+    got = sorted((r["offset"], r["value"]) for r in read_block_log(spark, scratch, now=NOW_LATE).collect())
+    assert got == [(0, '{"a":"�"}'), (10, "ok")]
