@@ -21,10 +21,54 @@ REQUIRED_CONF = {
 }
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``chainsift`` importable in Python workers (executors, data-source planner).
+
+    The package is zipped (name = content hash) into the shared work folder
+    and registered with ``addPyFile`` once per SparkContext.
+    """
+    import hashlib
+    import io
+    import zipfile
+
+    import pyarrow.fs as pafs
+
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    files = []
+    for d, _, names in os.walk(pkg):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                full = os.path.join(d, n)
+                files.append((os.path.relpath(full, os.path.dirname(pkg)), open(full, "rb").read()))
+    files.sort()
+    digest = hashlib.sha1(b"".join(a.encode() + b for a, b in files)).hexdigest()[:12]
+    target = f"{work_dir(spark)}/pyfiles/chainsift-{digest}.zip"
+    fs, path = pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files:
+                z.writestr(zipfile.ZipInfo(name, (2020, 1, 1, 0, 0, 0)), data)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        tmp = f"{path}.{os.getpid()}.tmp"
+        with fs.open_output_stream(tmp) as out:
+            out.write(buf.getvalue())
+        fs.move(tmp, path)
+    sc.addPyFile(target)
+    _SHIPPED.add(id(sc))
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings above to an existing session."""
+    """Apply the runtime settings above to an existing session and ship the package."""
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     from chainsift.sources.blocklog import register
 
     register(spark)

@@ -465,6 +465,17 @@ class BlockLogFilesSource(DataSource):
 
 
 def register(spark) -> None:
+    """Register both sources.
+
+    This module is pickled by value: Spark's streaming-source planner process
+    does not receive the session's py-files, so the source classes travel
+    inside the pickled data source instead of being imported there.
+    """
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(BlockLogSource)
     spark.dataSource.register(BlockLogFilesSource)
 
