@@ -16,13 +16,32 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def strict_parse_json(value) -> Column:
-    """VARIANT of a line holding exactly one JSON value, else NULL."""
-    w = F.try_parse_json(F.concat(F.lit("["), _c(value), F.lit(f',"{SENTINEL}"]')))
+def wrapped_parse(value) -> Column:
+    """Step 1 of the strict parse: ``try_parse_json('[' || value || ',"<sentinel>"]')``."""
+    return F.try_parse_json(F.concat(F.lit("["), _c(value), F.lit(f',"{SENTINEL}"]')))
+
+
+def unwrap(w) -> Column:
+    """Step 2: the value when the wrap is a two-element array ending in the sentinel, else NULL."""
+    w = _c(w)
     ok = (F.try_variant_get(w, "$[1]", "string") == F.lit(SENTINEL)) & F.try_variant_get(w, "$[2]", "variant").isNull()
     return F.when(ok, F.variant_get(w, "$[0]", "variant"))
 
 
+def strict_parse_json(value) -> Column:
+    """VARIANT of a line holding exactly one JSON value, else NULL.
+
+    As one expression the wrap is referenced three times; in DataFrames use
+    ``with_strict_json`` so the parse runs once per row in any execution mode.
+    """
+    return unwrap(wrapped_parse(value))
+
+
+def with_strict_json(df, value: str, out: str):
+    """Add ``out`` = strict parse of ``value``, with the parse in its own projection."""
+    return df.withColumn("_wrapped", wrapped_parse(value)).withColumn(out, unwrap("_wrapped")).drop("_wrapped")
+
+
 def vtype(v) -> Column:
     """Type name of a VARIANT value ('STRING', 'BIGINT', 'VOID', 'OBJECT<..>', ...)."""
     return F.schema_of_variant(_c(v))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chainsift.functions.jsonv import absent_null_or, is_object, is_string, is_vnull, strict_parse_json, vtype
+from chainsift.functions.jsonv import absent_null_or, is_object, is_string, is_vnull, vtype, with_strict_json
 
 
 def _field(v: Column, name: str) -> Column:
@@ -27,8 +27,8 @@ def _field(v: Column, name: str) -> Column:
 
 def _fields(lines: DataFrame) -> DataFrame:
     """Blank lines out (P4); the strict parse and the envelope fields, each computed once."""
-    parsed = lines.where(F.trim(F.col("value")) != F.lit("")).select(
-        "file", "offset", "value", strict_parse_json("value").alias("_v")
+    parsed = with_strict_json(
+        lines.where(F.trim(F.col("value")) != F.lit("")).select("file", "offset", "value"), "value", "_v"
     )
     v = F.col("_v")
     return parsed.select(

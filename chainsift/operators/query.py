@@ -58,10 +58,14 @@ def latest_height(decoded_fill_lines: DataFrame) -> DataFrame:
     Input: decode_fill_lines output with an ``hour_ts`` column. One global
     ``max_by`` = partial aggregates per task + one tiny final merge.
     """
+    from decimal import Decimal
+
     ok = decoded_fill_lines.where(F.col("reason").isNull())
-    return ok.agg(
-        F.coalesce(F.max_by("block", F.struct("hour_ts", "offset")), F.lit(0).cast("bigint")).alias("height")
+    # File order as one fixed-width key (hour in microseconds * 10^19 + byte offset): hash aggregate.
+    order = F.unix_micros(F.col("hour_ts")).cast("decimal(38,0)") * F.lit(Decimal(10**19)) + F.col("offset").cast(
+        "decimal(38,0)"
     )
+    return ok.agg(F.coalesce(F.max_by("block", order.cast("decimal(38,0)")), F.lit(0).cast("bigint")).alias("height"))
 
 
 def max_height(decoded_fill_lines: DataFrame) -> DataFrame:

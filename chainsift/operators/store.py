@@ -117,3 +117,34 @@ def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_da
 def dedupe(events: DataFrame) -> DataFrame:
     """Drop replayed copies by the lineage key (deterministic per source line)."""
     return events.dropDuplicates(LINEAGE_KEY)
+
+
+def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_file: int = 5_000_000) -> int:
+    """Rewrite one ingest day into block-ordered files of ~target rows (many small stream appends -> few files).
+
+    The day is staged to the shared work folder first, then replaces its own
+    partition through dynamic partition overwrite. Returns the row count.
+    """
+    from chainsift.session import sub_dir
+
+    day_rows = read_store(spark, path).where(F.col("ingest_date") == F.lit(day))
+    n = day_rows.count()
+    if n == 0:
+        return 0
+    stage = sub_dir(spark, "compact-stage", day.isoformat())
+    files = max(1, -(-n // target_rows_per_file))
+    (
+        day_rows.select(*STORE_COLUMNS)
+        .repartitionByRange(files, "block", *LINEAGE_KEY)
+        .sortWithinPartitions("block", *LINEAGE_KEY)
+        .write.mode("overwrite")
+        .parquet(stage)
+    )
+    (
+        spark.read.schema(STORE_DDL).parquet(stage).select(*STORE_COLUMNS)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ingest_date")
+        .parquet(path)
+    )
+    return n

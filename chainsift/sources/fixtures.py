@@ -210,8 +210,9 @@ def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def subscription_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subscribe/unsubscribe messages: signup -> subscribe, error -> unsubscribe, others invalid."""
+def subscription_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw client messages (client_id, message JSON text, ts, seq): signup -> subscribe,
+    error -> unsubscribe, other event types give an unknown action."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     eid = F.col("event_id")
     action = (
@@ -220,13 +221,21 @@ def subscription_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("event_type"))
     )
     event = F.when(eid % 3 == 0, F.lit("fill")).when(eid % 3 == 1, F.lit("misc")).otherwise(F.lit("bogus"))
+    message = F.concat(F.lit('{"action":'), _q(action), F.lit(',"event":'), _q(event), F.lit("}"))
     return e.select(
-        F.col("user_id").alias("client_id"), action.alias("action"), event.alias("event"),
+        F.col("user_id").alias("client_id"), message.alias("message"),
         # Millisecond resolution, the resolution of event times in the log payload.
         F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("ts"), eid.alias("seq"),
     )
 
 
+def subscription_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoded subscription log (client_id, action, event, ts, seq)."""
+    from chainsift.operators.subscriptions import parse_messages
+
+    return parse_messages(subscription_messages(spark, sf_dir))
+
+
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store rows for retention tests: one fill per `events` row, created_at = ts."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")

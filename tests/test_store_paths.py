@@ -80,3 +80,17 @@ def test_create_store_idempotent_and_json(spark, scratch):
         "data", F.parse_json(F.lit('{"b":1,"a":"x"}'))
     )
     assert as_json(ev).first()["json"] == '{"user":"u","event":"fill","block":5,"data":{"a":"x","b":1}}'
+
+
+def test_compact_day(spark, scratch):
+    from chainsift.operators.store import compact_day
+
+    path = scratch + "/store"
+    rows = store_rows(spark, [AS_OF + dt.timedelta(minutes=i) for i in range(40)])
+    for i in range(4):  # four small appends
+        append_events(rows.where(F.col("block") % 4 == i), path)
+    before = sorted(tuple(r) for r in read_store(spark, path).drop("data").collect())
+    assert compact_day(spark, path, AS_OF.date(), target_rows_per_file=15) == 40
+    after = read_store(spark, path)
+    assert sorted(tuple(r) for r in after.drop("data").collect()) == before
+    assert len(after.inputFiles()) == 3
