@@ -59,14 +59,11 @@ def decoded_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_path(spark: SparkSession, sf_dir: str) -> str:
     """The event store of all whitelisted events, written once per work folder."""
-    import pyarrow.fs as pafs
-
     tag = hashlib.sha1((fixtures.FIXTURE_VERSION + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
     path = sub_dir(spark, "store", tag)
-    fs, base = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-    if fs.get_file_info(f"{base}/_SUCCESS").type == pafs.FileType.NotFound:
-        append_events(with_ingest_time(all_events(spark, sf_dir), F.lit(INGEST_TS)), path)
-    return path
+    return fixtures.publish_once(
+        spark, path, lambda tmp: append_events(with_ingest_time(all_events(spark, sf_dir), F.lit(INGEST_TS)), tmp)
+    )
 
 
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,19 +187,41 @@ def write_hour_files(lines: DataFrame, root: str, partitions: int | None = None)
     )
 
 
-def fixture_root(spark: SparkSession, sf_dir: str) -> str:
-    """Hour files of both log types for sf_dir, written once per work folder."""
+def publish_once(spark: SparkSession, final: str, build) -> str:
+    """Materialise a folder once: ``build(tmp)`` writes a fresh temp folder that is renamed into place.
+
+    A concurrent caller that loses the rename discards its copy, so readers
+    never see a folder that is still being written.
+    """
+    import uuid
+
     import pyarrow.fs as pafs
 
+    fs, base = pafs.FileSystem.from_uri(final) if "://" in final else (pafs.LocalFileSystem(), final)
+    if fs.get_file_info(f"{base}/_SUCCESS").type != pafs.FileType.NotFound:
+        return final
+    tmp = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
+    build(tmp)
+    _, tbase = pafs.FileSystem.from_uri(tmp) if "://" in tmp else (None, tmp)
+    if fs.get_file_info(f"{tbase}/_SUCCESS").type == pafs.FileType.NotFound:
+        with fs.open_output_stream(f"{tbase}/_SUCCESS") as m:
+            m.write(b"")
+    try:
+        fs.move(tbase, base)
+    except OSError:
+        if fs.get_file_info(f"{base}/_SUCCESS").type == pafs.FileType.NotFound:
+            raise
+        fs.delete_dir(tbase)  # another caller published first
+    return final
+
+
+def fixture_root(spark: SparkSession, sf_dir: str) -> str:
+    """Hour files of both log types for sf_dir, written once per work folder."""
     tag = hashlib.sha1((FIXTURE_VERSION + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
     root = sub_dir(spark, "fixtures", tag)
-    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
-    marker = f"{base}/_SUCCESS"
-    if fs.get_file_info(marker).type == pafs.FileType.NotFound:
-        write_hour_files(block_lines(spark, sf_dir), root).agg(F.sum("lines")).collect()
-        with fs.open_output_stream(marker) as m:
-            m.write(b"")
-    return root
+    return publish_once(
+        spark, root, lambda tmp: write_hour_files(block_lines(spark, sf_dir), tmp).agg(F.sum("lines")).collect()
+    )
 
 
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:

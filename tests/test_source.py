@@ -113,3 +113,23 @@ def test_invalid_utf8_is_replaced_not_fatal(spark, scratch):
         f.write(b'{"a":"\xff"}\nok\n')
     got = sorted((r["offset"], r["value"]) for r in read_block_log(spark, scratch, now=NOW_LATE).collect())
     assert got == [(0, '{"a":"�"}'), (10, "ok")]
+
+
+def test_publish_once_concurrent(spark, scratch):
+    import threading
+
+    from chainsift.sources.fixtures import publish_once
+
+    final = os.path.join(scratch, "pub")
+    calls = []
+
+    def build(tmp):
+        calls.append(tmp)
+        write_log(tmp, F1, "a\nb\n")
+
+    ts = [threading.Thread(target=publish_once, args=(spark, final, build)) for _ in range(3)]
+    [t.start() for t in ts]
+    [t.join() for t in ts]
+    assert os.path.exists(os.path.join(final, "_SUCCESS"))
+    assert sorted(os.listdir(scratch)) == ["pub"]  # losers removed their copies
+    assert publish_once(spark, final, build) == final and len(calls) <= 3
