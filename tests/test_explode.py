@@ -45,3 +45,15 @@ def test_misc_users_repeats_order_and_payload(spark):
     ]
     assert (rows[0]["h"], rows[0]["t"]) == ("H", "T")  # outer values overwrite inner keys
     assert (rows[3]["h"], rows[3]["t"]) == ("", "")  # absent outer values -> ""
+
+
+def test_quotes_in_data_are_stored_typed(spark, scratch):
+    # Q9: text with quotes is data, not SQL; it round-trips through the store.
+    from chainsift.operators.store import append_events, read_store, with_ingest_time
+
+    line = '{"block_number":9,"events":[["0xa\'b",{"note":"it\'s \\"quoted\\""}]]}'
+    ev = explode_fills(parse_fills(lines_df(spark, [line])))
+    path = scratch + "/store"
+    append_events(with_ingest_time(ev), path)
+    r = read_store(spark, path).select("user", F.try_variant_get("data", "$.note", "string").alias("n")).first()
+    assert (r["user"], r["n"]) == ("0xa'b", 'it\'s "quoted"')

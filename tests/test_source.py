@@ -133,3 +133,18 @@ def test_publish_once_concurrent(spark, scratch):
     assert os.path.exists(os.path.join(final, "_SUCCESS"))
     assert sorted(os.listdir(scratch)) == ["pub"]  # losers removed their copies
     assert publish_once(spark, final, build) == final and len(calls) <= 3
+
+
+def test_catch_up_is_per_type(spark, scratch):
+    # Q19: a saved position for fills does not stop misc from being read from its start.
+    write_log(scratch, F1, "a\nb\n")
+    write_log(scratch, "misc_events_by_block/hourly/20240101/2", "m\n")
+    got = sorted((r["file"], r["value"]) for r in read_block_log(spark, scratch, startingPositions={F1: 2}, now=NOW_LATE).collect())
+    assert got == sorted([(F1, "b"), ("misc_events_by_block/hourly/20240101/2", "m")])
+
+
+def test_same_hour_other_day_is_not_current(spark, scratch):
+    # Q20: the current-hour test compares date and hour; hour 5 of the previous day is closed.
+    write_log(scratch, F1, "a\ntail")
+    got = [r["value"] for r in read_block_log(spark, scratch, now="2024-01-02T05:30:00").collect()]
+    assert sorted(got) == ["a", "tail"]
