@@ -89,7 +89,9 @@ def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_da
     # Materialise the boundary day's survivors before overwriting their partition.
     from chainsift.session import sub_dir
 
-    stage = sub_dir(spark, "retention-stage", cutoff.strftime("%Y%m%d%H%M%S"))
+    import uuid
+
+    stage = sub_dir(spark, "retention-stage", f"{cutoff.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:12]}")
     boundary.where(F.col("created_at") >= F.lit(cutoff)).write.mode("overwrite").parquet(stage)
     fs, base = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
     for info in fs.get_file_info(pafs.FileSelector(base)):
@@ -131,7 +133,9 @@ def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_f
     n = day_rows.count()
     if n == 0:
         return 0
-    stage = sub_dir(spark, "compact-stage", day.isoformat())
+    import uuid
+
+    stage = sub_dir(spark, "compact-stage", f"{day.isoformat()}-{uuid.uuid4().hex[:12]}")
     files = max(1, -(-n // target_rows_per_file))
     (
         day_rows.select(*STORE_COLUMNS)
