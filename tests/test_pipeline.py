@@ -1,0 +1,58 @@
+"""Live pipeline (T1 T3 T6 T12) and default ingest time (K3)."""
+
+import os
+
+from conftest import write_log
+from pyspark.sql import functions as F
+
+from chainsift.operators.store import with_ingest_time
+from chainsift.streaming.pipeline import PipelineConfig, start_pipeline
+
+F5 = "node_fills_by_block/hourly/20240101/5"
+M5 = "misc_events_by_block/hourly/20240101/5"
+
+
+def fill(block, user, oid):
+    return f'{{"block_number":{block},"events":[["{user}",{{"oid":{oid}}}]]}}\n'
+
+
+def misc(block, users):
+    us = ",".join(f'"{u}"' for u in users)
+    return f'{{"block_number":{block},"events":[{{"time":"t","hash":"h{block}","inner":{{"LedgerUpdate":{{"users":[{us}]}}}}}}]}}\n'
+
+
+def test_default_ingest_time(spark):
+    ev = spark.createDataFrame([("u", "fill", 1, "f", 0, 0, 0)] * 3, "user string, event string, block bigint, file string, offset bigint, event_pos int, user_pos int")
+    rows = with_ingest_time(ev.withColumn("data", F.parse_json(F.lit("{}")))).select("created_at", "ingest_date").distinct().collect()
+    assert len(rows) == 1 and rows[0]["created_at"] is not None
+
+
+def test_live_pipeline_tails_and_refreshes(spark, scratch):
+    root, wl_path = os.path.join(scratch, "logs"), os.path.join(scratch, "wl")
+    spark.createDataFrame([("0xa", 1.0)], "address string, score double").write.parquet(wl_path)
+    subs = spark.createDataFrame([(7, "subscribe", "fill", 1), (8, "subscribe", "misc", 2)], "client_id long, action string, event string, seq long").withColumn(
+        "ts", F.current_timestamp()
+    )
+    write_log(root, F5, fill(1, "0xa", 1) + fill(2, "0xb", 2))
+    cfg = PipelineConfig(
+        root=root, store_path=os.path.join(scratch, "store"), checkpoint=os.path.join(scratch, "ckpt"),
+        whitelist=lambda s: s.read.parquet(wl_path), subscriptions=lambda s: subs,
+        delivery_path=os.path.join(scratch, "delivery"), options={"now": "2024-01-01T05:10:00"},
+    )
+    q = start_pipeline(spark, cfg, available_now=False, processing_time="200 milliseconds")
+    try:
+        q.processAllAvailable()
+        # the whitelist grows: 0xb counts from now on, not for block 2 already stored
+        spark.createDataFrame([("0xa", 1.0), ("0xb", 2.0)], "address string, score double").write.mode("overwrite").parquet(wl_path)
+        write_log(root, F5, fill(3, "0xb", 3) + '{"block_number":4,"events":[["0xa",', mode="a")  # torn tail
+        write_log(root, M5, misc(5, ["0xb", "0xz", "0xb"]))
+        q.processAllAvailable()
+        write_log(root, F5, '{"oid":4}]]}\n', mode="a")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    st = spark.read.parquet(cfg.store_path)
+    got = sorted((r["user"], r["event"], r["block"]) for r in st.collect())
+    assert got == [("0xa", "fill", 1), ("0xa", "fill", 4), ("0xb", "fill", 3), ("0xb", "misc", 5), ("0xb", "misc", 5)]
+    d = spark.read.parquet(cfg.delivery_path)
+    assert sorted((r["client_id"], r["block"]) for r in d.collect()) == [(7, 1), (7, 3), (7, 4), (8, 5), (8, 5)]
