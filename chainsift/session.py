@@ -18,6 +18,10 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Deep OFFSET pages should not keep limit+offset rows per task forever.
     "spark.sql.execution.topKSortFallbackThreshold": "1000000",
+    # Partitioned writes here put one or two partition values in a task (two
+    # event types, one or two ingest days): up to two open writers per task
+    # instead of sorting every row by partition first.
+    "spark.sql.maxConcurrentOutputFileWriters": "2",
 }
 
 
