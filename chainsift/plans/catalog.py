@@ -297,7 +297,37 @@ def q_text_fill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.fill_columns(explode_fills(parse_fills(lines)))
 
 
+def q_saved_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Save the fill log's resume position (last file, bytes read) and load it back."""
+    import uuid
+
+    from chainsift.operators.positions import load_positions, save_positions
+    from chainsift.session import sub_dir
+
+    path = sub_dir(spark, "positions", uuid.uuid4().hex)
+    save_positions(C.lines(spark, sf_dir, FILL_TYPE), path)
+    saved = load_positions(spark, path)
+    return spark.createDataFrame(sorted(saved.items()), "file string, position bigint")
+
+
+def q_store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store compaction: four small appends of the day, compacted into block-ordered files; rows unchanged."""
+    import uuid
+
+    from chainsift.operators.store import append_events, compact_day, read_store, with_ingest_time
+    from chainsift.session import sub_dir
+
+    path = sub_dir(spark, "compaction", uuid.uuid4().hex)
+    rows = with_ingest_time(C.all_events(spark, sf_dir), F.lit(C.INGEST_TS))
+    for i in range(4):
+        append_events(rows.where(F.col("block") % 4 == i), path)
+    compact_day(spark, path, C.INGEST_TS.date())
+    return read_store(spark, path).select("user", "event", "block", "file", "event_pos", "user_pos")
+
+
 QUERIES.update({
+    "saved_positions": q_saved_positions,
+    "store_compaction": q_store_compaction,
     "text_fill_events": q_text_fill_events,
     "retained_events": q_retained_events,
     "cleanup_count": q_cleanup_count,

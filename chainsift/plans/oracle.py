@@ -262,3 +262,8 @@ SQL.update({
 
 SQL["text_fill_events"] = SQL["fill_events"]
 SQL["stream_latest_height"] = SQL["latest_height"]
+
+SQL["saved_positions"] = f"""WITH {LINE_TEXT.rstrip()},
+  last AS (SELECT file FROM lt_b JOIN lt USING (block) ORDER BY lt_b.block_time DESC LIMIT 1)
+  SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS position FROM lt WHERE file = (SELECT file FROM last) GROUP BY file"""
+SQL["store_compaction"] = SQL["all_events"]
