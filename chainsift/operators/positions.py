@@ -15,10 +15,22 @@ def positions(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.max(end).cast("bigint").alias("position"))
 
 
-def files_between(spark: SparkSession, log_type: str, start: _dt.datetime, end: _dt.datetime) -> DataFrame:
-    """One hour path per hour from start's hour to end inclusive (distributed range)."""
-    s = int(start.replace(minute=0, second=0, microsecond=0, tzinfo=_dt.timezone.utc).timestamp()) // 3600
-    e = int(end.replace(tzinfo=_dt.timezone.utc).timestamp()) // 3600
+def _epoch(t) -> int:
+    """Epoch seconds of an int, an aware datetime, or a naive datetime taken as UTC."""
+    if isinstance(t, (int, float)):
+        return int(t)
+    if t.tzinfo is None:
+        t = t.replace(tzinfo=_dt.timezone.utc)
+    return int(t.timestamp())
+
+
+def files_between(spark: SparkSession, log_type: str, start, end) -> DataFrame:
+    """One hour path per hour from start's hour to end inclusive (distributed range).
+
+    ``start``/``end``: epoch seconds or datetimes (naive = UTC).
+    """
+    s = _epoch(start) // 3600
+    e = _epoch(end) // 3600
     hours = spark.range(s, e + 1).select(F.timestamp_seconds(F.col("id") * 3600).alias("hour_ts"))
     return hours.select(hour_path(log_type, "hour_ts").alias("file"), "hour_ts")
 

@@ -256,7 +256,8 @@ def q_files_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainsift.sources.blocklog import list_block_log
 
     existing = list_block_log(spark, fixtures.fixture_root(spark, sf_dir), [FILL_TYPE]).select("file")
-    bounds = existing.select(decode_path("file")["hour_ts"].alias("h")).agg(F.min("h").alias("a"), F.max("h").alias("b")).first()
+    h = F.unix_seconds(decode_path("file")["hour_ts"])
+    bounds = existing.select(h.alias("h")).agg(F.min("h").alias("a"), F.max("h").alias("b")).first()
     paths = files_between(spark, FILL_TYPE, bounds["a"], bounds["b"])
     ex = existing.select(F.col("file").alias("_f"), F.lit(True).alias("_e"))
     return paths.join(ex, paths["file"] == ex["_f"], "left").select(

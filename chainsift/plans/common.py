@@ -18,8 +18,9 @@ from chainsift.sources import fixtures
 from chainsift.sources.blocklog import read_block_log
 
 # Fixed parameters of the registered queries.
-AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0)
-INGEST_TS = _dt.datetime(2024, 2, 1, 0, 0, 0)
+# (UTC-aware: PySpark reads naive datetimes in the driver's system time zone.)
+AS_OF = _dt.datetime(2024, 1, 31, 0, 0, 0, tzinfo=_dt.timezone.utc)
+INGEST_TS = _dt.datetime(2024, 2, 1, 0, 0, 0, tzinfo=_dt.timezone.utc)
 
 
 def with_hour(lines: DataFrame) -> DataFrame:
