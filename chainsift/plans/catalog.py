@@ -163,14 +163,15 @@ def _wl_delta_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chainsift.functions import address
     from chainsift.sources.tables import table
 
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return c.where(F.col("c_custkey") % 7 == 0).select(
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+    new = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_acctbal") > 5000)
+    return c.where(new).select(
         address("c_custkey").alias("address"), (F.col("c_nationkey") + 100).cast("double").alias("score")
     )
 
 
 def q_whitelist_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BUILDING members merged with a delta (every 7th customer, score + 100)."""
+    """BUILDING members merged with a delta (BUILDING or MACHINERY customers with balance > 5000, score + 100)."""
     from chainsift.operators.membership import whitelist_merge
 
     return whitelist_merge(fixtures.whitelist(spark, sf_dir), _wl_delta_table(spark, sf_dir))

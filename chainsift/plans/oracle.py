@@ -189,7 +189,8 @@ SQL.update({
       SELECT address, score, coalesce((SELECT max(score) FROM d), 5.0) AS next_cursor FROM d""",
     "whitelist_merge": f"""WITH o AS (
         SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer WHERE c_mktsegment = 'BUILDING'),
-      d AS (SELECT {WL_ADDR} AS address, CAST(c_nationkey + 100 AS DOUBLE) AS score FROM customer WHERE c_custkey % 7 = 0)
+      d AS (SELECT {WL_ADDR} AS address, CAST(c_nationkey + 100 AS DOUBLE) AS score FROM customer
+            WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal > 5000)
       SELECT * FROM d UNION ALL SELECT * FROM o WHERE address NOT IN (SELECT address FROM d)""",
     "whitelist_score": f"""WITH {FILLS_CTE}
       SELECT DISTINCT {ADDR.format(n='user_id')} AS address, CAST(c.c_nationkey AS DOUBLE) AS score
