@@ -27,6 +27,9 @@ Options
   startingPositions  JSON ``{"<rel file>": position}``; files of older hours of
                   the same type are skipped, newer ones start at 0 (catch-up)
   maxBytesPerTrigger  stream only: cap on new bytes per micro-batch (at least one file)
+  startHour / endHour  ISO timestamps; only hour files in [startHour, endHour] are
+                  listed and read (date folders outside are never opened): the
+                  source's partition pruning for reads of a time range
 """
 
 from __future__ import annotations
@@ -54,6 +57,14 @@ def _fs(root: str):
     return pafs.LocalFileSystem(), root.rstrip("/")
 
 
+def _iso(text):
+    """Aware UTC datetime of an ISO string (naive = UTC), or None."""
+    if not text:
+        return None
+    t = _dt.datetime.fromisoformat(str(text).replace("Z", "+00:00"))
+    return t if t.tzinfo is not None else t.replace(tzinfo=_dt.timezone.utc)
+
+
 def _hour_key(rel: str):
     """(type, datetime of the hour) of '<type>/hourly/<date>/<h>', or None."""
     parts = rel.split("/")
@@ -95,10 +106,9 @@ class _Lister:
         self.parallelism = max(1, int(options.get("parallelism", 1)))
         self.open_cost = int(options.get("opencostbytes", 1 << 20))
         self.grace = _dt.timedelta(hours=float(options.get("gracehours", 1)))
-        now = options.get("now")
-        self.fixed_now = _dt.datetime.fromisoformat(now.replace("Z", "+00:00")) if now else None
-        if self.fixed_now is not None and self.fixed_now.tzinfo is None:
-            self.fixed_now = self.fixed_now.replace(tzinfo=_dt.timezone.utc)
+        self.fixed_now = _iso(options.get("now"))
+        self.start_hour = _iso(options.get("starthour"))
+        self.end_hour = _iso(options.get("endhour"))
 
     def now(self):
         return self.fixed_now or _dt.datetime.now(_dt.timezone.utc)
@@ -115,12 +125,16 @@ class _Lister:
             if info.type != pafs.FileType.Directory:
                 continue
             floor = (since or {}).get(t)
+            if self.start_hour is not None and (floor is None or floor < self.start_hour):
+                floor = self.start_hour
             dates = [
                 i for i in fs.get_file_info(pafs.FileSelector(tdir)) if i.type == pafs.FileType.Directory and _DATE.match(i.base_name)
             ]
             for d in dates:
                 if floor is not None and d.base_name < floor.strftime("%Y%m%d"):
                     continue
+                if self.end_hour is not None and d.base_name > self.end_hour.strftime("%Y%m%d"):
+                    continue
                 for f in fs.get_file_info(pafs.FileSelector(d.path)):
                     if f.type != pafs.FileType.File:
                         continue
@@ -128,6 +142,8 @@ class _Lister:
                     hk = _hour_key(rel)
                     if hk is None or (floor is not None and hk[1] < floor):
                         continue
+                    if self.end_hour is not None and hk[1] > self.end_hour:
+                        continue
                     out.append((rel, hk[1], f.size))
         out.sort(key=lambda r: (r[0].split("/")[0], r[1]))
         return out

@@ -148,3 +148,11 @@ def test_same_hour_other_day_is_not_current(spark, scratch):
     write_log(scratch, F1, "a\ntail")
     got = [r["value"] for r in read_block_log(spark, scratch, now="2024-01-02T05:30:00").collect()]
     assert sorted(got) == ["a", "tail"]
+
+
+def test_hour_range_pruning(spark, scratch):
+    for d, h in [("20240101", 3), ("20240101", 23), ("20240102", 0), ("20240103", 1)]:
+        write_log(scratch, f"node_fills_by_block/hourly/{d}/{h}", f"{d}-{h}\n")
+    got = sorted(r["value"] for r in read_block_log(
+        spark, scratch, now=NOW_LATE, startHour="2024-01-01T23:00:00", endHour="2024-01-02T00:00:00").collect())
+    assert got == ["20240101-23", "20240102-0"]
