@@ -33,3 +33,36 @@ def test_membership_not_forced_to_broadcast(spark, scratch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_hot_user_semi_join_is_split(spark):
+    """A user holding a third of the events: AQE splits its partition of the shuffled semi-join."""
+    from pyspark.sql import functions as F
+
+    ev = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("u"), (F.col("id") % 2000).cast("string"))).alias("user"),
+        F.col("id"),
+    )
+    wl = spark.range(600).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("address")).unionByName(
+        spark.createDataFrame([("hot",)], "address string")
+    )
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = whitelisted(ev, wl)
+        n = len(df.collect())  # runs this plan, so its adaptive plan becomes final
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == 10000 + 20000 * 600 // 2000
+    assert "SortMergeJoin(skew=true)" in plan
