@@ -12,6 +12,7 @@ from chainsift.operators import query as Q
 from chainsift.operators.membership import events_with_any_member, whitelisted
 from chainsift.operators.parse import bad_lines as _bad_lines
 from chainsift.plans import common as C
+from chainsift.plans.streams import STREAM_QUERIES
 from chainsift.schemas import FILL_TYPE, MISC_TYPE
 from chainsift.sources import fixtures
 
@@ -84,21 +85,6 @@ def q_max_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.max_height(C.decoded_fills(spark, sf_dir))
 
 
-QUERIES = {
-    "whitelisted_fills": q_whitelisted_fills,
-    "fill_events": q_fill_events,
-    "misc_events": q_misc_events,
-    "bad_lines": q_bad_lines,
-    "whitelisted_misc": q_whitelisted_misc,
-    "misc_events_any_user": q_misc_events_any_user,
-    "all_events": q_all_events,
-    "events_by_block": q_events_by_block,
-    "events_by_block_seek": q_events_by_block_seek,
-    "latest_height": q_latest_height,
-    "max_height": q_max_height,
-}
-
-
 # --- retention -------------------------------------------------------------
 
 def _retention_store(spark: SparkSession, sf_dir: str) -> str:
@@ -330,7 +316,19 @@ def q_store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).select("user", "event", "block", "file", "event_pos", "user_pos")
 
 
-QUERIES.update({
+# Registry, in report order.
+QUERIES = {
+    "whitelisted_fills": q_whitelisted_fills,
+    "fill_events": q_fill_events,
+    "misc_events": q_misc_events,
+    "bad_lines": q_bad_lines,
+    "whitelisted_misc": q_whitelisted_misc,
+    "misc_events_any_user": q_misc_events_any_user,
+    "all_events": q_all_events,
+    "events_by_block": q_events_by_block,
+    "events_by_block_seek": q_events_by_block_seek,
+    "latest_height": q_latest_height,
+    "max_height": q_max_height,
     "saved_positions": q_saved_positions,
     "store_compaction": q_store_compaction,
     "text_fill_events": q_text_fill_events,
@@ -351,9 +349,5 @@ QUERIES.update({
     "positions": q_positions,
     "resume_from": q_resume_from,
     "dedupe_replay": q_dedupe_replay,
-})
-
-
-from chainsift.plans.streams import STREAM_QUERIES  # noqa: E402
-
-QUERIES.update(STREAM_QUERIES)
+    **STREAM_QUERIES,
+}
