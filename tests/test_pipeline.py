@@ -6,7 +6,7 @@ from conftest import write_log
 from pyspark.sql import functions as F
 
 from chainsift.operators.store import with_ingest_time
-from chainsift.streaming.pipeline import PipelineConfig, start_pipeline
+from chainsift.streaming.pipeline import PipelineConfig, delivered_events, start_pipeline
 
 F5 = "node_fills_by_block/hourly/20240101/5"
 M5 = "misc_events_by_block/hourly/20240101/5"
@@ -54,5 +54,7 @@ def test_live_pipeline_tails_and_refreshes(spark, scratch):
     st = spark.read.parquet(cfg.store_path)
     got = sorted((r["user"], r["event"], r["block"]) for r in st.collect())
     assert got == [("0xa", "fill", 1), ("0xa", "fill", 4), ("0xb", "fill", 3), ("0xb", "misc", 5), ("0xb", "misc", 5)]
-    d = spark.read.parquet(cfg.delivery_path)
+    d = delivered_events(spark, cfg.store_path, cfg.delivery_path)
     assert sorted((r["client_id"], r["block"]) for r in d.collect()) == [(7, 1), (7, 3), (7, 4), (8, 5), (8, 5)]
+    # the stream wrote one snapshot row per subscriber and batch, not one row per delivery
+    assert spark.read.parquet(cfg.delivery_path).count() <= 2 * 3
