@@ -1,14 +1,18 @@
 """Event store on Parquet.
 
-Layout: ``<store>/ingest_date=<d>/part-*.parquet``, rows sorted by block inside
-files so min/max statistics skip row groups for block-range reads (the role
-of the upstream B-tree index). Retention drops whole day partitions and
-rewrites only the boundary day.
+Layout (batch and stream alike):
+``<store>/ingest_date=<d>/event=<fill|misc>/batch_id=<n>/part-*.parquet``.
+Stream micro-batches use their batch id (a retried batch overwrites its own
+partition); batch appends use ``BACKFILL_BATCH`` (-1). Rows are sorted by
+block inside files so min/max statistics skip row groups for block-range
+reads (the role of the upstream B-tree index). Retention drops whole day
+folders and rewrites only the boundary day.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,8 +20,16 @@ from chainsift.schemas import EVENT_COLUMNS, LINEAGE_KEY, RETENTION_DAYS, STORE_
 
 STORE_DDL = (
     "user STRING, event STRING, block BIGINT, data VARIANT, file STRING, offset BIGINT, "
-    "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE"
+    "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE, batch_id INT"
 )
+STORE_PARTITIONS = ["ingest_date", "event", "batch_id"]
+BACKFILL_BATCH = -1
+
+
+def _fs(path: str):
+    import pyarrow.fs as pafs
+
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
 def with_ingest_time(events: DataFrame, created_at: Column | None = None) -> DataFrame:
@@ -30,13 +42,25 @@ def with_ingest_time(events: DataFrame, created_at: Column | None = None) -> Dat
 
 def create_store(spark: SparkSession, path: str) -> None:
     """K2: create the store folder if absent (idempotent); the schema is fixed (STORE_DDL)."""
-    import pyarrow.fs as pafs
-
-    fs, base = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
+    fs, base = _fs(path)
     fs.create_dir(base, recursive=True)
 
 
-def append_events(rows: DataFrame, path: str) -> None:
+def write_partitions(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write store rows (with ``batch_id``) under the store layout.
+
+    ``mode="overwrite"`` uses dynamic partition overwrite: only the
+    (day, event, batch) partitions present in ``rows`` are replaced.
+    """
+    w = rows.select(*STORE_COLUMNS, "batch_id").write.partitionBy(*STORE_PARTITIONS)
+    if mode == "overwrite":
+        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    else:
+        w = w.mode("append")
+    w.parquet(path)
+
+
+def append_events(rows: DataFrame, path: str, batch_id: int = BACKFILL_BATCH) -> None:
     """K1: append store rows; an empty input writes nothing.
 
     Rows are range-partitioned on (ingest day, block, lineage key): each file
@@ -44,18 +68,15 @@ def append_events(rows: DataFrame, path: str) -> None:
     and the unique lineage key lets a block holding a huge share of the rows
     spread over several tasks.
     """
-    (
-        rows.select(*STORE_COLUMNS)
-        .repartitionByRange("ingest_date", "block", *LINEAGE_KEY)
-        .sortWithinPartitions("ingest_date", "block", *LINEAGE_KEY)
-        .write.mode("append")
-        .partitionBy("ingest_date")
-        .parquet(path)
+    r = rows.select(*STORE_COLUMNS).withColumn("batch_id", F.lit(batch_id))
+    write_partitions(
+        r.repartitionByRange("ingest_date", "block", *LINEAGE_KEY).sortWithinPartitions("ingest_date", "block", *LINEAGE_KEY),
+        path,
     )
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store as a DataFrame with its fixed schema; filters on block / ingest_date reach the scan."""
+    """The store as a DataFrame with its fixed schema; filters on block / day / event reach the scan."""
     return spark.read.schema(STORE_DDL).parquet(path)
 
 
@@ -73,82 +94,82 @@ def expired_count(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENT
     return store.where(F.col("created_at") < F.lit(cutoff)).agg(F.count(F.lit(1)).alias("removed"))
 
 
-def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> int:
-    """Delete expired rows in place; returns the number removed.
+def _rewrite_day(spark: SparkSession, path: str, day: _dt.date, rows_of_day, stage: str) -> None:
+    """Replace one day folder by ``rows_of_day(store)``, recoverably.
 
-    Partitions wholly before the cutoff day are deleted as folders; the
-    boundary day is rewritten with dynamic partition overwrite, which
-    replaces only that partition.
+    The new rows are staged first (in the shared work folder, name fixed per
+    store and day); a stage with ``_SUCCESS`` is reused by a re-run, so a job
+    that dies after the day folder was removed loses nothing. The day folder
+    is then removed and the staged rows appended.
     """
     import pyarrow.fs as pafs
 
-    cutoff = as_of - _dt.timedelta(days=keep_days)
-    store = read_store(spark, path)
-    removed = expired_count(store, as_of, keep_days).first()["removed"]
-    boundary = store.where(F.col("ingest_date") == F.lit(cutoff.date()))
-    # Materialise the boundary day's survivors before overwriting their partition.
+    fs, base = _fs(path)
+    sfs, sbase = _fs(stage)
+    if sfs.get_file_info(f"{sbase}/_SUCCESS").type == pafs.FileType.NotFound:
+        rows_of_day(read_store(spark, path).where(F.col("ingest_date") == F.lit(day))).select(
+            *STORE_COLUMNS, "batch_id"
+        ).write.mode("overwrite").parquet(stage)
+    day_dir = f"{base}/ingest_date={day.isoformat()}"
+    if fs.get_file_info(day_dir).type == pafs.FileType.Directory:
+        fs.delete_dir(day_dir)
+    staged = spark.read.schema(STORE_DDL).parquet(stage)
+    write_partitions(staged, path)
+    sfs.delete_dir(sbase)
+
+
+def _stage_name(spark: SparkSession, kind: str, path: str, tag: str) -> str:
     from chainsift.session import sub_dir
 
-    import uuid
+    return sub_dir(spark, kind, f"{hashlib.sha1(path.encode()).hexdigest()[:12]}-{tag}")
+
 
-    stage = sub_dir(spark, "retention-stage", f"{cutoff.strftime('%Y%m%d%H%M%S')}-{uuid.uuid4().hex[:12]}")
-    boundary.where(F.col("created_at") >= F.lit(cutoff)).write.mode("overwrite").parquet(stage)
-    fs, base = (pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path))
+def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> int:
+    """Delete expired rows in place; returns the number removed.
+
+    Day folders wholly before the cutoff day are deleted; the boundary day is
+    rewritten with its surviving rows (see ``_rewrite_day``).
+    """
+    import pyarrow.fs as pafs
+
+    cutoff = as_of - _dt.timedelta(days=keep_days)
+    removed = expired_count(read_store(spark, path), as_of, keep_days).first()["removed"]
+    fs, base = _fs(path)
+    boundary = False
     for info in fs.get_file_info(pafs.FileSelector(base)):
         name = info.base_name
         if info.type == pafs.FileType.Directory and name.startswith("ingest_date="):
             day = _dt.date.fromisoformat(name.split("=", 1)[1])
             if day < cutoff.date():
                 fs.delete_dir(info.path)
-    boundary_dir = f"{base}/ingest_date={cutoff.date().isoformat()}"
-    survivors = spark.read.schema(STORE_DDL.replace(", ingest_date DATE", "") + ", ingest_date DATE").parquet(stage)
-    if survivors.limit(1).count() == 0:
-        if fs.get_file_info(boundary_dir).type == pafs.FileType.Directory:
-            fs.delete_dir(boundary_dir)
-    else:
-        (
-            survivors.select(*STORE_COLUMNS)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("ingest_date")
-            .parquet(path)
-        )
+            elif day == cutoff.date():
+                boundary = True
+    if boundary:
+        stage = _stage_name(spark, "retention-stage", path, cutoff.strftime("%Y%m%dT%H%M%S%f"))
+        _rewrite_day(spark, path, cutoff.date(), lambda d: d.where(F.col("created_at") >= F.lit(cutoff)), stage)
     return int(removed)
 
 
-def dedupe(events: DataFrame) -> DataFrame:
-    """Drop replayed copies by the lineage key (deterministic per source line)."""
-    return events.dropDuplicates(LINEAGE_KEY)
-
-
 def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_file: int = 5_000_000) -> int:
-    """Rewrite one ingest day into block-ordered files of ~target rows (many small stream appends -> few files).
+    """Rewrite one ingest day (many small stream appends) into block-ordered files of ~target rows.
 
-    The day is staged to the shared work folder first, then replaces its own
-    partition through dynamic partition overwrite. Returns the row count.
+    Rows keep their (event, batch_id) partitions; within the day they are
+    range-partitioned on (block, lineage key). Returns the row count.
     """
-    from chainsift.session import sub_dir
-
     day_rows = read_store(spark, path).where(F.col("ingest_date") == F.lit(day))
     n = day_rows.count()
     if n == 0:
         return 0
-    import uuid
-
-    stage = sub_dir(spark, "compact-stage", f"{day.isoformat()}-{uuid.uuid4().hex[:12]}")
     files = max(1, -(-n // target_rows_per_file))
-    (
-        day_rows.select(*STORE_COLUMNS)
-        .repartitionByRange(files, "block", *LINEAGE_KEY)
-        .sortWithinPartitions("block", *LINEAGE_KEY)
-        .write.mode("overwrite")
-        .parquet(stage)
-    )
-    (
-        spark.read.schema(STORE_DDL).parquet(stage).select(*STORE_COLUMNS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ingest_date")
-        .parquet(path)
+    stage = _stage_name(spark, "compact-stage", path, day.isoformat())
+    _rewrite_day(
+        spark, path, day,
+        lambda d: d.repartitionByRange(files, "block", *LINEAGE_KEY).sortWithinPartitions("block", *LINEAGE_KEY),
+        stage,
     )
     return n
+
+
+def dedupe(events: DataFrame) -> DataFrame:
+    """Drop replayed copies by the lineage key (deterministic per source line)."""
+    return events.dropDuplicates(LINEAGE_KEY)

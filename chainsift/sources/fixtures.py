@@ -21,7 +21,7 @@ from chainsift.sources.tables import table  # noqa: F401  (re-exported)
 # Fixed fixture values.
 BASE_BLOCK = 696372899
 # Bump when the line format changes, so cached hour files are not reused.
-FIXTURE_VERSION = "v1"
+FIXTURE_VERSION = "v2"
 TID_BASE = 320000000000000001
 COIN_BY_EVENT_TYPE = {"click": "BTC", "view": "ETH", "purchase": "SUI"}  # anything else: XRP
 

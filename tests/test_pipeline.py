@@ -58,3 +58,28 @@ def test_live_pipeline_tails_and_refreshes(spark, scratch):
     assert sorted((r["client_id"], r["block"]) for r in d.collect()) == [(7, 1), (7, 3), (7, 4), (8, 5), (8, 5)]
     # the stream wrote one snapshot row per subscriber and batch, not one row per delivery
     assert spark.read.parquet(cfg.delivery_path).count() <= 2 * 3
+
+
+def test_batch_and_stream_share_one_store(spark, scratch):
+    from chainsift.operators.parse import parse_fills
+    from chainsift.operators.explode import explode_fills
+    from chainsift.operators.store import append_events, read_store
+    from chainsift.sources.blocklog import read_block_log
+    from chainsift.streaming.pipeline import run_available_now
+
+    root, store = os.path.join(scratch, "logs"), os.path.join(scratch, "store")
+    write_log(root, "node_fills_by_block/hourly/20240101/3", fill(1, "0xa", 1))
+    # batch backfill of hour 3 ...
+    old = explode_fills(parse_fills(read_block_log(spark, root, now="2024-01-02T00:00:00")))
+    append_events(with_ingest_time(old), store)
+    # ... then the live pipeline picks up hour 4 from a saved position into the same store
+    write_log(root, "node_fills_by_block/hourly/20240101/4", fill(2, "0xa", 2))
+    cfg = PipelineConfig(
+        root=root, store_path=store, checkpoint=os.path.join(scratch, "ckpt"),
+        whitelist=lambda s: s.createDataFrame([("0xa", 1.0)], "address string, score double"),
+        types=("node_fills_by_block",),
+        options={"now": "2024-01-02T00:00:00", "startingPositions": {"node_fills_by_block/hourly/20240101/4": 0}},
+    )
+    run_available_now(spark, cfg)
+    got = sorted((r["block"], r["batch_id"]) for r in read_store(spark, store).collect())
+    assert got == [(1, -1), (2, 0)]
