@@ -27,9 +27,9 @@ BACKFILL_BATCH = -1
 
 
 def _fs(path: str):
-    import pyarrow.fs as pafs
+    from chainsift.session import filesystem
 
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    return filesystem(path)
 
 
 def with_ingest_time(events: DataFrame, created_at: Column | None = None) -> DataFrame:

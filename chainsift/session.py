@@ -25,6 +25,18 @@ REQUIRED_CONF = {
 }
 
 
+def filesystem(path: str):
+    """(pyarrow filesystem, path inside it) for a plain path, a ``file:`` URI or a remote URI."""
+    import pyarrow.fs as pafs
+
+    path = path.rstrip("/") or "/"
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path
+
+
 _SHIPPED: set = set()
 
 
@@ -53,7 +65,7 @@ def ship_package(spark: SparkSession) -> None:
     files.sort()
     digest = hashlib.sha1(b"".join(a.encode() + b for a, b in files)).hexdigest()[:12]
     target = f"{work_dir(spark)}/pyfiles/chainsift-{digest}.zip"
-    fs, path = pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+    fs, path = filesystem(target)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
         buf = io.BytesIO()
         with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:

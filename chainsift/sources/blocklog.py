@@ -50,11 +50,18 @@ _READ_CHUNK = 8 << 20
 
 
 def _fs(root: str):
+    """(pyarrow filesystem, path) for a plain path, a ``file:`` URI or a remote URI.
+
+    Kept inside this module (not imported) because the module is pickled by value.
+    """
     import pyarrow.fs as pafs
 
+    root = root.rstrip("/") or "/"
+    if root.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + root[len("file:"):].lstrip("/")
     if "://" in root:
         return pafs.FileSystem.from_uri(root)
-    return pafs.LocalFileSystem(), root.rstrip("/")
+    return pafs.LocalFileSystem(), root
 
 
 def _iso(text):

@@ -140,7 +140,13 @@ def _write_partition(root: str):
         import pyarrow as pa
         import pyarrow.fs as pafs
 
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root)
+        root_ = root.rstrip("/")
+        if root_.startswith("file:"):
+            fs, base = pafs.LocalFileSystem(), "/" + root_[len("file:"):].lstrip("/")
+        elif "://" in root_:
+            fs, base = pafs.FileSystem.from_uri(root_)
+        else:
+            fs, base = pafs.LocalFileSystem(), root_
         cur, out, n, nbytes = None, None, 0, 0
         files, counts, sizes = [], [], []
 
@@ -197,12 +203,14 @@ def publish_once(spark: SparkSession, final: str, build) -> str:
 
     import pyarrow.fs as pafs
 
-    fs, base = pafs.FileSystem.from_uri(final) if "://" in final else (pafs.LocalFileSystem(), final)
+    from chainsift.session import filesystem
+
+    fs, base = filesystem(final)
     if fs.get_file_info(f"{base}/_SUCCESS").type != pafs.FileType.NotFound:
         return final
     tmp = f"{final}.tmp-{uuid.uuid4().hex[:12]}"
     build(tmp)
-    _, tbase = pafs.FileSystem.from_uri(tmp) if "://" in tmp else (None, tmp)
+    _, tbase = filesystem(tmp)
     if fs.get_file_info(f"{tbase}/_SUCCESS").type == pafs.FileType.NotFound:
         with fs.open_output_stream(f"{tbase}/_SUCCESS") as m:
             m.write(b"")

@@ -17,7 +17,9 @@ from chainsift.schemas import HOURLY_DIR, LOG_TYPES
 def scan_text(spark: SparkSession, root: str, types=LOG_TYPES) -> DataFrame:
     import pyarrow.fs as pafs
 
-    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.rstrip("/"))
+    from chainsift.session import filesystem
+
+    fs, base = filesystem(root)
     present = [t for t in types if fs.get_file_info(f"{base}/{t}/{HOURLY_DIR}").type == pafs.FileType.Directory]
     paths = [f"{root.rstrip('/')}/{t}/{HOURLY_DIR}/*/*" for t in present]
     if not paths:
