@@ -76,3 +76,16 @@ def max_height(decoded_fill_lines: DataFrame) -> DataFrame:
 def as_json(events: DataFrame) -> DataFrame:
     """One JSON object per event ``{"user","event","block","data"}``; VARIANT keys come out sorted."""
     return events.select(F.to_json(F.struct("user", "event", "block", "data")).alias("json"))
+
+
+def page_json(page: DataFrame) -> DataFrame:
+    """K7: one row holding the page as a JSON array in page order, ``[]`` when empty.
+
+    Only for a page (its size is the page-size argument): the rows are
+    gathered into one value, ordered by the page key, each encoded as
+    ``{"user","event","block","data"}``.
+    """
+    item = F.struct(*[F.col(c) for c in PAGE_ORDER], F.to_json(F.struct("user", "event", "block", "data")).alias("_j"))
+    ordered = F.sort_array(F.collect_list(item))
+    text = F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["_j"]), ","), F.lit("]"))
+    return page.agg(F.coalesce(text, F.lit("[]")).alias("json"))

@@ -54,3 +54,15 @@ def test_block_filter_reaches_parquet_scan(spark, scratch):
     ev.write.parquet(scratch + "/ev")
     plan = Q.events_by_block(spark.read.parquet(scratch + "/ev"), 101, 110, 2, 5)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(block,101)" in plan
+
+
+def test_page_json(spark):
+    ev = events(spark, 12).withColumn("data", F.parse_json(F.concat(F.lit('{"k":'), F.col("block").cast("string"), F.lit("}"))))
+    page = Q.events_by_block(ev, 101, 102, 1, 3)
+    text = Q.page_json(page).first()["json"]
+    import json
+
+    rows = json.loads(text)
+    assert [r["block"] for r in rows] == [101, 101, 101] and rows[0]["data"] == {"k": 101}
+    empty = Q.page_json(Q.events_by_block(ev, 500, 600, 1, 3)).first()["json"]
+    assert empty == "[]"
