@@ -1,9 +1,11 @@
 """Whitelist operators.
 
 The whitelist is a table ``(address, score)``. Membership is an exact
-left-semi join: Spark broadcasts the list when its statistics say it is small
-and shuffles both sides otherwise (AQE splits hot-user partitions); nothing
-forces a broadcast.
+left-semi join. The member count is checked first: up to
+``BROADCAST_MAX_MEMBERS`` the list is broadcast, so the events are never
+shuffled (file-size statistics alone would miss a large table filtered down to
+few members, and AQE can only switch after the events were shuffled). Above
+that Spark plans a shuffle join and AQE splits hot-user partitions.
 """
 
 from __future__ import annotations
@@ -12,10 +14,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from chainsift.schemas import WHITELIST_PAGE
 
+# Largest member list sent to every task as a broadcast (~150 MB as a hash relation).
+BROADCAST_MAX_MEMBERS = 2_000_000
 
-def whitelisted(events: DataFrame, whitelist: DataFrame, user_col: str = "user") -> DataFrame:
+
+def whitelisted(
+    events: DataFrame, whitelist: DataFrame, user_col: str = "user", broadcast_max_rows: int = BROADCAST_MAX_MEMBERS
+) -> DataFrame:
     """Events whose user is a whitelist member (exact, byte-wise)."""
     members = whitelist.select(F.col("address").alias("_member"))
+    if broadcast_max_rows > 0 and members.count() <= broadcast_max_rows:
+        members = F.broadcast(members)
     return events.join(members, F.col(user_col) == F.col("_member"), "left_semi")
 
 

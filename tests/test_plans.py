@@ -26,7 +26,11 @@ def test_membership_not_forced_to_broadcast(spark, scratch):
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        big = whitelisted(ev, wl)
+        # the member-count check broadcasts a small list even when statistics would not
+        checked = whitelisted(ev, wl)
+        assert "BroadcastHashJoin" in checked._jdf.queryExecution().executedPlan().toString()
+        # above the bound nothing forces a broadcast
+        big = whitelisted(ev, wl, broadcast_max_rows=0)
         plan = big._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
         assert [r["user"] for r in big.collect()] == ["0x1"]
@@ -58,7 +62,7 @@ def test_hot_user_semi_join_is_split(spark):
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        df = whitelisted(ev, wl)
+        df = whitelisted(ev, wl, broadcast_max_rows=0)  # a list too large to broadcast
         n = len(df.collect())  # runs this plan, so its adaptive plan becomes final
         plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
