@@ -6,7 +6,7 @@ from conftest import write_log
 from pyspark.sql import functions as F
 
 from chainsift.operators.store import with_ingest_time
-from chainsift.streaming.pipeline import PipelineConfig, delivered_events, start_pipeline
+from chainsift.streaming.live import PipelineConfig, delivered_events, start_pipeline
 
 F5 = "node_fills_by_block/hourly/20240101/5"
 M5 = "misc_events_by_block/hourly/20240101/5"
@@ -65,7 +65,7 @@ def test_batch_and_stream_share_one_store(spark, scratch):
     from chainsift.operators.explode import explode_fills
     from chainsift.operators.store import append_events, read_store
     from chainsift.sources.blocklog import read_block_log
-    from chainsift.streaming.pipeline import run_available_now
+    from chainsift.streaming.live import run_available_now
 
     root, store = os.path.join(scratch, "logs"), os.path.join(scratch, "store")
     write_log(root, "node_fills_by_block/hourly/20240101/3", fill(1, "0xa", 1))
