@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, urlfilter
+from chainsift.llm import chat, prefixbpe, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -18,6 +18,27 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_paths(chat.paths(turns.union(extra)))).drop("branch")
 
 
+def vocabulary() -> str:
+    """Place of the byte-level vocabulary; the same on every machine of the cluster."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_documents(wavelet.write_shards(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefixbpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -26,6 +47,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_wavelet_matrix": op4_wavelet_matrix,
+    "op5_bpe": op5_bpe,
     "op8_url_filter": op8_url_filter,
 }
 
