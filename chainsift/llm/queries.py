@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, prefixbpe, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, prefixbpe, quality, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -39,6 +39,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
