@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, prefixbpe, quality, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, prefixbpe, quality, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TEMPLATE_CLASH), (-7, 1, "assistant", TEMPLATE_CLASH)], "conv_id long, turn long, role string, text string")
@@ -62,6 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op5_bpe": op5_bpe,
