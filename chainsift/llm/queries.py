@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, ngramjoin, prefixbpe, quality, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, prefixbpe, quality, suffixdedup, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -48,6 +48,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = suffixdedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
@@ -71,6 +82,7 @@ QUERIES = {
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
