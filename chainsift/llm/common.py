@@ -143,6 +143,16 @@ def batches(record_batch, limit: int = 4 << 20):
         at = to
 
 
+#: A list of ids up to this length is broadcast (about 32 MB), a longer one is joined by shuffle.
+BROADCAST_IDS = 1 << 20
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is not in ``ids``; rows with null doc_id stay."""
+    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of long pairs: (id, component = smallest id reachable).
 

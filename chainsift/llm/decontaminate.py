@@ -13,9 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from chainsift.llm.common import batches, flat_bytes, mix, shingle_hashes, words
+from chainsift.llm.common import batches, flat_bytes, mix, shingle_hashes, without_ids, words
 
 #: Words in a shingle; an item or window with fewer words is one shingle.
 SHINGLE = 5
@@ -227,4 +226,4 @@ def pa_batch(frame):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that a benchmark item leaked into (rows with null doc_id stay: they cannot be named)."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without_ids(docs, leaks(docs, benchmark).select("doc_id"))

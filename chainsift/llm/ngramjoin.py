@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import batches, components, flat_bytes, mix, shingle_hashes, stored, words
+from chainsift.llm.common import batches, components, flat_bytes, mix, shingle_hashes, stored, without_ids, words
 
 SHINGLE = 5
 #: Link when SIMILAR[1] * intersection >= SIMILAR[0] * union.
@@ -396,3 +396,16 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_long([signature(sets[k])[0] for k in mine]), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["c", "shingles"])
 
     return docs.select("doc_id", "text").join(classes, "doc_id").select("text", "c").mapInArrow(run, "c long, shingles binary")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays. Rows without doc_id stay (they
+    cannot be named), and so do texts without words.
+    """
+    groups = stored(join(docs), "groups")
+    many = groups.where("doc_id = component_id").groupBy("doc_id", "n_shingles").count().where("count > 1 and n_shingles > 0").select("doc_id")
+    kept = without_ids(docs, groups.where("doc_id <> component_id"))
+    again = kept.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "doc_id", "left_semi").select(*docs.columns)
+    return without_ids(kept, many).union(again.dropDuplicates(["doc_id"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, ngramjoin, prefixbpe, quality, suffixdedup, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, suffixdedup, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -16,6 +16,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))[0]
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", TEMPLATE_CLASH), (-7, 1, "assistant", TEMPLATE_CLASH)], "conv_id long, turn long, role string, text string")
@@ -78,6 +82,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_wavelet_matrix": op4_wavelet_matrix,
     "op5_bpe": op5_bpe,

@@ -257,6 +257,30 @@ def repeats(docs: DataFrame) -> DataFrame:
     return single.union(copies.distinct()).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
+def spans_of(ranges, size: int) -> list[tuple[int, int]]:
+    """Maximal removed byte ranges of a text from its repeated windows (first and last start)."""
+    out: list[list[int]] = []
+    for a, z in sorted((r["first"], r["last"] + LENGTH) for r in ranges or ()):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], z)
+        else:
+            out.append([a, z])
+    return [(a, min(z, size)) for a, z in out]
+
+
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for s in spans for x in s), len(raw)]
+    return b"".join(raw[edges[k]: edges[k + 1]] for k in range(0, len(edges), 2))
+
+
+def _with_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated windows of each text; the texts stay in place while these are few enough to send."""
+    found = stored(repeats(docs), "ranges")
+    n = found.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    joined = _keyed(docs).join(F.broadcast(found) if n <= BROADCAST_ROWS else found, ["t1", "t2"], "left")
+    return joined.select(*docs.columns, F.col("ranges").alias("_ranges"))
+
+
 def mark(docs: DataFrame) -> DataFrame:
     """``docs`` plus spans (removed byte ranges, start and end, maximal and ascending) and kept (the other bytes).
 
@@ -266,10 +290,7 @@ def mark(docs: DataFrame) -> DataFrame:
     """
     from pyspark.sql import types as T
 
-    docs = docs.drop("spans", "kept")
-    found = stored(repeats(docs), "ranges")
-    n = found.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    joined = _keyed(docs).join(F.broadcast(found) if n <= BROADCAST_ROWS else found, ["t1", "t2"], "left").drop("t1", "t2")
+    docs = docs.drop("spans", "kept", "t1", "t2")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     names = docs.columns
@@ -281,23 +302,31 @@ def mark(docs: DataFrame) -> DataFrame:
         for whole in it:
             for b in batches(whole):
                 spans, kept = [], []
-                for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist()):
+                for text, ranges in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist()):
                     raw = (text or "").encode()
-                    out: list[list[int]] = []
-                    for a, z in sorted((r["first"], r["last"] + LENGTH) for r in ranges or ()):
-                        if out and a <= out[-1][1]:
-                            out[-1][1] = max(out[-1][1], z)
-                        else:
-                            out.append([a, z])
-                    spans.append([{"start": a, "end": z} for a, z in out])
-                    edges = [0, *(x for s in out for x in s), len(raw)]
-                    kept.append(b"".join(raw[edges[k]: edges[k + 1]] for k in range(0, len(edges), 2)))
+                    own = spans_of(ranges, len(raw))
+                    spans.append([{"start": a, "end": z} for a, z in own])
+                    kept.append(without(raw, own))
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*names, "spans", "kept"])
 
-    return joined.select(*names, "ranges").mapInArrow(run, schema)
+    return _with_ranges(docs).mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut out of text; a character that loses a byte goes whole. Null texts stay null."""
-    marked = mark(docs)
-    return marked.withColumn("text", F.when(F.size("spans") > 0, F.call_function("try_validate_utf8", F.col("kept").cast("string"))).otherwise(F.col("text"))).select(*docs.columns)
+    names = docs.columns
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in it:
+            for b in batches(whole):
+                texts = []
+                for text, ranges in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist()):
+                    if ranges:
+                        raw = text.encode()
+                        text = without(raw, spans_of(ranges, len(raw))).decode(errors="ignore")
+                    texts.append(text)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
+
+    return _with_ranges(docs).mapInArrow(run, docs.schema)
