@@ -75,10 +75,8 @@ def paths(turns: DataFrame, best: int = 1) -> DataFrame:
     while step.where("up is not null").limit(1).count():
         levels.append(step)
         over = step.select("key", F.col("pos").alias("up"), F.col("up").alias("up2"), F.col("score").alias("more"))
-        step = stored(
-            step.join(over, ["key", "up"], "left").select("key", "pos", F.col("up2").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")),
-            "jump",
-        )
+        moved = step.where("up is not null").join(over, ["key", "up"]).select("key", "pos", F.col("up2").alias("up"), (F.col("score") + F.col("more")).alias("score"))
+        step = stored(moved.union(step.where("up is null")), "jump")  # only turns that have not reached their root take part
     answered = n.select("key", F.col("up").alias("pos")).where("pos is not null").distinct()
     rank = Window.partitionBy("key").orderBy(F.desc("score"), "pos")
     leaf = step.join(answered, ["key", "pos"], "left_anti").withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
