@@ -1,18 +1,24 @@
-"""Bloom filter as a table.
+"""Blocked Bloom filter as a table.
 
-Bits live in a table ``(word BIGINT, bits BIGINT)`` holding only non-zero
-64-bit words; building is a ``bit_or`` aggregate, probing is a join on the
-word. Positions are ``pmod(xxhash64(address, i), m)`` for i < k.
+Rows are ``(block BIGINT, bits BIGINT)``, only blocks with a bit set. All k
+bits of an address lie in one 64-bit block, so a probe is one lookup: the
+blocks are broadcast up to a checked size and the events never move. Block and
+bits come from the address's MD5, which every engine computes alike.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chainsift.schemas import BLOOM_CAPACITY, BLOOM_ERROR
 
+# Largest block table sent to every task (rows of 16 bytes); beyond it the probe is a shuffle join.
+BROADCAST_MAX_BLOCKS = 4_000_000
+# Bits of one block; an address sets at most ten (two hex digits of the digest each).
+BLOCK_BITS = 64
+
 
 def bloom_params(n: int = BLOOM_CAPACITY, p: float = BLOOM_ERROR) -> tuple[int, int]:
     """(m bits, k hashes) of the textbook optimum for n items at false-positive rate p."""
@@ -21,33 +27,49 @@ def bloom_params(n: int = BLOOM_CAPACITY, p: float = BLOOM_ERROR) -> tuple[int,
     return m, k
 
 
-def _positions(df: DataFrame, col: str, m: int, k: int) -> DataFrame:
-    pos = F.pmod(F.xxhash64(F.col(col), F.col("_i")), F.lit(m))
-    return df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("_pos", pos).select(
-        "*", F.floor(F.col("_pos") / 64).alias("word"), (F.col("_pos") % 64).cast("int").alias("bit")
-    )
+def _block(col: Column, m: int) -> Column:
+    """Block of an address: the digest's first 12 hex digits modulo the number of blocks."""
+    first = F.conv(F.substring(F.md5(col.cast("binary")), 1, 12), 16, 10).cast("bigint")
+    return first % F.lit(max(1, -(-m // BLOCK_BITS)))
+
+
+def _mask(col: Column, k: int) -> Column:
+    """k bits (repeats allowed) from the following digits, two for each bit."""
+    digest, out = F.md5(col.cast("binary")), F.lit(0).cast("bigint")
+    for i in range(min(k, (32 - 12) // 2)):
+        bit = (F.conv(F.substring(digest, 13 + 2 * i, 2), 16, 10).cast("int") % BLOCK_BITS).cast("int")
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    return out
 
 
 def bloom_build(wl: DataFrame, m: int, k: int, col: str = "address") -> DataFrame:
-    """A1: bit words of all members; partial ``bit_or`` per task before the shuffle."""
-    p = _positions(wl.select(col), col, m, k)
-    return p.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    """A1: blocks of all members; partial ``bit_or`` per task before the shuffle."""
+    return wl.select(_block(F.col(col), m).alias("block"), _mask(F.col(col), k).alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("bits"))
 
 
 def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Incremental add: OR of two bit tables."""
-    return a.unionByName(b).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    """Incremental add: OR of two block tables."""
+    return a.unionByName(b).groupBy("block").agg(F.bit_or("bits").alias("bits"))
 
 
-def bloom_members(values: DataFrame, bits: DataFrame, m: int, k: int, col: str = "user") -> DataFrame:
-    """Distinct values whose k bits are all set (no false negatives, ~p false positives)."""
-    v = values.select(col).distinct()
-    p = _positions(v, col, m, k).join(bits, "word", "left")
-    hit = F.coalesce(F.expr("(shiftright(bits, bit) & 1L) = 1L"), F.lit(False))
-    return p.groupBy(col).agg(F.min(hit.cast("int")).alias("_all")).where(F.col("_all") == 1).select(col)
+def bloom_prefilter(events: DataFrame, bits: DataFrame, m: int, k: int, col: str = "user", size: int | None = None) -> DataFrame:
+    """Events whose user may be a member (no false negatives); the log is read once and events stay where they are.
+
+    ``size``: number of blocks, if known; else it is bounded by m / 64, or
+    counted where that bound is too large to tell.
+    """
+    if size is None:
+        size = -(-m // BLOCK_BITS)
+        if size > BROADCAST_MAX_BLOCKS:
+            size = bits.count()
+    if size <= BROADCAST_MAX_BLOCKS:
+        bits = F.broadcast(bits)
+    hashed = events.withColumns({"_block": _block(F.col(col), m), "_mask": _mask(F.col(col), k)})
+    b = bits.select(F.col("block").alias("_b"), F.col("bits").alias("_bits"))
+    hit = (F.col("_block") == F.col("_b")) & (F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    return hashed.join(b, hit, "left_semi").drop("_block", "_mask")
 
 
-def bloom_prefilter(events: DataFrame, bits: DataFrame, m: int, k: int, col: str = "user") -> DataFrame:
-    """Events whose user may be a member; probes each distinct user once, then semi-joins."""
-    passing = bloom_members(events, bits, m, k, col).withColumnRenamed(col, "_u")
-    return events.join(passing, F.col(col) == F.col("_u"), "left_semi")
+def bloom_members(values: DataFrame, bits: DataFrame, m: int, k: int, col: str = "user") -> DataFrame:
+    """Distinct values whose k bits are all set."""
+    return bloom_prefilter(values.select(col).distinct(), bits, m, k, col)

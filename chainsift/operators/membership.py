@@ -19,11 +19,12 @@ BROADCAST_MAX_MEMBERS = 2_000_000
 
 
 def whitelisted(
-    events: DataFrame, whitelist: DataFrame, user_col: str = "user", broadcast_max_rows: int = BROADCAST_MAX_MEMBERS
+    events: DataFrame, whitelist: DataFrame, user_col: str = "user", broadcast_max_rows: int = BROADCAST_MAX_MEMBERS,
+    size: int | None = None,
 ) -> DataFrame:
-    """Events whose user is a whitelist member (exact, byte-wise)."""
+    """Events whose user is a whitelist member (exact, byte-wise). ``size``: the member count, if known already."""
     members = whitelist.select(F.col("address").alias("_member"))
-    if broadcast_max_rows > 0 and members.count() <= broadcast_max_rows:
+    if broadcast_max_rows > 0 and (members.count() if size is None else size) <= broadcast_max_rows:
         members = F.broadcast(members)
     return events.join(members, F.col(user_col) == F.col("_member"), "left_semi")
 

@@ -35,19 +35,16 @@ def files_between(spark: SparkSession, log_type: str, start, end) -> DataFrame:
     return hours.select(hour_path(log_type, "hour_ts").alias("file"), "hour_ts")
 
 
-def resume_from(lines: DataFrame, position_file: str, position: int) -> DataFrame:
-    """S7 on already-read rows: lines at or after a saved (file, byte) position of the same type.
-
-    Needs ``hour_ts`` on the rows. Later hours of the type start at 0.
-    """
+def newest_lines(spark: SparkSession, root: str, log_type: str) -> DataFrame:
+    """Lines of the newest hour file of a type that has any byte (found by listing; older files are not opened)."""
     from chainsift.functions.paths import decode_path
+    from chainsift.sources.blocklog import list_block_log, read_block_log
 
-    p = decode_path(F.lit(position_file))
-    t, h = p["type"], p["hour_ts"]
-    same_type = F.col("log_type") == t
-    return lines.where(
-        ~same_type | (F.col("hour_ts") > h) | ((F.col("hour_ts") == h) & (F.col("offset") >= F.lit(position)))
-    )
+    files = list_block_log(spark, root, [log_type]).where("size > 0")
+    top = files.agg(F.max_by("file", decode_path("file")["hour_ts"]).alias("f")).first()["f"]
+    if top is None:
+        return spark.createDataFrame([], "file string, offset bigint, value string")
+    return read_block_log(spark, root, [log_type], startingPositions={top: 0})
 
 
 def save_positions(lines: DataFrame, path: str) -> None:
@@ -61,10 +58,15 @@ def save_positions(lines: DataFrame, path: str) -> None:
     last.select("log_type", "p.file", "p.position").write.mode("overwrite").parquet(path)
 
 
+def saved(spark: SparkSession, path: str) -> DataFrame:
+    """The saved positions (log_type, file, position)."""
+    return spark.read.parquet(path)
+
+
 def load_positions(spark: SparkSession, path: str) -> dict:
     """Saved positions as the source's ``startingPositions`` (one row per log type).
 
     Types are independent: a type without a saved position simply starts from
     its oldest file.
     """
-    return {r["file"]: int(r["position"]) for r in spark.read.parquet(path).select("file", "position").collect()}
+    return {r["file"]: int(r["position"]) for r in saved(spark, path).select("file", "position").collect()}

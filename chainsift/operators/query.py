@@ -11,13 +11,13 @@ PAGE_ORDER = ["block", "event", "file", "offset", "event_pos", "user_pos"]
 def validate_page_args(start_block: int, end_block: int, page: int, size: int) -> None:
     """Page >= 1, size >= 1, 0 <= start <= end."""
     if page < 1:
-        raise ValueError("page must be greater than 0")
+        raise ValueError(f"page numbers start at 1, got {page}")
     if size < 1:
-        raise ValueError("size must be greater than 0")
+        raise ValueError(f"a page holds at least one event, got size {size}")
     if start_block < 0 or end_block < 0:
-        raise ValueError("blocks are unsigned")
+        raise ValueError("block numbers cannot be negative")
     if start_block > end_block:
-        raise ValueError("startBlock must be less than or equal to endBlock")
+        raise ValueError(f"empty block range: {start_block} is after {end_block}")
 
 
 def events_by_block(events: DataFrame, start_block: int, end_block: int, page: int, size: int) -> DataFrame:

@@ -1,29 +1,41 @@
-"""Event store on Parquet.
-
-Layout (batch and stream alike):
-``<store>/ingest_date=<d>/event=<fill|misc>/batch_id=<n>/part-*.parquet``.
-Stream micro-batches use their batch id (a retried batch overwrites its own
-partition); batch appends use ``BACKFILL_BATCH`` (-1). Rows are sorted by
-block inside files so min/max statistics skip row groups for block-range
-reads (the role of the upstream B-tree index). Retention drops whole day
-folders and rewrites only the boundary day.
+"""Event store on Parquet.
+
+Layout: ``<store>/segment=<name>/ingest_date=<d>/event=<fill|misc>/part-*.parquet``.
+Every write (append, stream micro-batch, compaction, retention) makes a new
+segment and then publishes one small commit file under ``<store>/_commits``
+that names the (segment, day) units it adds and those it replaces. Readers
+read the live units only, so a write is visible whole or not at all, a job
+that dies before its commit changes nothing, and nothing is deleted before its
+replacement is live (``vacuum`` removes dead folders later). Retention and
+compaction name exactly the units they read; rows that arrive meanwhile are
+other units and stay. Run one maintenance job at a time.
+
+Rows are sorted by block inside files, so min/max statistics skip row groups
+for block-range reads (the role of the upstream B-tree index).
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-import hashlib
+import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chainsift.schemas import EVENT_COLUMNS, LINEAGE_KEY, RETENTION_DAYS, STORE_COLUMNS
 
-STORE_DDL = (
+#: Columns of the data files; event, ingest_date and segment are folders.
+FILE_DDL = (
+    "user STRING, block BIGINT, data VARIANT, file STRING, offset BIGINT, event_pos INT, user_pos INT, "
+    "created_at TIMESTAMP, run_id STRING, batch_id INT"
+)
+STORE_DDL = FILE_DDL + ", segment STRING, ingest_date DATE, event STRING"
+ROW_DDL = (
     "user STRING, event STRING, block BIGINT, data VARIANT, file STRING, offset BIGINT, "
-    "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE, batch_id INT"
+    "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE"
 )
-STORE_PARTITIONS = ["ingest_date", "event", "batch_id"]
-BACKFILL_BATCH = -1
+BACKFILL_RUN, BACKFILL_BATCH = "backfill", -1
+COMMITS = "_commits"
 
 
 def _fs(path: str):
@@ -40,44 +52,155 @@ def with_ingest_time(events: DataFrame, created_at: Column | None = None) -> Dat
     )
 
 
+# --- commits -----------------------------------------------------------------
+
+def _put(fs, path: str, value: dict) -> None:
+    """Publish a small JSON file by rename: readers see it whole or not at all."""
+    tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    with fs.open_output_stream(tmp) as f:
+        f.write(json.dumps(value).encode())
+    fs.move(tmp, path)
+
+
+def _commits(path: str) -> dict[str, dict]:
+    """Commit files by name, without those that a later one has folded in."""
+    import pyarrow.fs as pafs
+
+    fs, base = _fs(path)
+    found = {}
+    for info in fs.get_file_info(pafs.FileSelector(f"{base}/{COMMITS}", allow_not_found=True)):
+        if info.base_name.endswith(".json"):
+            with fs.open_input_stream(info.path) as f:
+                found[info.base_name[: -len(".json")]] = json.loads(f.read())
+    folded = {n for c in found.values() for n in c.get("folds", ())}
+    return {n: c for n, c in found.items() if n not in folded}
+
+
+def commit(path: str, name: str, adds, replaces=(), folds=(), meta: dict | None = None) -> None:
+    """Make the units ``adds`` live and ``replaces`` dead in one step (units are (segment, day) pairs)."""
+    fs, base = _fs(path)
+    fs.create_dir(f"{base}/{COMMITS}", recursive=True)
+    at = _dt.datetime.now(_dt.timezone.utc).isoformat()
+    _put(fs, f"{base}/{COMMITS}/{name}.json", {
+        "adds": [list(u) for u in adds], "replaces": [list(u) for u in replaces], "folds": list(folds), "at": at, "meta": meta or {},
+    })
+
+
+def committed(path: str, name: str) -> bool:
+    return name in _commits(path)
+
+
+def live_units(path: str) -> list[tuple[str, str]]:
+    """(segment, day) units that readers see, sorted."""
+    commits = _commits(path).values()
+    dead = {tuple(u) for c in commits for u in c["replaces"]}
+    return sorted({tuple(u) for c in commits for u in c["adds"]} - dead)
+
+
+def fold_commits(path: str) -> None:
+    """Replace all commit files by one that lists the live units; the old files go after it is published."""
+    before = _commits(path)
+    dead = {tuple(u) for c in before.values() for u in c["replaces"]}
+    adds = sorted({tuple(u) for c in before.values() for u in c["adds"]} - dead)
+    # Names of stream batches stay known, so a late retry of a folded batch is still skipped.
+    done = sorted({n for c in before.values() for n in c["meta"].get("done", ())} | {n for n, c in before.items() if c["meta"].get("stream")})
+    name = f"fold-{uuid.uuid4().hex[:12]}"
+    in_order = sorted(before.values(), key=lambda c: c["at"])
+    meta = {k: {n: v for c in in_order for n, v in c["meta"].get(k, {}).items()} for k in ("snapshots", "state")} | {"done": done}
+    commit(path, name, adds, dead, before, meta)
+    fs, base = _fs(path)
+    for n in before:
+        fs.delete_file(f"{base}/{COMMITS}/{n}.json")
+
+
+def batch_done(path: str, name: str) -> bool:
+    """Whether a stream batch's commit exists, itself or folded."""
+    commits = _commits(path)
+    return name in commits or any(name in c["meta"].get("done", ()) for c in commits.values())
+
+
+def vacuum(path: str, grace_hours: float = 1.0) -> int:
+    """Delete segment days that no commit holds live and that are older than ``grace_hours`` (running readers keep theirs)."""
+    import pyarrow.fs as pafs
+
+    fs, base = _fs(path)
+    live = set(live_units(path))
+    limit = _dt.datetime.now(_dt.timezone.utc) - _dt.timedelta(hours=grace_hours)
+    gone = 0
+    for seg in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if not seg.base_name.startswith("segment="):
+            continue
+        days = [d for d in fs.get_file_info(pafs.FileSelector(seg.path)) if d.type == pafs.FileType.Directory]
+        dead = [d for d in days if (seg.base_name[8:], d.base_name.split("=", 1)[-1]) not in live and (grace_hours <= 0 or d.mtime is None or d.mtime <= limit)]
+        for d in dead:
+            fs.delete_dir(d.path)
+            gone += 1
+        if len(dead) == len(days) and (grace_hours <= 0 or seg.mtime is None or seg.mtime <= limit):
+            fs.delete_dir(seg.path)
+    return gone
+
+
+# --- reads and writes ----------------------------------------------------------
+
 def create_store(spark: SparkSession, path: str) -> None:
-    """K2: create the store folder if absent (idempotent); the schema is fixed (STORE_DDL)."""
+    """K2: create the store folder if absent (idempotent); writers hold to its fixed schema (ROW_DDL)."""
     fs, base = _fs(path)
-    fs.create_dir(base, recursive=True)
+    fs.create_dir(f"{base}/{COMMITS}", recursive=True)
 
 
-def write_partitions(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Write store rows (with ``batch_id``) under the store layout.
+def check_rows(rows: DataFrame) -> DataFrame:
+    """K2: the rows in the store's schema; a missing column or another type is refused."""
+    want = T._parse_datatype_string(ROW_DDL)
+    have = {f.name: f.dataType for f in rows.schema.fields}
+    for f in want.fields:
+        if have.get(f.name) != f.dataType:
+            raise ValueError(f"store column {f.name}: expected {f.dataType.simpleString()}, got {have.get(f.name) and have[f.name].simpleString()}")
+    return rows.select(*STORE_COLUMNS)
 
-    ``mode="overwrite"`` uses dynamic partition overwrite: only the
-    (day, event, batch) partitions present in ``rows`` are replaced.
-    """
-    w = rows.select(*STORE_COLUMNS, "batch_id").write.partitionBy(*STORE_PARTITIONS)
-    if mode == "overwrite":
-        w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    else:
-        w = w.mode("append")
-    w.parquet(path)
+
+def require_lineage(rows: DataFrame) -> DataFrame:
+    """Fails the job on a NULL in the lineage key: without it rows cannot be told apart."""
+    bad = F.raise_error(F.lit("lineage key (file, offset, event_pos, user_pos) must not be NULL"))
+    known = F.when(F.col("file").isNull() | F.col("offset").isNull() | F.col("event_pos").isNull() | F.col("user_pos").isNull(), bad.cast("string")).otherwise(F.col("file"))
+    return rows.withColumn("file", known)
+
+
+def write_segment(rows: DataFrame, path: str, segment: str) -> list[tuple[str, str]]:
+    """Write rows (STORE_COLUMNS, run_id, batch_id) as an unpublished segment; returns its units. Rewrites a dead attempt."""
+    import pyarrow.fs as pafs
+
+    target = f"{path.rstrip('/')}/segment={segment}"
+    rows.write.mode("overwrite").partitionBy("ingest_date", "event").parquet(target)
+    fs, base = _fs(target)
+    days = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return sorted((segment, d.base_name.split("=", 1)[1]) for d in days if d.base_name.startswith("ingest_date="))
 
 
-def append_events(rows: DataFrame, path: str, batch_id: int = BACKFILL_BATCH) -> None:
-    """K1: append store rows; an empty input writes nothing.
+def append_events(rows: DataFrame, path: str, run_id: str = BACKFILL_RUN, batch_id: int = BACKFILL_BATCH) -> None:
+    """K1: append store rows as one published segment; an empty input adds no unit.
 
-    Rows are range-partitioned on (ingest day, block, lineage key): each file
-    covers a narrow block range (tight min/max statistics for block reads),
-    and the unique lineage key lets a block holding a huge share of the rows
-    spread over several tasks.
+    Rows are sorted by block inside the input's own partitions: the log is
+    read in block order, so files cover narrow block ranges without a
+    shuffle, and the input is computed once. ``compact_day`` clusters a day.
     """
-    r = rows.select(*STORE_COLUMNS).withColumn("batch_id", F.lit(batch_id))
-    write_partitions(
-        r.repartitionByRange("ingest_date", "block", *LINEAGE_KEY).sortWithinPartitions("ingest_date", "block", *LINEAGE_KEY),
-        path,
-    )
+    name = f"{run_id}-{uuid.uuid4().hex[:12]}"
+    r = require_lineage(check_rows(rows)).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
+    units = write_segment(r.sortWithinPartitions("ingest_date", "event", "block", *LINEAGE_KEY), path, name)
+    commit(path, name, units)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store as a DataFrame with its fixed schema; filters on block / day / event reach the scan."""
-    return spark.read.schema(STORE_DDL).parquet(path)
+def read_units(spark: SparkSession, path: str, units) -> DataFrame:
+    base = path.rstrip("/")
+    paths = [f"{base}/segment={s}/ingest_date={d}" for s, d in units]
+    if not paths:
+        return spark.createDataFrame([], STORE_DDL)
+    return spark.read.schema(STORE_DDL).option("basePath", base).parquet(*paths)
+
+
+def read_store(spark: SparkSession, path: str, from_day: _dt.date | None = None) -> DataFrame:
+    """The live rows with their fixed schema; filters on block / day / event reach the scan."""
+    units = [u for u in live_units(path) if from_day is None or u[1] >= from_day.isoformat()]
+    return read_units(spark, path, units)
 
 
 def retain(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
@@ -89,87 +212,65 @@ def retain(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENTION_DAY
 
 
 def expired_count(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
-    """A4: number of rows a cleanup at ``as_of`` removes."""
+    """A4: number of rows a cleanup at ``as_of`` removes; the day predicate keeps the other days unread."""
     cutoff = as_of - _dt.timedelta(days=keep_days)
-    return store.where(F.col("created_at") < F.lit(cutoff)).agg(F.count(F.lit(1)).alias("removed"))
-
-
-def _rewrite_day(spark: SparkSession, path: str, day: _dt.date, rows_of_day, stage: str) -> None:
-    """Replace one day folder by ``rows_of_day(store)``, recoverably.
-
-    The new rows are staged first (in the shared work folder, name fixed per
-    store and day); a stage with ``_SUCCESS`` is reused by a re-run, so a job
-    that dies after the day folder was removed loses nothing. The day folder
-    is then removed and the staged rows appended.
-    """
-    import pyarrow.fs as pafs
-
-    fs, base = _fs(path)
-    sfs, sbase = _fs(stage)
-    if sfs.get_file_info(f"{sbase}/_SUCCESS").type == pafs.FileType.NotFound:
-        rows_of_day(read_store(spark, path).where(F.col("ingest_date") == F.lit(day))).select(
-            *STORE_COLUMNS, "batch_id"
-        ).write.mode("overwrite").parquet(stage)
-    day_dir = f"{base}/ingest_date={day.isoformat()}"
-    if fs.get_file_info(day_dir).type == pafs.FileType.Directory:
-        fs.delete_dir(day_dir)
-    staged = spark.read.schema(STORE_DDL).parquet(stage)
-    write_partitions(staged, path)
-    sfs.delete_dir(sbase)
-
-
-def _stage_name(spark: SparkSession, kind: str, path: str, tag: str) -> str:
-    from chainsift.session import sub_dir
-
-    return sub_dir(spark, kind, f"{hashlib.sha1(path.encode()).hexdigest()[:12]}-{tag}")
+    old = store.where((F.col("ingest_date") <= F.lit(cutoff.date())) & (F.col("created_at") < F.lit(cutoff)))
+    return old.agg(F.count(F.lit(1)).alias("removed"))
 
 
 def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> int:
-    """Delete expired rows in place; returns the number removed.
+    """Take expired rows out in one commit; returns the number removed.
 
-    Day folders wholly before the cutoff day are deleted; the boundary day is
-    rewritten with its surviving rows (see ``_rewrite_day``).
+    Days before the cutoff day go whole; the boundary day's survivors are
+    written as a new segment first. A job that dies before the commit leaves
+    the store as it was, after it the work is done.
     """
-    import pyarrow.fs as pafs
-
     cutoff = as_of - _dt.timedelta(days=keep_days)
-    removed = expired_count(read_store(spark, path), as_of, keep_days).first()["removed"]
-    fs, base = _fs(path)
-    boundary = False
-    for info in fs.get_file_info(pafs.FileSelector(base)):
-        name = info.base_name
-        if info.type == pafs.FileType.Directory and name.startswith("ingest_date="):
-            day = _dt.date.fromisoformat(name.split("=", 1)[1])
-            if day < cutoff.date():
-                fs.delete_dir(info.path)
-            elif day == cutoff.date():
-                boundary = True
-    if boundary:
-        stage = _stage_name(spark, "retention-stage", path, cutoff.strftime("%Y%m%dT%H%M%S%f"))
-        _rewrite_day(spark, path, cutoff.date(), lambda d: d.where(F.col("created_at") >= F.lit(cutoff)), stage)
-    return int(removed)
+    day = cutoff.date().isoformat()
+    units = live_units(path)
+    old, edge = [u for u in units if u[1] < day], [u for u in units if u[1] == day]
+    if not old and not edge:
+        return 0
+    removed = int(expired_count(read_units(spark, path, old + edge), as_of, keep_days).first()["removed"])
+    if not removed:
+        return 0
+    name, adds = f"retention-{uuid.uuid4().hex[:12]}", []
+    if edge:
+        left = read_units(spark, path, edge).where(F.col("created_at") >= F.lit(cutoff)).drop("segment")
+        adds = write_segment(left.sortWithinPartitions("ingest_date", "event", "block", *LINEAGE_KEY), path, name)
+    commit(path, name, adds, old + edge)
+    return removed
 
 
 def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_file: int = 5_000_000) -> int:
-    """Rewrite one ingest day (many small stream appends) into block-ordered files of ~target rows.
+    """Rewrite one day's segments (appends and stream batches) into one of block-ordered files of ~target rows.
 
-    Rows keep their (event, batch_id) partitions; within the day they are
-    range-partitioned on (block, lineage key). Returns the row count.
+    Rows are range-partitioned on (event, block, lineage key), keep their
+    run_id and batch_id as columns, and replace exactly the units that were
+    read. Returns the row count.
     """
-    day_rows = read_store(spark, path).where(F.col("ingest_date") == F.lit(day))
-    n = day_rows.count()
+    units = [u for u in live_units(path) if u[1] == day.isoformat()]
+    rows = read_units(spark, path, units).drop("segment")
+    n = rows.count() if units else 0
     if n == 0:
         return 0
     files = max(1, -(-n // target_rows_per_file))
-    stage = _stage_name(spark, "compact-stage", path, day.isoformat())
-    _rewrite_day(
-        spark, path, day,
-        lambda d: d.repartitionByRange(files, "block", *LINEAGE_KEY).sortWithinPartitions("block", *LINEAGE_KEY),
-        stage,
-    )
+    name = f"compact-{uuid.uuid4().hex[:12]}"
+    key = ["event", "block", *LINEAGE_KEY]
+    adds = write_segment(rows.repartitionByRange(files, *key).sortWithinPartitions("ingest_date", *key), path, name)
+    commit(path, name, adds, units)
+    fold_commits(path)
     return n
 
 
-def dedupe(events: DataFrame) -> DataFrame:
-    """Drop replayed copies by the lineage key (deterministic per source line)."""
-    return events.dropDuplicates(LINEAGE_KEY)
+def dedupe(events: DataFrame, replay: DataFrame | None = None) -> DataFrame:
+    """Drop replayed copies by the lineage key (deterministic per source line).
+
+    With ``replay`` (rows read again from saved positions) only files that the
+    replay touches can hold copies: the other rows pass by unshuffled.
+    """
+    if replay is None:
+        return require_lineage(events).dropDuplicates(LINEAGE_KEY)
+    touched = F.broadcast(replay.select("file").distinct())  # hour files since the saved position
+    both = require_lineage(events.join(touched, "file", "left_semi").unionByName(replay)).dropDuplicates(LINEAGE_KEY)
+    return events.join(touched, "file", "left_anti").unionByName(both)

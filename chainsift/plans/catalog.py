@@ -77,8 +77,8 @@ def q_events_by_block_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_latest_height(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2: block of the last decodable fill line (file order)."""
-    return Q.latest_height(C.decoded_fills(spark, sf_dir))
+    """A2: block of the last decodable fill line (file order); the newest hours only, older ones if they hold no valid line."""
+    return C.newest_height(spark, fixtures.height_root(spark, sf_dir))
 
 
 def q_max_height(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +109,10 @@ def q_retained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cleanup_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4: rows a cleanup at AS_OF removes."""
-    from chainsift.operators.store import expired_count
+    """A4: rows of a written store that a cleanup at AS_OF removes."""
+    from chainsift.operators.store import expired_count, read_store
 
-    return expired_count(fixtures.stored_events(spark, sf_dir), C.AS_OF)
+    return expired_count(read_store(spark, _retention_store(spark, sf_dir)), C.AS_OF)
 
 
 # --- whitelist -------------------------------------------------------------
@@ -173,7 +173,7 @@ def q_whitelist_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Bloom -----------------------------------------------------------------
 
 def q_bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: bit words of the whitelist at the service's sizing (10^8 items, 1 %)."""
+    """A1: blocks of the whitelist at the service's sizing (10^8 items, 1 %)."""
     from chainsift.operators.bloom import bloom_build, bloom_params
 
     m, k = bloom_params()
@@ -181,10 +181,24 @@ def q_bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bloom_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid fills whose user passes the Bloom probe (superset of whitelisted_fills)."""
+    """Valid fills whose user passes the Bloom probe at the service's sizing."""
     from chainsift.operators.bloom import bloom_build, bloom_params, bloom_prefilter
 
     m, k = bloom_params()
+    wl = fixtures.whitelist(spark, sf_dir)
+    bits = bloom_build(wl, m, k)
+    return C.fill_columns(bloom_prefilter(C.fill_events(spark, sf_dir), bits, m, k))
+
+
+# Sizing of the small filter: bits for 250 items at 1 %, whatever the list's length, so false positives are certain.
+SMALL_ITEMS = 250
+
+
+def q_bloom_prefilter_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same probe with a filter sized for 250 items: false positives pass, members always do."""
+    from chainsift.operators.bloom import bloom_build, bloom_params, bloom_prefilter
+
+    m, k = bloom_params(SMALL_ITEMS)
     bits = bloom_build(fixtures.whitelist(spark, sf_dir), m, k)
     return C.fill_columns(bloom_prefilter(C.fill_events(spark, sf_dir), bits, m, k))
 
@@ -272,7 +286,7 @@ def q_dedupe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     wl = fixtures.whitelist(spark, sf_dir)
     once = C.whitelisted_fills(spark, sf_dir)
     replay = whitelisted(C.resumed_fills(spark, sf_dir), wl)
-    return C.fill_columns(dedupe(once.unionByName(replay)))
+    return C.fill_columns(dedupe(once, replay))
 
 
 def q_text_fill_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,29 +303,72 @@ def q_saved_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Save the fill log's resume position (last file, bytes read) and load it back."""
     import uuid
 
-    from chainsift.operators.positions import load_positions, save_positions
+    from chainsift.operators.positions import newest_lines, save_positions, saved
     from chainsift.session import sub_dir
 
     path = sub_dir(spark, "positions", uuid.uuid4().hex)
-    save_positions(C.lines(spark, sf_dir, FILL_TYPE), path)
-    saved = load_positions(spark, path)
-    return spark.createDataFrame(sorted(saved.items()), "file string, position bigint")
+    save_positions(newest_lines(spark, fixtures.fixture_root(spark, sf_dir), FILL_TYPE), path)
+    return saved(spark, path).select("file", "position")
+
+
+def q_page_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page 3 of the store's fills as one JSON array, then read back."""
+    st = C.store(spark, sf_dir).where(F.col("event") == "fill")
+    page = Q.page_json(Q.events_by_block(st, PAGE_START, PAGE_END, PAGE_NO, PAGE_SIZE))
+    item = F.explode(F.from_json("json", "array<struct<user:string,event:string,block:bigint,data:struct<coin:string,px:string,oid:bigint,tid:bigint>>>"))
+    return page.select(item.alias("e")).select("e.user", "e.event", "e.block", "e.data.coin", "e.data.px", "e.data.oid", "e.data.tid")
+
+
+def q_member_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J5, point form: the score of the whitelist's smallest address."""
+    from chainsift.operators.membership import member_score
+
+    wl = fixtures.whitelist(spark, sf_dir)
+    first = wl.agg(F.min("address").alias("a")).first()["a"] or ""
+    return member_score(wl, first).select(F.lit(first).alias("address"), "score")
+
+
+def q_disconnect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscription state where every purchase event closes the client's connection."""
+    from chainsift.operators.subscriptions import active_subscriptions
+
+    log = fixtures.subscription_log(spark, sf_dir)
+    closed = F.when(F.col("action") == "purchase", F.lit("disconnect")).otherwise(F.col("action"))
+    return active_subscriptions(log.withColumn("action", closed))
+
+
+def q_empty_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: a created store takes rows of its schema only; rows by event type after a refused and an accepted append."""
+    import uuid
+
+    from chainsift.operators.store import append_events, create_store, read_store
+    from chainsift.session import sub_dir
+
+    path = sub_dir(spark, "created", uuid.uuid4().hex)
+    create_store(spark, path)
+    rows = fixtures.stored_events(spark, sf_dir)
+    try:
+        append_events(rows.withColumn("block", F.col("block").cast("string")), path)
+    except ValueError:
+        append_events(rows, path)
+    return read_store(spark, path).groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.max("block").alias("top"))
 
 
 def q_store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store compaction: four small appends of the day, compacted into block-ordered files; rows unchanged."""
+    """Store compaction: stream batches of the fills and appends of the misc events, merged into block-ordered files; rows unchanged."""
     import uuid
 
     from chainsift.operators.store import append_events, compact_day, read_store, with_ingest_time
+    from chainsift.plans.streams import bounded_run
     from chainsift.session import sub_dir
 
-    run = sub_dir(spark, "compaction", uuid.uuid4().hex)
-    path = f"{run}/store"
+    path = bounded_run(spark, sf_dir, "compaction", parts=4).store_path
+    staged = sub_dir(spark, "compaction", uuid.uuid4().hex)
     # Parse once into a staging table (cuts the lineage); the appends read it back.
-    with_ingest_time(C.all_events(spark, sf_dir), F.lit(C.INGEST_TS)).write.parquet(f"{run}/staged")
-    rows = spark.read.parquet(f"{run}/staged")
-    for i in range(4):
-        append_events(rows.where(F.col("block") % 4 == i), path)
+    with_ingest_time(C.whitelisted_misc(spark, sf_dir), F.lit(C.INGEST_TS)).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    for i in range(2):
+        append_events(rows.where(F.col("block") % 2 == i), path)
     compact_day(spark, path, C.INGEST_TS.date())
     return read_store(spark, path).select("user", "event", "block", "file", "event_pos", "user_pos")
 
@@ -341,6 +398,11 @@ QUERIES = {
     "whitelist_score": q_whitelist_score,
     "bloom_build": q_bloom_build,
     "bloom_prefilter": q_bloom_prefilter,
+    "bloom_prefilter_small": q_bloom_prefilter_small,
+    "page_json": q_page_json,
+    "member_score": q_member_score,
+    "disconnect": q_disconnect,
+    "empty_store": q_empty_store,
     "active_subscriptions": q_active_subscriptions,
     "fan_out": q_fan_out,
     "temporal_delivery": q_temporal_delivery,

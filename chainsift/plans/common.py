@@ -58,6 +58,33 @@ def decoded_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_hour(decode_fill_lines(lines(spark, sf_dir, FILL_TYPE)))
 
 
+def newest_height(spark: SparkSession, root: str) -> DataFrame:
+    """A2: the last valid fill line's block, reading only the newest hours.
+
+    Starts with the newest hour file; while that holds no valid line the
+    range grows backwards (1, 2, 4, ... hour files). One row, 0 without any.
+    """
+    from chainsift.operators.query import latest_height
+    from chainsift.sources.blocklog import list_block_log
+
+    hour = decode_path("file")["hour_ts"]
+    files, back = list_block_log(spark, root, [FILL_TYPE]).where("size > 0").select(hour.alias("h")), 1
+    while True:
+        first = files.orderBy(F.desc("h")).limit(back).agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("n")).first()
+        if first["h"] is None:
+            return latest_height(decode_fill_lines(spark.createDataFrame([], "file string, offset bigint, value string")).withColumn("hour_ts", hour))
+        start = first["h"].astimezone(_dt.timezone.utc) if first["h"].tzinfo else first["h"]
+        got = latest_height(with_hour(decode_fill_lines(read_block_log(spark, root, [FILL_TYPE], startHour=_utc_text(spark, start)))))
+        if first["n"] < back or got.where("height > 0").limit(1).count():
+            return got
+        back *= 2
+
+
+def _utc_text(spark: SparkSession, ts) -> str:
+    """An instant as the source's hour option (UTC), whatever the driver's zone."""
+    return spark.range(1).select(F.date_format(F.lit(ts), "yyyy-MM-dd'T'HH:mm:ss").alias("t")).first()["t"]
+
+
 def store_path(spark: SparkSession, sf_dir: str) -> str:
     """The event store of all whitelisted events, written once per work folder."""
     tag = hashlib.sha1((fixtures.FIXTURE_VERSION + sf_dir.rstrip("/")).encode()).hexdigest()[:12]

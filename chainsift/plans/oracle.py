@@ -43,7 +43,7 @@ mu AS (
   FROM mo WHERE o_orderstatus IN ('F', 'O')
   UNION ALL
   SELECT block, event_pos, block_time, o_orderkey, o_orderdate, o_totalprice, 1 AS user_pos,
-         CASE WHEN o_orderkey % 11 = 0 THEN o_custkey ELSE o_orderkey % 1500 END AS k
+         CASE WHEN o_orderkey % 11 = 0 THEN o_custkey ELSE o_orderkey % (SELECT count(*) FROM customer) END AS k
   FROM mo WHERE o_orderstatus IN ('F', 'O')
 ),
 wl AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
@@ -99,8 +99,9 @@ SQL = {
       SELECT "user", event, block, event_pos, user_pos FROM ae
       WHERE block BETWEEN 696373000 AND 696375000
       ORDER BY block, event, event_pos, user_pos LIMIT 100 OFFSET 100""",
-    "latest_height": f"""WITH {BAD_BLOCKS}
-      SELECT coalesce(max(block), 0) AS height FROM bb WHERE NOT (block % 97 = 0 OR block % 89 = 0)""",
+    "latest_height": f"""WITH {BAD_BLOCKS.rstrip()},
+      v AS (SELECT block, date_trunc('hour', block_time) AS h FROM bb WHERE NOT (block % 97 = 0 OR block % 89 = 0))
+      SELECT coalesce(min(block), 0) AS height FROM v WHERE h = (SELECT max(h) FROM v)""",
     "max_height": f"""WITH {BAD_BLOCKS}
       SELECT coalesce(max(block), 0) AS height FROM bb WHERE NOT (block % 97 = 0 OR block % 89 = 0)""",
 }
@@ -269,9 +270,48 @@ SQL["saved_positions"] = f"""WITH {LINE_TEXT.rstrip()},
   SELECT file, CAST(sum(strlen(value) + 1) AS BIGINT) AS position FROM lt WHERE file = (SELECT file FROM last) GROUP BY file"""
 SQL["store_compaction"] = SQL["all_events"]
 
-# At the service's sizing (958,505,838 bits, k = 7) a false positive has
-# probability (1 - e^(-k n / m))^k per probe: 2.5e-40 for the 302 members at
-# sf0.01 and below 1e-27 up to 15,000 members, so the Bloom pre-filter must
-# return exactly the whitelisted fills. (bloom_build has no SQL: its bit
-# positions use Spark's xxhash64.)
-SQL["bloom_prefilter"] = SQL["whitelisted_fills"]
+
+def _bloom(n: int, p: float = 0.01) -> tuple[str, str, int]:
+    """(block of {0}, mask of {0}, bits) as SQL: MD5 digits, as chainsift.operators.bloom states them."""
+    import math
+
+    m = math.ceil(-n * math.log(p) / math.log(2) ** 2)
+    k = max(1, round(m / n * math.log(2)))
+    block = f"(CAST('0x' || substr(md5({{0}}), 1, 12) AS BIGINT) % {max(1, -(-m // 64))})"
+    bits = " | ".join(f"(CASE WHEN CAST('0x' || substr(md5({{0}}), {13 + 2 * i}, 2) AS BIGINT) % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(CAST('0x' || substr(md5({{0}}), {13 + 2 * i}, 2) AS BIGINT) % 64 AS INTEGER) END)" for i in range(min(k, 10)))
+    return block, f"({bits})", m
+
+
+def _bloom_sql(n: int) -> tuple[str, str]:
+    block, mask, _ = _bloom(n)
+    build = f"""SELECT block, bit_or(mask) AS bits FROM (
+        SELECT {block.format('address')} AS block, {mask.format('address')} AS mask
+        FROM (SELECT {WL_ADDR} AS address FROM customer WHERE c_mktsegment = 'BUILDING')) GROUP BY block"""
+    probe = f"""WITH {FILLS_CTE.rstrip()}, bloom AS ({build}),
+      users AS (SELECT user_id FROM (SELECT user_id, {ADDR.format(n='user_id')} AS a FROM (SELECT DISTINCT user_id FROM vf)) u
+        JOIN bloom ON bloom.block = {block.format('u.a')} AND (bloom.bits & {mask.format('u.a')}) = {mask.format('u.a')})
+      SELECT {FILL_SELECT} FROM vf WHERE user_id IN (SELECT user_id FROM users)"""
+    return build, probe
+
+
+SQL["bloom_build"], SQL["bloom_prefilter"] = _bloom_sql(100_000_000)
+SQL["bloom_prefilter_small"] = _bloom_sql(250)[1]
+
+SQL["page_json"] = f"""WITH {FILLS_CTE}
+  SELECT {ADDR.format(n='user_id')} AS "user", 'fill' AS event, block,
+         CASE event_type WHEN 'click' THEN 'BTC' WHEN 'view' THEN 'ETH' WHEN 'purchase' THEN 'SUI' ELSE 'XRP' END AS coin,
+         CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS px, event_id AS oid, CAST(320000000000000001 + event_id AS BIGINT) AS tid
+  FROM vf WHERE user_id IN (SELECT c_custkey FROM wl) AND block BETWEEN 696373000 AND 696375000
+  ORDER BY block, event_pos LIMIT 100 OFFSET 200"""
+SQL["member_score"] = f"""SELECT {WL_ADDR} AS address, CAST(c_nationkey AS DOUBLE) AS score FROM customer
+  WHERE c_mktsegment = 'BUILDING' ORDER BY address LIMIT 1"""
+SQL["disconnect"] = f"""WITH {SUBLOG.rstrip()},
+  m AS (
+    SELECT client_id, event, action, ts_ms, seq FROM sublog
+    WHERE action IN ('subscribe', 'unsubscribe') AND event IN ('fill', 'misc')
+    UNION ALL SELECT client_id, t.event, 'unsubscribe', ts_ms, seq FROM sublog, (VALUES ('fill'), ('misc')) t(event) WHERE action = 'purchase')
+  SELECT client_id, event FROM (SELECT client_id, event, arg_max(action, (ts_ms, seq)) AS last_action FROM m GROUP BY client_id, event)
+  WHERE last_action = 'subscribe'"""
+SQL["empty_store"] = "SELECT 'fill' AS event, count(*) AS n, max(696372899 + event_id // 4) AS top FROM events"
+SQL["stream_resume_new_run"] = SQL["all_events"]
+SQL["stream_bounded_backlog"] = f"WITH {ALL_EVENTS_CTE} SELECT * FROM ae WHERE event = 'fill'"

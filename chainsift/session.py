@@ -37,7 +37,7 @@ def filesystem(path: str):
     return pafs.LocalFileSystem(), path
 
 
-_SHIPPED: set = set()
+_SHIPPED: dict = {}  # id of a SparkContext -> its application id (ids are reused after a stop)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -53,7 +53,7 @@ def ship_package(spark: SparkSession) -> None:
     import pyarrow.fs as pafs
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if _SHIPPED.get(id(sc)) == sc.applicationId:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     files = []
@@ -77,7 +77,7 @@ def ship_package(spark: SparkSession) -> None:
             out.write(buf.getvalue())
         fs.move(tmp, path)
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED[id(sc)] = sc.applicationId
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -112,7 +112,7 @@ def work_dir(spark: SparkSession) -> str:
     """Shared folder for written tables and lineage cuts.
 
     Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a fresh folder is created and registered as the checkpoint dir.
+    tests on a local master) a fresh folder is created and registered.
     """
     try:
         d = spark.conf.get("spark.checkpoint.dir", None)
@@ -123,6 +123,8 @@ def work_dir(spark: SparkSession) -> str:
         if d:
             # SparkContext appends a random UUID folder; its parent is the configured dir.
             d = os.path.dirname(d.rstrip("/"))
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if not d:
         d = tempfile.mkdtemp(prefix="chainsift-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)

@@ -175,6 +175,28 @@ class _Lister:
                 pos -= n
         return 0
 
+    def line_end(self, rel: str, start: int, budget: int, limit: int) -> int:
+        """Last line end within ``budget`` bytes after ``start``; a longer first line is taken whole."""
+        fs, base = _fs(self.root)
+        with fs.open_input_file(f"{base}/{rel}") as f:
+            pos = start + budget
+            while pos > start:
+                n = min(1 << 16, pos - start)
+                f.seek(pos - n)
+                i = f.read(n).rfind(b"\n")
+                if i >= 0:
+                    return pos - n + i + 1
+                pos -= n
+            pos = start + budget
+            f.seek(pos)
+            while pos < limit:
+                chunk = f.read(min(1 << 16, limit - pos))
+                i = chunk.find(b"\n")
+                if i >= 0:
+                    return pos + i + 1
+                pos += len(chunk)
+        return limit
+
     def plan(self, spans):
         """spans: [(rel, start, limit)] -> packed partitions of newline-owned ranges.
 
@@ -312,6 +334,19 @@ def _start_spans(lister: _Lister, files, starts: dict):
     return spans
 
 
+def last_offset(checkpoint: str):
+    """The newest source offset in a streaming checkpoint folder (planned, not necessarily committed), or None."""
+    import pyarrow.fs as pafs
+
+    fs, base = _fs(checkpoint)
+    found = [i for i in fs.get_file_info(pafs.FileSelector(f"{base}/offsets", allow_not_found=True)) if i.base_name.isdigit()]
+    if not found:
+        return None
+    with fs.open_input_stream(max(found, key=lambda i: int(i.base_name)).path) as f:
+        text = f.read().decode().strip().split("\n")[-1]
+    return json.loads(text) if text.startswith("{") else None
+
+
 class BlockLogReader(DataSourceReader):
     def __init__(self, options):
         self.options = _lower(options)
@@ -359,10 +394,12 @@ class BlockLogStreamReader(DataSourceStreamReader):
         return {"floor": floor, "files": {k: int(v) for k, v in starts.items()}}
 
     def latestOffset(self):
-        # The budget applies only once the previous end (= next start) is known;
-        # right after a (re)start everything available is taken, so the new end
-        # can never fall behind a committed offset.
-        known = self._latest is not None
+        # The next start is the newest offset of the checkpoint, so the byte
+        # bound holds from the first trigger after a (re)start on, and the
+        # new end cannot fall behind an offset that was planned before.
+        if self._latest is None and self.options.get("checkpoint"):
+            self._latest = last_offset(self.options["checkpoint"])
+        known = self._latest is not None or bool(self.options.get("checkpoint"))
         prev = self._latest or self.initialOffset()
         pfloor = self._floors(prev)
         budget = self.max_bytes if known else None
@@ -371,12 +408,11 @@ class BlockLogStreamReader(DataSourceStreamReader):
         for rel, hour_ts, size in listing:
             done = int(prev["files"].get(rel, 0))
             limit = self.lister.consumable(rel, size, hour_ts) if size > done else done
-            if limit > done and (budget is None or budget > 0):
-                pos[rel] = limit
-                if budget is not None:
-                    budget -= limit - done
-            else:
-                pos[rel] = done
+            if budget is not None and limit - done > budget:
+                limit = self.lister.line_end(rel, done, budget, limit) if budget > 0 else done
+            pos[rel] = max(limit, done)
+            if budget is not None:
+                budget = max(0, budget - (pos[rel] - done))
         floor = {t: v for t, v in prev.get("floor", {}).items()}
         by_type = {}
         for rel, hour_ts, size in listing:

@@ -21,7 +21,7 @@ from chainsift.sources.tables import table  # noqa: F401  (re-exported)
 # Fixed fixture values.
 BASE_BLOCK = 696372899
 # Bump when the line format changes, so cached hour files are not reused.
-FIXTURE_VERSION = "v2"
+FIXTURE_VERSION = "v2-r2"
 TID_BASE = 320000000000000001
 COIN_BY_EVENT_TYPE = {"click": "BTC", "view": "ETH", "purchase": "SUI"}  # anything else: XRP
 
@@ -102,7 +102,8 @@ def misc_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     k = F.col("o_orderkey")
     u1 = address("o_custkey")
-    u2 = F.when(k % 11 == 0, u1).otherwise(address(k % 1500))
+    n = table(spark, sf_dir, "customer").count()  # second users range over all customers
+    u2 = F.when(k % 11 == 0, u1).otherwise(address(k % max(1, n)))
     usdc = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     users = F.concat(
         F.lit("["), _q(u1), F.lit(","), _q(u2),
@@ -179,7 +180,7 @@ def _write_partition(root: str):
     return run
 
 
-def write_hour_files(lines: DataFrame, root: str, partitions: int | None = None) -> DataFrame:
+def write_hour_files(lines: DataFrame, root: str, partitions: int | None = None, order=F.asc) -> DataFrame:
     """Write (file, block, value) lines as hour files under root; returns per-file counts.
 
     All lines of one hour file go to one task (a file has one writer, as the
@@ -188,7 +189,7 @@ def write_hour_files(lines: DataFrame, root: str, partitions: int | None = None)
     n = partitions or lines.sparkSession.sparkContext.defaultParallelism
     return (
         lines.repartition(n, "file")
-        .sortWithinPartitions("file", "block")
+        .sortWithinPartitions("file", order("block"))
         .mapInArrow(_write_partition(root), "file string, lines long, bytes long")
     )
 
@@ -232,6 +233,15 @@ def fixture_root(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def height_root(spark: SparkSession, sf_dir: str) -> str:
+    """The fill log with the blocks of every hour written in falling order: its last line is not its highest block."""
+    tag = hashlib.sha1((FIXTURE_VERSION + "height" + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
+    root = sub_dir(spark, "fixtures", tag)
+    return publish_once(
+        spark, root, lambda tmp: write_hour_files(fill_lines(spark, sf_dir), tmp, order=F.desc).agg(F.sum("lines")).collect()
+    )
+
+
 def whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitelist members: BUILDING customers, score = nation key (many ties on purpose)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")

@@ -22,7 +22,7 @@ def test_no_false_negatives_and_fp_bound(spark):
     assert {r["address"] for r in members.collect()} <= got
     fp = len(got) - 1000
     theory = 19000 * (1 - math.exp(-k * 1000 / m)) ** k
-    assert fp <= 2 * theory + 5
+    assert fp <= 8 * theory + 5  # one 64-bit block per key costs accuracy
 
 
 def test_incremental_merge_equals_rebuild(spark):
