@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import _LOWER, batches, flat_bytes, mix, prefix_hash, shingle_hashes, span_hash, words
+from chainsift.llm.common import _LOWER, batches, flat_bytes, mix, prefix_hash, shingle_hashes, span_hash, stored, words
 
 KEEP, REJECT, NONE = 0, 1, 2
 #: Labeller: (signal, reject from, keep up to, least words to vote at all). Signals are shares of a text's words.
@@ -30,6 +30,8 @@ LABELLERS = (
 SIGNALS = tuple(x[0] for x in LABELLERS)
 #: Documents (about) whose posterior labels train the scorer; chosen by a hash of the row.
 FIT_ROWS = 20_000
+#: Labelled rows (about) that teach the insult labeller its words; chosen by a hash of doc_id.
+LABELLED_ROWS = 200_000
 #: Hashed features of the scorer (a power of two), and its threshold for keeping a text.
 FEATURES, KEEP_FROM = 1 << 16, 0.5
 #: A feature in fewer texts of the sample keeps weight 0.
@@ -192,7 +194,7 @@ def train(feature: np.ndarray, at: np.ndarray, target: np.ndarray, epochs: int =
 
 
 def learn_insults(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Hashes of the words typical of texts labelled toxic; all labelled texts count, each word once a text."""
+    """Hashes of the words typical of texts labelled toxic, from about LABELLED_ROWS labelled texts; a word counts once a text."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -217,7 +219,10 @@ def learn_insults(docs: DataFrame, labels: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(bad), pa.array(n - bad)], names=["word", "toxic", "other"])
 
     toxic = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    labelled = docs.select("doc_id", "text").join(toxic, "doc_id").select("text", "toxic")
+    part = min(1.0, LABELLED_ROWS / max(1, toxic.count()))
+    toxic = toxic.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * LABELLED_ROWS)
+    toxic = stored(toxic, "toxic")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(toxic), "doc_id").select("text", "toxic")  # at most 2 * LABELLED_ROWS rows
     n_toxic, n_other = toxic.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not n_toxic:
         return np.zeros(0, np.uint64)
