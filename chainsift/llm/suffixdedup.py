@@ -14,6 +14,10 @@ A byte goes when a LENGTH-byte string covers it that starts anywhere else too.
    interleave DEPTH times, which also yields the common prefixes: classes of
    two or more suffixes after DEPTH rounds are the repeated intervals. Merged
    suffixes are never sorted again.
+
+An anchor that very many different segments share (the border of a passage
+copied into a large part of all texts) would not fit into a task; its windows
+are counted by 128-bit hashes instead, with the same result.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import batches, flat_bytes, prefix_hash, span_hash, stored
+from chainsift.llm.common import _CODE, batches, flat_bytes, mix, prefix_hash, span_hash, stored
 
 LENGTH, STRIDE, GRAM = 400, 50, 48
 DEPTH = LENGTH // STRIDE
 #: Bytes of segments that are merged at once, and in how many shards; a single anchor's group may be larger.
 MERGE_BYTES, SHARDS = 1 << 19, 4
+#: An anchor with more distinct segments than this (about 10 MB of bytes) is not merged in one task: its windows are counted by their hashes.
+HOT_SEGMENTS = 1 << 14
 #: Windows of a text that are looked at in one go; a longer text is taken in such pieces.
 PIECE = 4 << 20
 #: Rows up to this number are broadcast to find their texts, more are joined by shuffle.
@@ -234,14 +240,32 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, segment long, first long, last long")
 
 
+def _counted(parts: DataFrame) -> DataFrame:
+    """As ``_merged``, for anchors with too many segments: windows with equal 128-bit hashes are counted, map-side first."""
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in it:
+            for anchor, own, data in zip(b.column("anchor").to_pylist(), b.column("segment").to_pylist(), b.column("bytes").to_pylist()):
+                raw = np.frombuffer(data, np.uint8)
+                at = np.arange(len(raw) - LENGTH + 1)
+                names = [span_hash(prefix_hash(raw, code), at, at + LENGTH).view(np.int64) for code in (_CODE, mix(_CODE))]
+                yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array([anchor] * len(at), pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at)], names=["w1", "w2", "anchor", "segment", "first"])
+
+    windows = stored(parts.dropDuplicates(["anchor", "segment"]).mapInArrow(run, "w1 long, w2 long, anchor long, segment long, first long"), "windows")
+    many = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+    return windows.join(many, ["w1", "w2"], "left_semi").select("anchor", "segment", "first", F.col("first").alias("last"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(t1, t2, ranges): first and last start of repeated windows, one row per distinct text that has any."""
     texts = _keyed(docs.select("doc_id", "text"))
     seen = stored(occurrences(texts.select("t1", "t2", "text")), "segments")
     place = F.struct("t1", "t2", "start", "size")
     kinds = stored(seen.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
-    contested = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = kinds.join(contested, "anchor").select("at.*", "anchor", "segment", "n")
+    contested = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    wanted = kinds.join(contested, "anchor").select("at.*", "anchor", "segment", "n", "k")
     wanted = stored(wanted, "wanted")
     by_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "segment", "start", "size")).alias("want"))
     # One row of each text; the ids only choose it.
@@ -250,7 +274,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     picked = F.broadcast(by_text) if wanted.count() <= BROADCAST_ROWS else by_text
     same = (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
     parts = _bytes_of(texts.alias("x").join(picked.alias("y"), same).select("x.text", "y.want"))
-    merged = stored(_merged(parts), "merged")
+    hot = wanted.where(F.col("k") > HOT_SEGMENTS).select("anchor").distinct()
+    n_hot = hot.count()
+    if n_hot:
+        parts = stored(parts, "bytes")
+        listed = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        merged = _merged(parts.join(listed, "anchor", "left_anti")).union(_counted(parts.join(listed, "anchor", "left_semi")))
+    else:
+        merged = _merged(parts)
+    merged = stored(merged, "merged")
     single = wanted.where("n = 1").join(merged, ["anchor", "segment"]).select("t1", "t2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     copies = seen.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
     copies = copies.select("t1", "t2", F.col("start").alias("first"), (F.col("start") + F.col("size") - LENGTH).alias("last"))

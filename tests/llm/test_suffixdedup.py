@@ -50,7 +50,8 @@ def corpus(prose):
 def test_equals_brute_force(spark, docs_df, prose, monkeypatch):
     rows = corpus(prose)
     want = brute(rows)
-    for merge, rows_sent, piece in ((1 << 19, 1 << 18, 4 << 20), (1, 0, 700)):
+    for merge, rows_sent, piece, hot in ((1 << 19, 1 << 18, 4 << 20, 1 << 14), (1, 0, 700, 3)):
+        monkeypatch.setattr(S, "HOT_SEGMENTS", hot)
         monkeypatch.setattr(S, "MERGE_BYTES", merge)
         monkeypatch.setattr(S, "BROADCAST_ROWS", rows_sent)
         monkeypatch.setattr(S, "PIECE", piece)
