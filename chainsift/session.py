@@ -22,6 +22,8 @@ REQUIRED_CONF = {
     # event types, one or two ingest days): up to two open writers per task
     # instead of sorting every row by partition first.
     "spark.sql.maxConcurrentOutputFileWriters": "2",
+    # Rows can be long texts: smaller batches keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
