@@ -127,7 +127,7 @@ def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def batches(record_batch, limit: int = 4 << 20):
+def batches(record_batch, limit: int = 2 << 20):
     """Cut an Arrow batch into slices of about ``limit`` text bytes (column ``text``), at least one row each."""
     import pyarrow.compute as pc
 

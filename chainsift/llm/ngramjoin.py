@@ -25,7 +25,7 @@ SHINGLE = 5
 #: Link when SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (4, 5)
 #: Shingles that a first look finds so often in LOOK_SHINGLES shingles of a task may be frequent; the MAX_FREQUENT most frequent go last in the order of rarity. This orders the search, it drops nothing.
-OFTEN, LOOK_SHINGLES, MAX_FREQUENT = 3, 4 << 20, 1 << 19
+OFTEN, LOOK_SHINGLES, MAX_FREQUENT = 3, 2 << 20, 1 << 19
 #: Part of a set by which its first shingles are extended, so that one shared shingle is not yet enough.
 EXTRA = 20
 #: Classes of one candidate cluster that are searched in one task; larger clusters are cut and joined over blocks of QUERY_BLOCK classes.
@@ -58,11 +58,22 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
-def first_shingles(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The part of a set that any linked set must meet: seldom shingles first, each kind in hash order."""
-    n = len(s)
-    late = np.isin(s, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
-    return s[np.lexsort((mix(s), late))[: n - required(n) + 1 + n // EXTRA]]
+def first_shingles(sets: list[np.ndarray], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, number of the set): the part of each set that any linked set must meet.
+
+    Seldom shingles come first, each kind in hash order; ``frequent`` is sorted.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    code = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    late = np.zeros(len(code), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)] == code
+    order = np.lexsort((mix(code), late, owner))
+    need = -(-SIMILAR[0] * size // SIMILAR[1])
+    place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+    keep = order[place < np.repeat(size - need + 1 + size // EXTRA, size)]
+    return code[keep], owner[keep]
 
 
 def enough(n):
@@ -123,18 +134,20 @@ def shared_postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         for whole in it:
-            for b in batches(whole, 16 << 20):
+            for b in batches(whole, 8 << 20):
                 rows, seen = [], set()
                 for part in batches(b):
+                    sets, names = [], []
                     for s in text_sets(*flat_bytes(part.column("text"))):
-                        if len(s):
-                            c = signature(s)[0]
-                            if c not in seen:
-                                seen.add(c)
-                                h = first_shingles(s, sent.value)
-                                r = np.empty(len(h), POSTING)
-                                r["h"], r["c"], r["n"] = h, c, len(s)
-                                rows.append(r)
+                        c = signature(s)[0]
+                        if len(s) and c not in seen:
+                            seen.add(c)
+                            sets.append(s)
+                            names.append(c)
+                    h, owner = first_shingles(sets, sent.value)
+                    r = np.empty(len(h), POSTING)
+                    r["h"], r["c"], r["n"] = h, np.array(names, np.int64)[owner], np.array([len(s) for s in sets])[owner]
+                    rows.append(r)
                 if rows:
                     r = np.concatenate(rows)
                     to = (mix(r["h"]) % np.uint64(parts)).astype(np.int64)
@@ -177,16 +190,16 @@ def shared_postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 class Lists:
-    """Inverted lists over the sets of one cluster."""
+    """Inverted lists over the sets of one cluster, those of at least ``least`` members."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], least: int = 1):
         self.sets = sets
         code = np.concatenate([np.zeros(0, np.uint64), *sets])
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(code, kind="stable")
         code, owner = code[order], owner[order]
         edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
-        many = np.flatnonzero(np.diff(edge) >= 1)
+        many = np.flatnonzero(np.diff(edge) >= least)
         self.list: dict[int, list[int]] = {int(code[edge[k]]): owner[edge[k]: edge[k + 1]].tolist() for k in many}
 
     def search(self, s: np.ndarray, skip) -> Iterator[int]:
@@ -248,7 +261,7 @@ def solve(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
     Every link between two components has an end outside a component that
     holds more than half of all members, so its members are not searched.
     """
-    lists, joined = Lists(sets), Joined(len(sets))
+    lists, joined = Lists(sets, 2), Joined(len(sets))  # a list of one holds only the set that asks
     size = [1] * len(sets)
     for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
         if 2 * size[joined.top(k)] > len(sets):
