@@ -24,7 +24,7 @@ from chainsift.llm.common import batches, components, flat_bytes, mix, shingle_h
 SHINGLE = 5
 #: Link when SIMILAR[1] * intersection >= SIMILAR[0] * union.
 SIMILAR = (4, 5)
-#: Shingles that a first look finds so often in LOOK_SHINGLES shingles of a task may be frequent; the MAX_FREQUENT most frequent go last in the order of rarity. This orders the search, it drops nothing.
+#: Shingles that a first look finds so often in LOOK_SHINGLES shingles of a task may be frequent; at most MAX_FREQUENT of the highest counts go last in the order of rarity. This orders the search, it drops nothing.
 OFTEN, LOOK_SHINGLES, MAX_FREQUENT = 3, 2 << 20, 1 << 19
 #: Part of a set by which its first shingles are extended, so that one shared shingle is not yet enough.
 EXTRA = 20
@@ -118,6 +118,20 @@ def look(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "kind int, a long, n long, b long, c long")
 
 
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes (a) of the highest counts (n): all from the lowest power of two on with which at most MAX_FREQUENT are left."""
+    counts = stored(counts, "counts")
+    sizes = {r.k: r.m for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count("*").alias("m")).collect()}  # a row per power of two
+    low, total = 64, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > MAX_FREQUENT:
+            break
+        low = k
+    rows = counts.where(F.col("n") >= F.lit(2.0) ** low).select("a").toPandas()
+    return np.sort(rows.a.to_numpy(np.int64).view(np.uint64))
+
+
 POSTING = np.dtype([("h", "<u8"), ("c", "<i8"), ("n", "<i4")])
 
 
@@ -279,7 +293,7 @@ def _solve_groups(rows: DataFrame, key: str) -> DataFrame:
     def run(it: Iterator) -> Iterator:
         import pandas as pd
 
-        now, ids, sets = None, [], []
+        now, ids, sets, seen = None, [], [], set()
 
         def links():
             out = [(ids[a], ids[b]) for a, b in solve(sets)]
@@ -290,9 +304,11 @@ def _solve_groups(rows: DataFrame, key: str) -> DataFrame:
                 if k != now:
                     if len(ids) > 1:
                         yield links()
-                    now, ids, sets = k, [], []
-                ids.append(c)
-                sets.append(np.frombuffer(s, "<u8"))
+                    now, ids, sets, seen = k, [], [], set()
+                if c not in seen:
+                    seen.add(c)
+                    ids.append(c)
+                    sets.append(np.frombuffer(s, "<u8"))
         if len(ids) > 1:
             yield links()
 
@@ -360,8 +376,7 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     seen = stored(look(docs), "sets")
     sets = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("b").alias("c"), F.col("c").alias("c2"))
-    common = seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(MAX_FREQUENT).select("a").toPandas()
-    frequent = np.sort(common.a.to_numpy(np.int64).view(np.uint64))
+    frequent = most_frequent(seen.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")))
     postings = stored(shared_postings(docs, frequent), "postings")
     strong = postings.groupBy("c").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough(F.col("n"))).select("c")
     strong = stored(strong, "strong")
@@ -375,15 +390,14 @@ def join(docs: DataFrame) -> DataFrame:
     )
     clusters = stored(components(pairs, "c", "c0").select(F.col("id").alias("c"), F.col("component").alias("cluster")), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    # One text of every candidate class.
-    classes = sets.join(clusters, "c", "left_semi").groupBy("c").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    n = clusters.count()
-    found = _fetch(docs, F.broadcast(classes) if n <= BROADCAST_ROWS else classes)
-    rows = stored(found.dropDuplicates(["c"]).join(clusters, "c").join(sizes, "cluster"), "candidates")
+    # One text of every candidate class; what is known of the class rides along, so that the sets move once.
+    classes = sets.join(clusters, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("cluster").alias("cluster")).where("doc_id is not null")
+    classes = stored(classes.join(sizes, "cluster"), "classes")
+    rows = stored(_fetch(docs, F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes), "candidates")
     links = _solve_groups(rows.where(F.col("size") <= CLUSTER), "cluster")
     big = rows.where(F.col("size") > CLUSTER)
     if big.limit(1).count():
-        big = stored(big.withColumn("piece", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") * 2 / CLUSTER))), "big")
+        big = stored(big.dropDuplicates(["c"]).withColumn("piece", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") * 2 / CLUSTER))), "big")
         own = _solve_groups(big.withColumn("key", F.concat_ws("-", "cluster", "piece")), "key")
         links = links.union(_join_blocks(big, stored(own, "links")))
     merged = components(links).select(F.col("id").alias("c"), "component")
@@ -397,7 +411,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, shingles) of the texts of ``classes`` (doc_id, c)."""
+    """(c, cluster, size, shingles) of the texts of ``classes`` (doc_id, c, cluster, size); rows that repeat a doc_id repeat its class."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -406,9 +420,11 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
             for b in batches(whole):
                 sets = list(text_sets(*flat_bytes(b.column("text"))))
                 mine = [k for k, (s, c) in enumerate(zip(sets, b.column("c").to_pylist())) if len(s) and signature(s)[0] == c]
-                yield pa.RecordBatch.from_arrays([_long([signature(sets[k])[0] for k in mine]), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["c", "shingles"])
+                kept = b.take(pa.array(mine, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("c", "cluster", "size")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["c", "cluster", "size", "shingles"])
 
-    return docs.select("doc_id", "text").join(classes, "doc_id").select("text", "c").mapInArrow(run, "c long, shingles binary")
+    wanted = docs.select("doc_id", "text").join(classes, "doc_id").select("text", "c", "cluster", "size")
+    return wanted.mapInArrow(run, "c long, cluster long, size long, shingles binary")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

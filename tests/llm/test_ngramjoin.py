@@ -89,3 +89,12 @@ def test_one_of_each_keeps_one(spark, docs_df):
     out = J.one_of_each(docs_df([(5, text), (3, text), (3, text), (9, ""), (8, "other words here"), (None, "x")]))
     assert sorted((r.doc_id for r in out.collect()), key=str) == [3, 8, 9, None]
     assert out.columns == ["doc_id", "text", "lang", "source", "n"]
+
+
+def test_most_frequent_is_bounded(spark, monkeypatch):
+    counts = spark.createDataFrame([(k, 3 + k % 40) for k in range(1000)], "a long, n long")
+    monkeypatch.setattr(J, "MAX_FREQUENT", 300)
+    got = J.most_frequent(counts)
+    assert 0 < len(got) <= 300 and sorted(got.tolist()) == got.tolist()
+    assert {k for k in range(1000) if 3 + k % 40 >= 32} == set(got.tolist())
+    assert len(J.most_frequent(counts.limit(0))) == 0
