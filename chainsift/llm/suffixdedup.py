@@ -38,8 +38,8 @@ MERGE_BYTES, SHARDS = 1 << 19, 4
 HOT_SEGMENTS = 1 << 14
 #: Windows of a text that are looked at in one go; a longer text is taken in such pieces.
 PIECE = 2 << 20
-#: Rows up to this number are broadcast to find their texts, more are joined by shuffle.
-BROADCAST_ROWS = 1 << 18
+#: Rows up to this number are broadcast to find their texts, more are joined by shuffle (the same way from middling sizes up).
+BROADCAST_ROWS = 1 << 14
 
 
 def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
