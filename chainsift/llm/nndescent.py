@@ -3,9 +3,11 @@
 Vectors compare only inside their label. Equal vectors are one class. Lists of
 nearest classes start from cells of random hyperplanes and are refined by
 comparing neighbours of neighbours; a list whose last entry is still a link is
-enlarged. An audit against brute force decides whether to go on. Links join
-classes to components, and links are counted in full inside each component,
-tile by tile, so that no list length limits them.
+enlarged. The lists are bounded, so they only say which classes lie together:
+their links join classes to first components, whose classes fill tiles. Then
+every tile meets every other of its label, except where the angle between the
+centres, less both radii, leaves no room for a link. That counts all links and
+joins the components that the lists left apart.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import components, prefix_hash, span_hash, stored
+from chainsift.llm.common import components, new_dir, prefix_hash, span_hash, stored
 
 #: Cosine (in double precision) from which two vectors link.
 LINK = 0.93
@@ -24,12 +26,14 @@ LINK = 0.93
 NEIGHBOURS, MOST_NEIGHBOURS = 8, 32
 #: Random partitions per start, and the aimed size of their cells; larger cells are cut into chunks of twice that.
 PARTITIONS, CELL = 3, 128
-#: Rounds of refinement per start; starts go on until the audit finds at least RECALL of its queries' links.
-ROUNDS, STARTS, RECALL = 3, 4, 0.97
+#: Rounds of refinement.
+ROUNDS = 3
 #: Queries of the audit (about), compared with all vectors.
 AUDIT = 1000
-#: Classes in a side of a tile when the links of a component are counted.
+#: Classes in a tile; a component with a quarter of that has tiles of its own.
 TILE = 512
+#: Bytes of vectors that a task's partition of tiles aims at, and that are sent to all tasks at once to meet their tiles.
+PART_BYTES, SENT_BYTES = 8 << 20, 32 << 20
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,8 +201,13 @@ def refine(lists: DataFrame, classes: DataFrame, dtype: str) -> DataFrame:
     return side.repartition("u").sortWithinPartitions("u").mapInPandas(run, NEAR)
 
 
-def audit(lists: DataFrame, classes: DataFrame, dtype: str) -> tuple[int, int]:
-    """(links found, links there) of about AUDIT classes compared with all others of their group; long lists count up to NEIGHBOURS."""
+def audit(linked: DataFrame, classes: DataFrame, dtype: str) -> tuple[int, int]:
+    """(links found, links there) of about AUDIT classes compared with all vectors of their group.
+
+    ``linked`` is (c, n_links). Links are neither capped nor summed over
+    classes before they are compared. Pairs at LINK to 1e-9 may count or not:
+    sums of products in another order differ there.
+    """
     n = classes.count()
     part = min(1 << 20, int(AUDIT / max(n, 1) * (1 << 20)) + 1)
     chosen = classes.where(F.pmod(F.xxhash64("c", F.lit(11)), F.lit(1 << 20)) < part).select("c", "g", "vec").limit(4 * AUDIT)
@@ -213,79 +222,155 @@ def audit(lists: DataFrame, classes: DataFrame, dtype: str) -> tuple[int, int]:
         by: dict[str, list] = {}
         for q in sent.value:
             by.setdefault(q[1], []).append(q)
-        sums: dict[int, int] = {}
+        sums: dict[int, np.ndarray] = {}
         for pdf in it:
             for g, rows in pdf.groupby("g", sort=False):
                 if g in by:
-                    q = np.array([x[0] for x in by[g]])
-                    hit = cosines(_matrix([x[2] for x in by[g]], dtype), _matrix(rows.vec.to_list(), dtype)) >= LINK
-                    hit &= q[:, None] != rows.c.to_numpy()[None, :]
-                    for k, m in zip(q.tolist(), hit.sum(axis=1).tolist()):
-                        sums[k] = sums.get(k, 0) + m
-        yield pd.DataFrame({"u": list(sums), "there": list(sums.values())}, dtype="int64")
-
-    there = classes.select("c", "g", "vec").mapInPandas(run, "u long, there long").groupBy("u").agg(F.sum("there").alias("there"))
-    found = lists.where(F.col("sim") >= LINK).groupBy("u").agg(F.count("*").alias("found"))
-    most = F.least("there", F.lit(NEIGHBOURS))
-    got = there.join(found, "u", "left").agg(F.sum(F.least(F.coalesce("found", F.lit(0)), most)), F.sum(most)).first()
-    return int(got[0] or 0), int(got[1] or 0)
-
-
-def graph(classes: DataFrame, dtype: str) -> tuple[DataFrame, float]:
-    """(u, v, sim) neighbour lists and the audited part of the links that they hold."""
-    lists, recall = None, 0.0
-    for again in range(STARTS):
-        new = start(classes, dtype, seed=again + 1).withColumn("fresh", F.lit(True))
-        lists = stored(shorten(new if lists is None else lists.withColumn("fresh", F.lit(False)).union(new), True), "lists")
-        for _ in range(ROUNDS):
-            found = refine(lists, classes, dtype).withColumn("fresh", F.lit(True))
-            lists = stored(shorten(lists.withColumn("fresh", F.lit(False)).union(found), True), "lists")
-            if not lists.where("fresh").limit(1).count():
-                break
-        hit, there = audit(lists, classes, dtype)
-        recall = hit / there if there else 1.0
-        if recall >= RECALL:
+                    sim = cosines(_matrix([x[2] for x in by[g]], dtype), _matrix(rows.vec.to_list(), dtype))
+                    m = rows.m.to_numpy()
+                    counts = np.stack([(sim >= LINK + e) @ m for e in (1e-9, 0, -1e-9)], axis=1)
+                    for q, k in zip(by[g], counts):
+                        sums[q[0]] = sums.get(q[0], 0) + k
+        rows = [(u, *map(int, k)) for u, k in sums.items()]
+        yield pd.DataFrame(rows, columns=["c", "least", "there", "most"]).astype("int64")
+
+    there = classes.select("c", "g", "m", "vec").mapInPandas(run, "c long, least long, there long, most long").groupBy("c")
+    there = there.agg(*(F.sum(k).alias(k) for k in ("least", "there", "most")))
+    found = F.coalesce("n_links", F.lit(-1)) + 1  # a class meets itself, too
+    got = there.join(linked, "c", "left").agg(F.sum(F.least(found, "there") - 1), F.sum(F.col("there") - 1)).first()
+    return int(got[0]), int(got[1])
+
+
+def graph(classes: DataFrame, dtype: str) -> DataFrame:
+    """(u, v, sim) neighbour lists; what they miss, ``compare`` finds."""
+    lists = stored(shorten(start(classes, dtype, seed=1).withColumn("fresh", F.lit(True)), True), "lists")
+    for _ in range(ROUNDS):
+        found = refine(lists, classes, dtype).withColumn("fresh", F.lit(True))
+        lists = stored(shorten(lists.withColumn("fresh", F.lit(False)).union(found), True), "lists")
+        if not lists.where("fresh").limit(1).count():
             break
-    return lists.select("u", "v", "sim"), recall
-
-
-def count_links(members: DataFrame, dtype: str) -> DataFrame:
-    """(c, links): vectors linked with each class, of all pairs inside its component (component, c, m, vec).
-
-    A component is cut into tiles of about TILE classes; each pair of tiles
-    is one unit of work that yields a number for each class, not its pairs.
+    return lists.select("u", "v", "sim")
+
+
+def unit(vecs, dtype: str) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = _matrix(vecs, dtype).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def linked(x: np.ndarray, y: np.ndarray, x4: np.ndarray, y4: np.ndarray) -> np.ndarray:
+    """Which rows of x and y (length 1, x4 and y4 the same in single precision) link: what single precision leaves open is decided in double."""
+    sim = x4 @ y4.T
+    room = np.float32((x.shape[1] + 8) * 2.0**-22)
+    hit = sim >= LINK + room
+    a, b = np.nonzero(~hit & (sim >= LINK - room))
+    for k in range(0, len(a), 1 << 16):
+        i, j = a[k: k + (1 << 16)], b[k: k + (1 << 16)]
+        hit[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= LINK
+    return hit
+
+
+def ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre (length 1) of rows of length 1 and the largest angle to it, with some room for rounding."""
+    centre = x.sum(axis=0)
+    norm = np.linalg.norm(centre)
+    if norm < 1e-6:
+        return x[0], np.pi
+    centre = centre / norm
+    return centre, float(np.arccos(np.clip((x @ centre).min(), -1, 1))) + 1e-6
+
+
+class Tiles:
+    """Tiles of classes of one group, in the order of their components."""
+
+    def __init__(self, component: np.ndarray, x: np.ndarray, m: np.ndarray):
+        self.component, self.x, self.m, self.x4 = component, x, m, x.astype(np.float32)
+        edge = np.flatnonzero(np.concatenate([[True], component[1:] != component[:-1], [True]]))
+        cuts = {0, len(x)}
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if b - a >= TILE // 4:
+                cuts |= {a, b}
+        cuts = sorted(cuts)
+        self.bound = [(k, min(k + TILE, b)) for a, b in zip(cuts[:-1], cuts[1:]) for k in range(a, b, TILE)]
+        balls = [ball(x[a:b]) for a, b in self.bound]
+        self.centre, self.radius = np.array([b[0] for b in balls]), np.array([b[1] for b in balls])
+
+    def meet(self, other: Tiles) -> tuple[np.ndarray, set[tuple[int, int]]]:
+        """Links of each class with the classes of ``other``, and the different components that link."""
+        links, joined = np.zeros(len(self.x), np.int64), set()
+        angle = np.arccos(np.clip(self.centre @ other.centre.T, -1, 1))
+        near = angle <= self.radius[:, None] + other.radius[None, :] + np.arccos(LINK) + 1e-6
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
+            (a, b), (p, q) = self.bound[i], other.bound[j]
+            hit = linked(self.x[a:b], other.x[p:q], self.x4[a:b], other.x4[p:q])
+            if hit.any():
+                links[a:b] += hit @ other.m[p:q]
+                own, its = self.component[a:b], other.component[p:q]
+                if own[0] != own[-1] or its[0] != its[-1] or own[0] != its[0]:
+                    u, v = np.nonzero(hit & (own[:, None] != its[None, :]))
+                    joined |= set(zip(own[u].tolist(), its[v].tolist()))
+        return links, joined
+
+
+def compare(members: DataFrame, dtype: str) -> tuple[DataFrame, DataFrame]:
+    """(c, n_links) of every class, and pairs (a, b) of components that link, of all pairs inside each group (g, component, c, m, vec).
+
+    The classes lie on disk by group and component. Some at a time are sent to
+    all tasks and meet the tiles there, so no vector is shuffled once per tile.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    cut = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("c"), F.col("tiles")).cast("int"))
-    sides = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    sides = sides.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "c", "m", "vec")
-
-    def run(it: Iterator) -> Iterator:
-        import pandas as pd
+    spark = members.sparkSession
+    size = members.agg(F.sum(F.length("vec"))).first()[0] or 0
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    key = ["g", "component", "c"]
+    dealt = members.select(*key, "m", "vec").repartitionByRange(parts, *key).sortWithinPartitions(*key).withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, "tiles")
+    sizes = dealt.groupBy("part").agg(F.sum(F.length("vec")).alias("size"), F.min("g").alias("low"), F.max("g").alias("high")).orderBy("part").collect()
+    passes: list[list] = []
+    for r in sizes:
+        if passes and passes[-1][2] + r["size"] <= SENT_BYTES:
+            passes[-1][1:3] = [r.part, passes[-1][2] + r["size"]]
+            passes[-1][4] = r.high
+        else:
+            passes.append([r.part, r.part, r["size"], r.low, r.high])
+    path = new_dir(spark, "met")
+    schema = "c long, links long, a long, b long"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for first, last, _, low, high in passes:
+        some = dealt.where(F.col("part").between(first, last)).orderBy(*key).select("g", "component", "m", "vec").toArrow()
+        sent = spark.sparkContext.broadcast([some.column(k).to_pylist() for k in ("g", "component", "m", "vec")])
+
+        def run(it: Iterator, sent=sent) -> Iterator:
+            groups = _tiles(*sent.value, dtype)
+            for pdf in it:
+                pdf = pdf.sort_values(["g", "component"], kind="stable")
+                for g, rows in pdf.groupby("g", sort=False):
+                    if g in groups:
+                        own = Tiles(rows.component.to_numpy(), unit(rows.vec.to_list(), dtype), rows.m.to_numpy())
+                        links, joined = own.meet(groups[g])
+                        yield _met(rows.c.to_numpy(), links, joined)
+
+        dealt.where(F.col("g").between(low, high)).drop("part").mapInPandas(run, schema).write.mode("append").parquet(path)
+        sent.destroy()
+    met = spark.read.schema(schema).parquet(path)
+    counted = met.where("c is not null").groupBy("c").agg((F.sum("links") - 1).alias("n_links"))  # each class meets itself once
+    return counted, met.where("a is not null").select("a", "b")
+
+
+def _tiles(g: list, component: list, m: list, vec: list, dtype: str) -> dict[str, Tiles]:
+    """Tiles of each group of rows in the order of group and component."""
+    edge = [k for k in range(len(g)) if k == 0 or g[k] != g[k - 1]] + [len(g)]
+    return {g[a]: Tiles(np.array(component[a:b], np.int64), unit(vec[a:b], dtype), np.array(m[a:b], np.int64)) for a, b in zip(edge[:-1], edge[1:])}
+
+
+def _met(c: np.ndarray, links: np.ndarray, joined: set[tuple[int, int]]):
+    import pandas as pd
 
-        ids, links, size = [], [], 0
-        for part in _groups(it, ["component", "p", "q"]):
-            own, p, q = part.own.to_numpy(), part.p.iloc[0], part.q.iloc[0]
-            a, b = part[own == p], part[own == q]
-            if not len(a) or not len(b):
-                continue
-            hit = cosines(_matrix(a.vec.to_list(), dtype), _matrix(b.vec.to_list(), dtype)) >= LINK
-            if p == q:
-                np.fill_diagonal(hit, False)
-            else:
-                ids.append(b.c.to_numpy())
-                links.append(a.m.to_numpy() @ hit)
-            ids.append(a.c.to_numpy())
-            links.append(hit @ b.m.to_numpy())
-            size += len(part)
-            if size >= 100_000:
-                yield pd.DataFrame({"c": np.concatenate(ids), "links": np.concatenate(links).astype(np.int64)})
-                ids, links, size = [], [], 0
-        if ids:
-            yield pd.DataFrame({"c": np.concatenate(ids), "links": np.concatenate(links).astype(np.int64)})
-
-    key = ["component", "p", "q"]
-    return sides.repartition(*key).sortWithinPartitions(*key).mapInPandas(run, "c long, links long").groupBy("c").agg(F.sum("links").alias("links"))
+    pairs = np.array(sorted(joined), np.int64).reshape(-1, 2)
+    has, n = np.flatnonzero(links), len(pairs)
+    return pd.DataFrame({
+        "c": pd.array([*c[has].tolist(), *[None] * n], "Int64"), "links": pd.array([*links[has].tolist(), *[None] * n], "Int64"),
+        "a": pd.array([*[None] * len(has), *pairs[:, 0].tolist()], "Int64"), "b": pd.array([*[None] * len(has), *pairs[:, 1].tolist()], "Int64"),
+    })
 
 
 def near_duplicates(table: DataFrame) -> tuple[DataFrame, float]:
@@ -301,19 +386,20 @@ def near_duplicates(table: DataFrame) -> tuple[DataFrame, float]:
     dtype = "<f4" if kind == "float" else "<f8"
     rows = stored(vectors(table if kind == "float" else table.withColumn("embedding", F.col("embedding").cast("array<double>")), dtype), "vectors")
     classes = stored(rows.groupBy("c", "g").agg(F.first("vec").alias("vec"), F.count("*").alias("m")), "classes")
-    lists, recall = graph(classes, dtype)
-    joined = stored(components(lists.where(F.col("sim") >= LINK), "u", "v"), "joined").select(F.col("id").alias("c"), "component")
-    links = count_links(classes.join(joined, "c").select("component", "c", "m", "vec"), dtype)
-    named = (
-        classes.select("c", "m").join(joined, "c", "left").join(links, "c", "left")
-        .select("c", F.coalesce("component", "c").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    )
-    valid = stored(rows.select("vec_id", "c").join(named, "c"), "linked")
+    lists = graph(classes, dtype)
+    first = stored(components(lists.where(F.col("sim") >= LINK), "u", "v"), "joined").select(F.col("id").alias("c"), "component")
+    members = stored(classes.join(first, "c", "left").withColumn("component", F.coalesce("component", "c")), "members")
+    counted, pairs = compare(members, dtype)
+    counted = stored(counted, "counted")
+    hit, there = audit(counted, classes, dtype)
+    last = stored(components(pairs), "joined").select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    named = members.select("c", "component").join(last, "component", "left").select("c", F.coalesce("whole", "component").alias("component"))
+    valid = stored(rows.select("vec_id", "c").join(named.join(counted, "c"), "c"), "linked")
     least = valid.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     valid = valid.join(least, "component").select("vec_id", "n_links", "component_id")
     rest = table.select("vec_id", "label", "embedding").where(~_usable(table))
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return valid.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), recall
+    return valid.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), hit / there if there else 1.0
 
 
 def _usable(table: DataFrame):
