@@ -202,7 +202,7 @@ def refine(lists: DataFrame, classes: DataFrame, dtype: str) -> DataFrame:
 
 
 def audit(linked: DataFrame, classes: DataFrame, dtype: str) -> tuple[int, int]:
-    """(links found, links there) of about AUDIT classes compared with all vectors of their group.
+    """(links found, links there) of about AUDIT classes compared with all vectors of their group; raises if one class has a wrong count.
 
     ``linked`` is (c, n_links). Links are neither capped nor summed over
     classes before they are compared. Pairs at LINK to 1e-9 may count or not:
@@ -237,7 +237,10 @@ def audit(linked: DataFrame, classes: DataFrame, dtype: str) -> tuple[int, int]:
     there = classes.select("c", "g", "m", "vec").mapInPandas(run, "c long, least long, there long, most long").groupBy("c")
     there = there.agg(*(F.sum(k).alias(k) for k in ("least", "there", "most")))
     found = F.coalesce("n_links", F.lit(-1)) + 1  # a class meets itself, too
-    got = there.join(linked, "c", "left").agg(F.sum(F.least(found, "there") - 1), F.sum(F.col("there") - 1)).first()
+    wrong = ~found.between(F.col("least"), F.col("most"))
+    got = there.join(linked, "c", "left").agg(F.sum(F.least(found, "there") - 1), F.sum(F.col("there") - 1), F.count_if(wrong)).first()
+    if got[2]:
+        raise RuntimeError(f"{got[2]} of {len(asked)} audited classes have a wrong number of links")
     return int(got[0]), int(got[1])
 
 

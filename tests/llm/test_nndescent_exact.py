@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from chainsift.llm import nndescent as N
 from test_nndescent import brute
@@ -40,3 +41,20 @@ def test_tiles_far_apart_are_not_compared(monkeypatch):
     tiles = N.Tiles(np.repeat([1, 2, 3], 64), rows / np.linalg.norm(rows, axis=1, keepdims=True), np.ones(192, np.int64))
     links, joined = tiles.meet(tiles)
     assert links.tolist() == [64] * 192 and not joined and len(calls) == 3
+
+
+def test_audit_raises_for_one_lost_link(spark):
+    rows = list(np.random.default_rng(4).standard_normal((80, 32)))
+    rows += [rows[0] + 0.01, *groups(np.random.default_rng(5), [100], 1)]  # one isolated pair beside a dense group
+    vecs = [np.asarray(x, "<f4").tobytes() for x in rows]
+    classes = spark.createDataFrame([(k, "1/32", 1, v) for k, v in enumerate(vecs)], "c long, g string, m long, vec binary")
+    links = (N.cosines(N._matrix(vecs, "<f4"), N._matrix(vecs, "<f4")) >= N.LINK).sum(axis=1) - 1
+    assert links[0] == links[80] == 1
+
+    def found(n):
+        return spark.createDataFrame([(k, int(x)) for k, x in enumerate(n)], "c long, n_links long")
+
+    assert N.audit(found(links), classes, "<f4") == (links.sum(), links.sum())
+    links[0] = 0
+    with pytest.raises(RuntimeError, match="1 of 181"):
+        N.audit(found(links), classes, "<f4")
