@@ -1,6 +1,8 @@
 """Repeated-substring removal by merging Burrows-Wheeler transforms of shards.
 
-A byte goes when a LENGTH-byte string covers it that starts anywhere else too.
+A byte goes when a LENGTH-byte string covers it that starts anywhere else too;
+``cut`` can also judge by a number of words, whose texts are then read as one
+code of CODE bytes a word, in windows of that many codes.
 
 1. Every LENGTH-byte window has an anchor, the place of the smallest hash of
    GRAM bytes inside it. Equal windows have equal anchors at equal places, so
@@ -9,10 +11,10 @@ A byte goes when a LENGTH-byte string covers it that starts anywhere else too.
    anchors that occur once are settled.
 2. The distinct segments of an anchor that has several go to one task. A
    segment is read as STRIDE interleaved strings of STRIDE-byte symbols, so
-   that a window is exactly DEPTH symbols. Each shard of segments gets its own
+   that a window is a whole number of symbols (the depth). Each shard of segments gets its own
    suffix order and transform; the transforms are merged by refining their
-   interleave DEPTH times, which also yields the common prefixes: classes of
-   two or more suffixes after DEPTH rounds are the repeated intervals. Merged
+   interleave that many times, which also yields the common prefixes: classes of
+   two or more suffixes after those rounds are the repeated intervals. Merged
    suffixes are never sorted again.
 
 An anchor that very many different segments share (the border of a passage
@@ -22,16 +24,18 @@ are counted by 128-bit hashes instead, with the same result.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import _CODE, batches, flat_bytes, mix, prefix_hash, span_hash, stored
+from chainsift.llm.common import _CODE, _LOWER, batches, flat_bytes, mix, prefix_hash, span_hash, stored, words
 
 LENGTH, STRIDE, GRAM = 400, 50, 48
-DEPTH = LENGTH // STRIDE
+#: Bytes of a word's code (48 bits of its hash), and words in a symbol of a text read as codes.
+CODE, CODED_WORDS = 8, 17
 #: Bytes of segments that are merged at once, and in how many shards; a single anchor's group may be larger.
 MERGE_BYTES, SHARDS = 1 << 19, 4
 #: An anchor with more distinct segments than this (about 10 MB of bytes) is not merged in one task: its windows are counted by their hashes.
@@ -53,9 +57,9 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1: w - 1 + n])
 
 
-def segments(raw: np.ndarray, off: np.ndarray):
+def segments(raw: np.ndarray, off: np.ndarray, window: int = LENGTH):
     """(text number, start, length, anchor hash, segment hash) of all segments of concatenated texts."""
-    n = len(raw) - LENGTH + 1
+    n = len(raw) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
@@ -64,27 +68,27 @@ def segments(raw: np.ndarray, off: np.ndarray):
     gram = span_hash(prefix, at, at + GRAM)
     bits = max(1, int(len(at) - 1).bit_length())
     place = np.uint64((1 << bits) - 1)
-    least = window_minimum((gram & ~place) | at.astype(np.uint64), LENGTH - GRAM + 1) & place  # ties: the first place
+    least = window_minimum((gram & ~place) | at.astype(np.uint64), window - GRAM + 1) & place  # ties: the first place
     text = np.searchsorted(off, np.arange(n), side="right") - 1
-    inside = np.arange(n) + LENGTH <= off[text + 1]
+    inside = np.arange(n) + window <= off[text + 1]
     new = np.ones(n, bool)
     new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
     start = np.flatnonzero(new)
     end = np.append(start[1:], n)
     keep = inside[start]
     start, end = start[keep], end[keep]
-    length = end - start + LENGTH - 1
+    length = end - start + window - 1
     return text[start], start, length, gram[least[start].astype(np.int64)], span_hash(prefix, start, start + length)
 
 
-def suffix_order(symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Order of a shard's suffixes by their first DEPTH symbols (prefix doubling).
+def suffix_order(symbol: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
+    """Order of a shard's suffixes by their first ``depth`` symbols (prefix doubling).
 
     ``symbol[i]`` is 0 at the end of a string; ``left[i]`` counts the symbols
     from i to that end. Strings lie one after the other.
     """
     rank, k = symbol.astype(np.int64), 1
-    while k < DEPTH:
+    while k < depth:
         beyond = np.zeros(len(rank), np.int64)
         on = np.flatnonzero(left >= k)
         beyond[on] = rank[on + k]
@@ -93,8 +97,8 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def merge(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes after DEPTH refinements, and the class of each merged suffix.
+def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave of the shards' suffixes after ``depth`` refinements, and the class of each merged suffix.
 
     A round reads the transforms in the order of the present interleave and
     deals the suffixes that stand before them by that symbol; classes split
@@ -105,7 +109,7 @@ def merge(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     group = np.zeros(len(whole), np.int64)
     index = np.arange(len(whole))
-    for _ in range(DEPTH):
+    for _ in range(depth):
         symbol = whole[index]
         deal = np.argsort(symbol, kind="stable")
         shard, group, symbol = shard[deal], group[deal], symbol[deal]
@@ -116,7 +120,7 @@ def merge(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return index, group
 
 
-def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
+def repeated_windows(parts: list[bytes], window: int = LENGTH, stride: int = STRIDE) -> list[np.ndarray]:
     """For each of the (distinct) segments, which of its windows start anywhere else in them."""
     size = np.array([len(p) for p in parts], np.int64)
     raw = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8)  # the place after a segment ends a string that fills it
@@ -124,13 +128,13 @@ def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
     prefix = prefix_hash(raw)
     owner = np.repeat(np.arange(len(parts)), size + 1)
     place = np.arange(len(raw)) - off[owner]
-    whole = place + STRIDE <= size[owner]  # a symbol fits; elsewhere a string ends
+    whole = place + stride <= size[owner]  # a symbol fits; elsewhere a string ends
     code = np.zeros(len(raw), np.int64)
     at = np.flatnonzero(whole)
-    code[at] = np.unique(span_hash(prefix, at, at + STRIDE), return_inverse=True)[1] + 1
+    code[at] = np.unique(span_hash(prefix, at, at + stride), return_inverse=True)[1] + 1
     # Strings one after the other: by segment, then by phase; the last place of each is its end.
-    order = np.lexsort((place, place % STRIDE, owner))
-    code, place, owner, left = code[order], place[order], owner[order], ((size[owner] - place) // STRIDE)[order]
+    order = np.lexsort((place, place % stride, owner))
+    code, place, owner, left = code[order], place[order], owner[order], ((size[owner] - place) // stride)[order]
     shards = min(SHARDS, len(parts))
     bound = np.searchsorted(off[:-1], np.linspace(0, len(raw), shards + 1)[1:-1])
     cut = [0, *np.searchsorted(owner, bound).tolist(), len(raw)]
@@ -138,18 +142,18 @@ def repeated_windows(parts: list[bytes]) -> list[np.ndarray]:
     for a, b in zip(cut[:-1], cut[1:]):
         if a == b:
             continue
-        order = suffix_order(code[a:b], left[a:b])
+        order = suffix_order(code[a:b], left[a:b], window // stride)
         before = np.zeros(b - a, np.int64)
         before[1:] = code[a: b - 1]
-        before[place[a:b] < STRIDE] = 0  # the first place of a string
+        before[place[a:b] < stride] = 0  # the first place of a string
         transforms.append(before[order])
         suffixes.append(order + a)
-    index, group = merge(transforms)
+    index, group = merge(transforms, window // stride)
     many = np.bincount(group)[group] >= 2
     hit = np.concatenate(suffixes)[index[many]]
     flag = np.zeros(len(raw), bool)
     flag[off[owner[hit]] + place[hit]] = True
-    return [flag[a: b - LENGTH] for a, b in zip(off[:-1], off[1:])]
+    return [flag[a: b - window] for a, b in zip(off[:-1], off[1:])]
 
 
 def runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +171,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 OCCURRENCE = "t1 long, t2 long, start long, size int, anchor long, segment long"
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, window: int = LENGTH) -> DataFrame:
     """All segments of all texts (t1, t2, text)."""
 
     def run(it: Iterator) -> Iterator:
@@ -178,9 +182,9 @@ def occurrences(texts: DataFrame) -> DataFrame:
                 raw, off = flat_bytes(b.column("text"))
                 t1, t2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2"))
                 pieces = [(raw, off, 0)] if len(off) > 2 or len(raw) <= 2 * PIECE else [
-                    (raw[k: k + PIECE + LENGTH - 1], np.array([0, min(PIECE + LENGTH - 1, len(raw) - k)]), k) for k in range(0, len(raw), PIECE)]
+                    (raw[k: k + PIECE + window - 1], np.array([0, min(PIECE + window - 1, len(raw) - k)]), k) for k in range(0, len(raw), PIECE)]
                 for data, o, shift in pieces:
-                    text, start, size, anchor, own = segments(data, o)
+                    text, start, size, anchor, own = segments(data, o, window)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(t1[text]), pa.array(t2[text]), pa.array(start - o[text] + shift), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)),
                     ], names=["t1", "t2", "start", "size", "anchor", "segment"])
@@ -210,7 +214,7 @@ def _bytes_of(texts: DataFrame) -> DataFrame:
     return texts.select("text", "want").mapInArrow(run, "anchor long, segment long, bytes binary")
 
 
-def _merged(parts: DataFrame) -> DataFrame:
+def _merged(parts: DataFrame, window: int = LENGTH, stride: int = STRIDE) -> DataFrame:
     """(anchor, segment, first, last): runs of repeated windows of the contested segments."""
 
     def run(it: Iterator) -> Iterator:
@@ -219,7 +223,7 @@ def _merged(parts: DataFrame) -> DataFrame:
         now, held, keys, size, seen = None, [], [], 0, set()
 
         def solve():
-            rows = [(k, a, b) for k, flag in zip(keys, repeated_windows(held)) for a, b in zip(*(x.tolist() for x in runs(flag)))]
+            rows = [(k, a, b) for k, flag in zip(keys, repeated_windows(held, window, stride)) for a, b in zip(*(x.tolist() for x in runs(flag)))]
             return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["anchor", "segment", "first", "last"])
 
         for b in it:
@@ -240,7 +244,7 @@ def _merged(parts: DataFrame) -> DataFrame:
     return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, segment long, first long, last long")
 
 
-def _counted(parts: DataFrame) -> DataFrame:
+def _counted(parts: DataFrame, window: int = LENGTH) -> DataFrame:
     """As ``_merged``, for anchors with too many segments: windows with equal 128-bit hashes are counted, map-side first."""
 
     def run(it: Iterator) -> Iterator:
@@ -249,8 +253,8 @@ def _counted(parts: DataFrame) -> DataFrame:
         for b in it:
             for anchor, own, data in zip(b.column("anchor").to_pylist(), b.column("segment").to_pylist(), b.column("bytes").to_pylist()):
                 raw = np.frombuffer(data, np.uint8)
-                at = np.arange(len(raw) - LENGTH + 1)
-                names = [span_hash(prefix_hash(raw, code), at, at + LENGTH).view(np.int64) for code in (_CODE, mix(_CODE))]
+                at = np.arange(len(raw) - window + 1)
+                names = [span_hash(prefix_hash(raw, code), at, at + window).view(np.int64) for code in (_CODE, mix(_CODE))]
                 yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array([anchor] * len(at), pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at)], names=["w1", "w2", "anchor", "segment", "first"])
 
     windows = stored(parts.dropDuplicates(["anchor", "segment"]).mapInArrow(run, "w1 long, w2 long, anchor long, segment long, first long"), "windows")
@@ -258,10 +262,10 @@ def _counted(parts: DataFrame) -> DataFrame:
     return windows.join(many, ["w1", "w2"], "left_semi").select("anchor", "segment", "first", F.col("first").alias("last"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, window: int = LENGTH, stride: int = STRIDE) -> DataFrame:
     """(t1, t2, ranges): first and last start of repeated windows, one row per distinct text that has any."""
     texts = _keyed(docs.select("doc_id", "text"))
-    seen = stored(occurrences(texts.select("t1", "t2", "text")), "segments")
+    seen = stored(occurrences(texts.select("t1", "t2", "text"), window), "segments")
     place = F.struct("t1", "t2", "start", "size")
     kinds = stored(seen.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
     contested = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
@@ -279,20 +283,20 @@ def repeats(docs: DataFrame) -> DataFrame:
     if n_hot:
         parts = stored(parts, "bytes")
         listed = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        merged = _merged(parts.join(listed, "anchor", "left_anti")).union(_counted(parts.join(listed, "anchor", "left_semi")))
+        merged = _merged(parts.join(listed, "anchor", "left_anti"), window, stride).union(_counted(parts.join(listed, "anchor", "left_semi"), window))
     else:
-        merged = _merged(parts)
+        merged = _merged(parts, window, stride)
     merged = stored(merged, "merged")
     single = wanted.where("n = 1").join(merged, ["anchor", "segment"]).select("t1", "t2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     copies = seen.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
-    copies = copies.select("t1", "t2", F.col("start").alias("first"), (F.col("start") + F.col("size") - LENGTH).alias("last"))
+    copies = copies.select("t1", "t2", F.col("start").alias("first"), (F.col("start") + F.col("size") - window).alias("last"))
     return single.union(copies.distinct()).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
 
-def spans_of(ranges, size: int) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges of a text from its repeated windows (first and last start)."""
+def spans_of(ranges, size: int, more=()) -> list[tuple[int, int]]:
+    """Maximal removed byte ranges of a text from its repeated windows (first and last start) and ``more`` ranges (start, end)."""
     out: list[list[int]] = []
-    for a, z in sorted((r["first"], r["last"] + LENGTH) for r in ranges or ()):
+    for a, z in sorted([*((r["first"], r["last"] + LENGTH) for r in ranges or ()), *more]):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:
@@ -344,21 +348,81 @@ def mark(docs: DataFrame) -> DataFrame:
     return _with_ranges(docs).mapInArrow(run, schema)
 
 
-def cut(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of text; a character that loses a byte goes whole. Null texts stay null."""
+_EDGE = np.zeros(256, bool)
+_EDGE[list(string.punctuation.encode())] = True
+
+
+def word_places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each text) of words as in ``common.words``, without ASCII punctuation at their edges."""
+    _, start, end, first = words(raw, off)
+    inner = np.append(np.flatnonzero(~_EDGE[raw]), len(raw))
+    begin = np.minimum(inner[np.searchsorted(inner, start)], end)
+    before = np.searchsorted(inner, end) - 1
+    stop = np.where(before >= 0, inner[before] + 1, 0)
+    return begin, np.maximum(stop, begin), first
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    """``docs`` with _code: CODE letters for each word of text."""
+    from pyspark.sql import types as T
+
     names = docs.columns
+    letters = np.frombuffer((string.ascii_letters + string.digits + "-_").encode(), np.uint8)
+    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         for whole in it:
             for b in batches(whole):
-                texts = []
-                for text, ranges in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist()):
-                    if ranges:
-                        raw = text.encode()
-                        text = without(raw, spans_of(ranges, len(raw))).decode(errors="ignore")
+                raw, off = flat_bytes(b.column("text"))
+                start, end, first = word_places(raw, off)
+                own = span_hash(prefix_hash(_LOWER[raw]), start, end)
+                code = letters[((own[:, None] >> shifts) & np.uint64(63)).astype(np.int64)].tobytes().decode()
+                codes = [code[CODE * x: CODE * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(codes, pa.string())], names=[*names, "_code"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_code", T.StringType())]))
+
+
+def _with_passages(docs: DataFrame, passage: int) -> DataFrame:
+    """``_with_ranges`` plus _words: the repeated passages of ``passage`` words, as windows of codes."""
+    symbol = next(k for k in range(min(CODED_WORDS, passage), 0, -1) if passage % k == 0)
+    codes = _coded(docs.select("doc_id", "text")).select("doc_id", F.col("_code").alias("text"))
+    found = stored(repeats(codes, CODE * passage, CODE * symbol), "passages").withColumnsRenamed({"t1": "w1", "t2": "w2", "ranges": "_words"})
+    n = found.agg(F.sum(F.size("_words"))).first()[0] or 0
+    named = _coded(_with_ranges(docs)).withColumns({"w1": F.xxhash64("_code"), "w2": F.xxhash64(F.lit(7), "_code")}).drop("_code")
+    joined = named.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, ["w1", "w2"], "left")
+    return joined.select(*docs.columns, "_ranges", "_words")
+
+
+def cut(docs: DataFrame, passage: int | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of text; a character that loses a byte goes whole. Null texts stay null.
+
+    With ``passage``, so many words that occur in a row anywhere else go, too,
+    however few bytes they have, from the first word to the last. Words are
+    those of ``common.words``, without ASCII punctuation at their edges.
+    """
+    names = docs.columns
+
+    def run(it: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in it:
+            for b in batches(whole):
+                texts, more = [], [()] * b.num_rows
+                if passage:
+                    raw, off = flat_bytes(b.column("text"))
+                    start, end, first = word_places(raw, off)
+                    for t, ranges in enumerate(b.column("_words").to_pylist()):
+                        places = [(first[t] - (-r["first"] // CODE), first[t] + r["last"] // CODE) for r in ranges or ()]
+                        more[t] = [(int(start[x] - off[t]), int(end[y + passage - 1] - off[t])) for x, y in places if x <= y]
+                for text, ranges, extra in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), more):
+                    if ranges or extra:
+                        data = text.encode()
+                        text = without(data, spans_of(ranges, len(data), extra)).decode(errors="ignore")
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    return _with_ranges(docs).mapInArrow(run, docs.schema)
+    given = _with_passages(docs, passage) if passage else _with_ranges(docs)
+    return given.mapInArrow(run, docs.schema)

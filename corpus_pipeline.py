@@ -16,6 +16,10 @@ from chainsift.llm.queries import vocabulary
 from chainsift.session import configure
 
 
+#: Words of a passage that stage 3 cuts out wherever it repeats: all passages of over 50 words.
+PASSAGE_WORDS = 51
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects: junk and insults."""
     configure(spark)
@@ -30,9 +34,9 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out passages that occur anywhere else; n_chars counts what is left."""
+    """Cuts out passages that occur anywhere else (over 50 words, or op7's 400 bytes); n_chars counts what is left."""
     configure(spark)
-    return suffixdedup.cut(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return suffixdedup.cut(docs, PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
