@@ -1,6 +1,6 @@
 """Explode rules."""
 
-from conftest import lines_df
+from helpers import lines_df
 from pyspark.sql import functions as F
 
 from chainsift.operators.explode import explode_fills, explode_misc

@@ -2,7 +2,7 @@
 
 import os
 
-from conftest import write_log
+from helpers import write_log
 from pyspark.sql import functions as F
 
 from chainsift.operators.store import with_ingest_time

@@ -1,6 +1,6 @@
 """Line validity rules."""
 
-from conftest import lines_df
+from helpers import lines_df
 
 from chainsift.operators.parse import decode_fill_lines, decode_misc_lines
 

@@ -1,6 +1,6 @@
 """Plan shape regressions: the parse runs once per line, filters reach Parquet, no forced broadcast."""
 
-from conftest import lines_df
+from helpers import lines_df
 
 from chainsift.operators.explode import explode_fills
 from chainsift.operators.membership import whitelisted

@@ -1,7 +1,7 @@
 """Pages, seek pages, height."""
 
 import pytest
-from conftest import lines_df
+from helpers import lines_df
 from pyspark.sql import functions as F
 
 from chainsift.operators import query as Q

@@ -3,7 +3,7 @@
 import json
 import os
 
-from conftest import write_log
+from helpers import write_log
 from pyspark.sql import functions as F
 
 from chainsift.sources.blocklog import read_block_log, stream_block_log

@@ -4,7 +4,7 @@ import datetime as dt
 import os
 
 import pytest
-from conftest import write_log
+from helpers import write_log
 from pyspark.sql import functions as F
 
 from chainsift.operators import store as S

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from conftest import lines_df
+from helpers import lines_df
 from pyspark.sql import functions as F
 
 from chainsift.functions import decode_path, hour_path
