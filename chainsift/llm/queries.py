@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, suffixdedup, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, spelling, suffixdedup, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -80,6 +80,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: op11 takes a letter out of every run whose crc32 this divides.
+MISSPELT = 199
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), MISSPELT))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -91,10 +99,22 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
 }
 
 _ESCAPE = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
 
+#: The 256 steps of crc32, from its polynomial.
+_CRC_STEPS = """SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) r(i)"""
+
+
+def _crc(text: str) -> str:
+    """crc32 of the UTF-8 bytes of an SQL text, beside a column ``steps``."""
+    byte = f"('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT"
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(range(strlen({text})), lambda k: {byte})), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 SQL = {
     "op3_chat_formatting": f"""
         WITH t AS (
@@ -116,4 +136,22 @@ SQL = {
                 FROM u JOIN r ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
         SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict
         FROM u LEFT JOIN (SELECT * FROM hit WHERE k = 1) h ON h.n = u.n""",
+    "op11_spelling": f"""
+        WITH RECURSIVE t AS ({_CRC_STEPS}),
+        r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents),
+        g AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS c FROM r GROUP BY ALL),
+        h AS MATERIALIZED (SELECT run, c, {_crc('named')} AS h FROM g, t),
+        d AS (SELECT CASE WHEN h % {MISSPELT} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+        v AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+        o AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (
+            SELECT DISTINCT a.word, b.word AS x, b.n AS x_n FROM o a JOIN o b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION SELECT o.word, v.word, v.n FROM o JOIN v ON o.rest = v.word
+            UNION SELECT v.word, o.word, o.n FROM o JOIN v ON o.rest = v.word),
+        best AS (SELECT word, count(*) AS n_near, max(x_n) AS m, min(x) FILTER (x_n = top) AS x
+                 FROM (SELECT *, max(x_n) OVER (PARTITION BY word) AS top FROM near) GROUP BY word),
+        f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN x END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+              FROM v LEFT JOIN best ON v.word = best.word),
+        up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON up.next = f.word)
+        SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN (SELECT word, root FROM up WHERE next IS NULL) e ON e.word = f.word""",
 }
