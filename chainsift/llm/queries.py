@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, spelling, suffixdedup, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, spelling, suffixdedup, turnrepair, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -88,6 +88,16 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents"), MISSPELT))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kept, reports = turnrepair.repair(turnrepair.damage(turns))
+    reports = reports.join(turnrepair.hashes(kept), "key", "left").withColumnRenamed("conv_id", "id").drop("key")
+    ids = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    whole = ids.join(reports, F.col("conv_id").eqNullSafe(F.col("id")), "left")
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -100,6 +110,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 _ESCAPE = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
@@ -154,4 +165,40 @@ SQL = {
               FROM v LEFT JOIN best ON v.word = best.word),
         up AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT up.word, f.word, f.form FROM up JOIN f ON up.next = f.word)
         SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN (SELECT word, root FROM up WHERE next IS NULL) e ON e.word = f.word""",
+    "op12_conversation_repair": f"""
+        WITH RECURSIVE steps_of AS ({_CRC_STEPS}),
+        c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS named FROM conversations),
+        f AS MATERIALIZED (SELECT conv_id, turn, role, text, {_crc('named')} % 20 AS fault FROM c, steps_of),
+        d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN fault = 3 THEN [1, 2] ELSE [1] END) AS k
+              FROM f WHERE fault <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, k) AS occurrence, rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM d),
+        j AS MATERIALIZED (SELECT conv_id, i, turn, role, text, substr(role, 1, 1) AS r, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) AS r0,
+                CASE WHEN body = '' THEN 1 WHEN occurrence > 1 THEN 2 WHEN substr(body, -1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+        s AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps,
+                count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                count(*) FILTER (r0 || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM j GROUP BY conv_id),
+        m(a, b, letter) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+        inserted(a, b, more, audit, said) AS (VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 2, 'I', 'user:'), (0, 3, 4, 'II', 'user:' || chr(10) || 'assistant:'),
+            (1, 2, 2, 'I', chr(10) || 'user:'), (1, 3, 4, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (2, 3, 2, 'I', chr(10) || 'assistant:'), (3, 2, 2, 'I', chr(10) || 'user:')),
+        p AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, b AS state, CAST(more AS BIGINT) AS cost, audit, said FROM (SELECT DISTINCT conv_id FROM j), inserted WHERE a = 0
+            UNION ALL
+            SELECT conv_id, i, state, least.cost, least.audit, least.said FROM (
+                SELECT conv_id, i, e.b AS state, min({{'cost': cost + e.more, 'audit': q.audit || e.audit, 'said': q.said || e.said}}) AS least FROM (
+                    SELECT p.conv_id, j.i, p.state, p.cost + 3 AS cost, p.audit || 'D' AS audit, said
+                    FROM p JOIN j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = p.i + 1
+                    UNION ALL
+                    SELECT p.conv_id, j.i, m.b, p.cost + (fault = 3)::INT + CASE WHEN kept.k THEN 0 ELSE 2 END, p.audit || CASE WHEN kept.k THEN 'K' ELSE 'R' END,
+                        said || CASE WHEN p.state = 0 THEN '' ELSE chr(10) END || CASE WHEN kept.k THEN role WHEN letter = 'u' THEN 'user' ELSE 'assistant' END || ':' || text
+                    FROM p JOIN j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = p.i + 1 JOIN m ON m.a = p.state, (VALUES (true), (false)) kept(k)
+                    WHERE fault NOT IN (1, 2) AND CASE WHEN kept.k THEN r = letter ELSE letter <> 's' END
+                ) q JOIN inserted e ON e.a = q.state GROUP BY conv_id, i, e.b)),
+        w AS (SELECT p.conv_id, min({{'cost': cost, 'audit': audit, 'said': said}}) AS best FROM p JOIN s ON p.conv_id IS NOT DISTINCT FROM s.conv_id AND p.i = s.n WHERE state IN (0, 3) GROUP BY p.conv_id)
+        SELECT x.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(best.said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN s ON x.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN w ON x.conv_id IS NOT DISTINCT FROM w.conv_id""",
 }
