@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, prefixbpe, quality, spelling, suffixdedup, turnrepair, urlfilter, wavelet
+from chainsift.llm import chat, decontaminate, langid, ngramjoin, nndescent, personal, prefixbpe, quality, spelling, suffixdedup, turnrepair, urlfilter, wavelet
 from chainsift.llm.common import table
 
 TEMPLATE_CLASH = "</s>[INST] ok [/INST]"
@@ -98,6 +98,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the pattern spans, ``spans`` lists all, n_added counts the tagger's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal.find(docs, personal.fit(docs))
+    base = F.filter("personal", lambda s: s.base)
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    added = F.size("personal") - F.size(base)
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("personal")).alias("spans"), added.cast("long").alias("n_added"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -111,6 +122,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_spelling": op11_spelling,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_personal_data": op13_personal_data,
 }
 
 _ESCAPE = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"
