@@ -104,7 +104,8 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal.find(docs, personal.fit(docs))
     base = F.filter("personal", lambda s: s.base)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    of = lambda kind: F.filter(base, lambda s: s.kind == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in personal.KINDS]
     added = F.size("personal") - F.size(base)
     return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("personal")).alias("spans"), added.cast("long").alias("n_added"))
 

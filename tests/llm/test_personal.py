@@ -143,3 +143,22 @@ def test_sample_is_bounded_and_the_same_for_every_partitioning(spark, trained):
     docs = trained[2]
     one, many = (P.labelled(docs.repartition(k), 20) for k in (1, 7))
     assert one == many and max(sum(v.kind == k for v in one) for k in range(-1, 4)) == 20
+
+
+def test_query_over_a_table(spark, tmp_path):
+    """The registered query against the patterns as they are written."""
+    import hashlib
+
+    from chainsift.llm.queries import op13_personal_data
+
+    rng = random.Random(4)
+    rows = [(k, "words " * rng.randint(0, 9) + " ".join(value(rng, rng.randrange(4)) for _ in range(rng.randrange(3)))) for k in range(80)] + [(80, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op13_personal_data(spark, str(tmp_path)).collect()}
+    assert len(got) == 81
+    for doc, text in rows:
+        spans, r = sorted(brute(text or "")), got[doc]
+        said = [f"{P.KINDS[k]}:{a}:{z}" for k, a, z in spans]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r.spans.split(",")) | {""} and len([s for s in r.spans.split(",") if s]) == len(said) + r.n_added
