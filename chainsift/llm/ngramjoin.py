@@ -28,8 +28,10 @@ SIMILAR = (4, 5)
 OFTEN, LOOK_SHINGLES, MAX_FREQUENT = 3, 2 << 20, 1 << 19
 #: Part of a set by which its first shingles are extended, so that one shared shingle is not yet enough.
 EXTRA = 20
-#: Classes of one candidate cluster that are searched in one task; larger clusters are cut and joined over blocks of QUERY_BLOCK classes.
-CLUSTER, QUERY_BLOCK = 4000, 256
+#: Classes, and bytes of their sets, of one candidate cluster that are searched in one task (its lists take about ten times as much
+#: memory); larger clusters are cut and joined over blocks of so many classes or bytes.
+CLUSTER, CLUSTER_BYTES = 4000, 16 << 20
+QUERY_BLOCK, QUERY_BYTES = 256, 8 << 20
 #: Lists about this long are merged and probed half and half.
 MERGE = 4
 #: Candidates up to this number are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
@@ -288,7 +290,7 @@ def solve(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
 
 
 def _solve_groups(rows: DataFrame, key: str) -> DataFrame:
-    """Links inside each group of ``rows`` (key, c, shingles); a group has at most CLUSTER classes."""
+    """Links inside each group of ``rows`` (key, c, shingles); a group has about CLUSTER classes or CLUSTER_BYTES of sets."""
 
     def run(it: Iterator) -> Iterator:
         import pandas as pd
@@ -318,8 +320,9 @@ def _solve_groups(rows: DataFrame, key: str) -> DataFrame:
 def _join_blocks(big: DataFrame, links: DataFrame) -> DataFrame:
     """All links between the pieces of clusters that were too large for one task.
 
-    In every round QUERY_BLOCK classes outside the largest component of their
-    cluster are the queries: their lists go to all tasks, and each task
+    In every round at most QUERY_BLOCK classes of QUERY_BYTES together (one
+    at least) outside the largest component of their cluster are the queries:
+    their lists go to all tasks, and each task
     searches its own classes of these clusters in them. A link between two
     components has an end outside the largest one, which becomes a query
     unless it has been joined before, so no connection is lost.
@@ -334,11 +337,16 @@ def _join_blocks(big: DataFrame, links: DataFrame) -> DataFrame:
         top = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
         rest = state.join(top, "cluster").where("component <> top").join(asked, "c", "left_anti")
         first = rest.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy("size", "c"))).orderBy("k", "c").limit(QUERY_BLOCK)
-        chosen = stored(first.select("c", "cluster", "component"), "queries")
-        block = chosen.join(big.select("c", "shingles"), "c").collect()
-        if not block:
+        chosen, total = {}, 0
+        for r in first.select("c", "component", "size").collect():
+            total += r["size"]
+            if chosen and total > QUERY_BYTES:
+                break
+            chosen[r.c] = r.component
+        if not chosen:
             return links
-        sent = spark.sparkContext.broadcast([(r.c, r.cluster, r.component, bytes(r.shingles)) for r in block])
+        block = big.where(F.col("c").isin(list(chosen))).select("c", "cluster", "shingles").collect()
+        sent = spark.sparkContext.broadcast([(r.c, r.cluster, chosen[r.c], bytes(r.shingles)) for r in block])
 
         def run(it: Iterator, sent=sent) -> Iterator:
             import pandas as pd
@@ -360,7 +368,7 @@ def _join_blocks(big: DataFrame, links: DataFrame) -> DataFrame:
 
         found = big.join(state.select("c", "component"), "c").select("cluster", "c", "component", "shingles").mapInPandas(run, "a long, b long")
         links = stored(links.union(found), "links")
-        asked = stored(asked.union(chosen.select("c")), "asked")
+        asked = stored(asked.union(spark.createDataFrame([(c,) for c in chosen], "c long")), "asked")
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -389,15 +397,17 @@ def join(docs: DataFrame) -> DataFrame:
         .select("c", "c0").distinct()
     )
     clusters = stored(components(pairs, "c", "c0").select(F.col("id").alias("c"), F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
     # One text of every candidate class; what is known of the class rides along, so that the sets move once.
-    classes = sets.join(clusters, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("cluster").alias("cluster")).where("doc_id is not null")
-    classes = stored(classes.join(sizes, "cluster"), "classes")
+    classes = sets.join(clusters, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("cluster").alias("cluster"), F.first("n_shingles").alias("n")).where("doc_id is not null")
+    classes = stored(classes, "candidate_classes")
+    part = F.greatest(F.count("*") / CLUSTER, F.sum("n") * 8 / CLUSTER_BYTES)
+    sizes = classes.groupBy("cluster").agg(F.when(part <= 1, 1).otherwise(F.ceil(2 * part)).cast("long").alias("pieces"))
+    classes = stored(classes.drop("n").join(sizes, "cluster"), "classes")
     rows = stored(_fetch(docs, F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes), "candidates")
-    links = _solve_groups(rows.where(F.col("size") <= CLUSTER), "cluster")
-    big = rows.where(F.col("size") > CLUSTER)
+    links = _solve_groups(rows.where("pieces = 1"), "cluster")
+    big = rows.where("pieces > 1")
     if big.limit(1).count():
-        big = stored(big.dropDuplicates(["c"]).withColumn("piece", F.pmod(F.xxhash64("c"), F.ceil(F.col("size") * 2 / CLUSTER))), "big")
+        big = stored(big.dropDuplicates(["c"]).withColumn("piece", F.pmod(F.xxhash64("c"), "pieces")), "big")
         own = _solve_groups(big.withColumn("key", F.concat_ws("-", "cluster", "piece")), "key")
         links = links.union(_join_blocks(big, stored(own, "links")))
     merged = components(links).select(F.col("id").alias("c"), "component")
@@ -411,7 +421,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(c, cluster, size, shingles) of the texts of ``classes`` (doc_id, c, cluster, size); rows that repeat a doc_id repeat its class."""
+    """(c, cluster, pieces, shingles) of the texts of ``classes`` (doc_id, c, cluster, pieces); rows that repeat a doc_id repeat its class."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -421,10 +431,10 @@ def _fetch(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 sets = list(text_sets(*flat_bytes(b.column("text"))))
                 mine = [k for k, (s, c) in enumerate(zip(sets, b.column("c").to_pylist())) if len(s) and signature(s)[0] == c]
                 kept = b.take(pa.array(mine, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("c", "cluster", "size")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["c", "cluster", "size", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("c", "cluster", "pieces")), pa.array([sets[k].tobytes() for k in mine], pa.binary())], names=["c", "cluster", "pieces", "shingles"])
 
-    wanted = docs.select("doc_id", "text").join(classes, "doc_id").select("text", "c", "cluster", "size")
-    return wanted.mapInArrow(run, "c long, cluster long, size long, shingles binary")
+    wanted = docs.select("doc_id", "text").join(classes, "doc_id").select("text", "c", "cluster", "pieces")
+    return wanted.mapInArrow(run, "c long, cluster long, pieces long, shingles binary")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

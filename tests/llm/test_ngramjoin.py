@@ -2,6 +2,7 @@ import collections
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from chainsift.llm import ngramjoin as J
 
@@ -44,10 +45,12 @@ def corpus(prose):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("cluster,block", [(4000, 256), (3, 2)])
-def test_equals_brute_force(spark, docs_df, prose, monkeypatch, cluster, block):
+@pytest.mark.parametrize("cluster,block,size,query", [(4000, 256, 16 << 20, 8 << 20), (3, 2, 16 << 20, 8 << 20), (4000, 256, 30000, 9000)])
+def test_equals_brute_force(spark, docs_df, prose, monkeypatch, cluster, block, size, query):
     monkeypatch.setattr(J, "CLUSTER", cluster)
     monkeypatch.setattr(J, "QUERY_BLOCK", block)
+    monkeypatch.setattr(J, "CLUSTER_BYTES", size)
+    monkeypatch.setattr(J, "QUERY_BYTES", query)
     rows = corpus(prose)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs_df(rows)).collect()}
     assert got == brute(rows)
@@ -98,3 +101,25 @@ def test_most_frequent_is_bounded(spark, monkeypatch):
     assert 0 < len(got) <= 300 and sorted(got.tolist()) == got.tolist()
     assert {k for k in range(1000) if 3 + k % 40 >= 32} == set(got.tolist())
     assert len(J.most_frequent(counts.limit(0))) == 0
+
+
+def test_many_long_near_copies_are_cut_by_bytes(spark, docs_df, prose, monkeypatch):
+    """3,000 near copies of a long text: no piece holds them all, one component comes out."""
+    monkeypatch.setattr(J, "CLUSTER_BYTES", 2 << 20)
+    rng, base = prose.rng, prose(900).split()
+    rows = []
+    for k in range(3000):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"w{k}"
+        rows.append((k, " ".join(w)))
+    rows += [(5000, prose(900)), (5001, None)]
+    sizes, solve = [], J._solve_groups
+
+    def spy(groups, key):
+        sizes.extend(r.m for r in groups.groupBy(key).agg(F.sum(F.length("shingles")).alias("m")).collect())
+        return solve(groups, key)
+
+    monkeypatch.setattr(J, "_solve_groups", spy)
+    got = {r.doc_id: r.component_id for r in J.join(docs_df(rows)).collect()}
+    assert got == {**dict.fromkeys(range(3000), 0), 5000: 5000, 5001: 5001}
+    assert 3 < len(sizes) and max(sizes) < 4 << 20 < sum(sizes)
