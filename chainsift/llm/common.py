@@ -58,12 +58,26 @@ _CODE = mix(np.arange(1, 257, dtype=np.uint64))
 
 def prefix_hash(data: np.ndarray, code: np.ndarray = _CODE) -> np.ndarray:
     """Polynomial prefix sums of a byte array: P[i] covers data[:i]; see ``span_hash``."""
-    p, _ = _powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(code[data] * p[: len(data)], out=out[1:])
+    return prefix_sums(code[data])
+
+
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """As ``prefix_hash``, of an array of 64-bit values."""
+    p, _ = _powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * p[: len(values)], out=out[1:])
     return out
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """Stable argsort of keys from 0 on: key and place fit one 64-bit number, whose plain sort is much faster."""
+    n = len(key)
+    bits = max(1, int(n - 1).bit_length())
+    if n == 0 or int(key.max()).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    return np.sort((key.astype(np.int64) << bits) | np.arange(n)) & ((1 << bits) - 1)
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for arrays of positions, equal for equal bytes at any place."""
     _, inv = _powers(len(prefix))

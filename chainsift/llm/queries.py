@@ -52,14 +52,21 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
 
 
+#: Words of a repeated passage that op7 also shows.
+PASSAGE_WORDS = 51
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = suffixdedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns judge 400-byte strings; n_passage_bytes counts bytes in repeated passages of over 50 words."""
+    marked = suffixdedup.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), PASSAGE_WORDS)
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return marked.select(
         "doc_id",
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
+        covered("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        covered("passages").alias("n_passage_bytes"),
     )
 
 

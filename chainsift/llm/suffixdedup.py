@@ -1,17 +1,18 @@
 """Repeated-substring removal by merging Burrows-Wheeler transforms of shards.
 
-A byte goes when a LENGTH-byte string covers it that starts anywhere else too;
-``cut`` can also judge by a number of words, whose texts are then read as one
-code of CODE bytes a word, in windows of that many codes.
+A text is read in one or two ways: as its bytes, and as its words. A window
+(LENGTH bytes, or a passage of so many words) that starts anywhere else too is
+repeated; ``mark`` and ``cut`` take out what repeated windows cover. Both ways
+go through one pass over the texts and the same steps:
 
-1. Every LENGTH-byte window has an anchor, the place of the smallest hash of
-   GRAM bytes inside it. Equal windows have equal anchors at equal places, so
+1. Every window has an anchor, the place of the smallest hash of a few of its
+   elements. Equal windows have equal anchors at equal places, so
    neighbouring windows with one anchor form a segment, and only segments
    with equal anchors can share a window. Equal segments are counted first,
    anchors that occur once are settled.
 2. The distinct segments of an anchor that has several go to one task. A
-   segment is read as STRIDE interleaved strings of STRIDE-byte symbols, so
-   that a window is a whole number of symbols (the depth). Each shard of segments gets its own
+   segment is read as interleaved strings of symbols of so many elements that a
+   window is a whole number of them (the depth). Each shard of segments gets its own
    suffix order and transform; the transforms are merged by refining their
    interleave that many times, which also yields the common prefixes: classes of
    two or more suffixes after those rounds are the repeated intervals. Merged
@@ -26,19 +27,38 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import _CODE, _LOWER, batches, flat_bytes, mix, prefix_hash, span_hash, stored, words
+from chainsift.llm.common import _CODE, _LOWER, _SPACE, batches, flat_bytes, mix, prefix_hash, prefix_sums, span_hash, stable_order, stored, words
 
-LENGTH, STRIDE, GRAM = 400, 50, 48
-#: Bytes of a word's code (48 bits of its hash), and words in a symbol of a text read as codes.
-CODE, CODED_WORDS = 8, 17
-#: Bytes of segments that are merged at once, and in how many shards; a single anchor's group may be larger.
+
+@dataclass(frozen=True)
+class Reading:
+    """Elements of a window, of a symbol and of an anchor's gram; elements are bytes or words."""
+
+    window: int
+    symbol: int
+    gram: int
+    words: bool = False
+
+
+LENGTH = 400
+BYTES = Reading(LENGTH, 100, 48)
+
+
+def of_words(passage: int) -> Reading:
+    """Passages of ``passage`` words, in symbols of at most a third of them where they can be divided so."""
+    symbol = next(k for k in range(max(1, passage // 3), 0, -1) if passage % k == 0)
+    return Reading(passage, symbol, min(6, passage), True)
+
+
+#: Elements of segments that are merged at once, and in how many shards; a single anchor's group may be larger.
 MERGE_BYTES, SHARDS = 1 << 19, 4
-#: An anchor with more distinct segments than this (about 10 MB of bytes) is not merged in one task: its windows are counted by their hashes.
+#: An anchor with more distinct segments than this (about 10 million elements) is not merged in one task: its windows are counted by their hashes.
 HOT_SEGMENTS = 1 << 14
 #: Windows of a text that are looked at in one go; a longer text is taken in such pieces.
 PIECE = 2 << 20
@@ -57,18 +77,52 @@ def window_minimum(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1: w - 1 + n])
 
 
-def segments(raw: np.ndarray, off: np.ndarray, window: int = LENGTH):
-    """(text number, start, length, anchor hash, segment hash) of all segments of concatenated texts."""
-    n = len(raw) - window + 1
+_EDGE = np.zeros(256, bool)
+_EDGE[list(string.punctuation.encode())] = True
+
+
+def word_places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each text) of words as in ``common.words``, without ASCII punctuation at their edges."""
+    _, start, end, first = words(raw, off)
+    inner = np.append(np.flatnonzero(~_EDGE[raw]), len(raw))
+    begin = np.minimum(inner[np.searchsorted(inner, start)], end)
+    before = np.searchsorted(inner, end) - 1
+    stop = np.where(before >= 0, inner[before] + 1, 0)
+    return begin, np.maximum(stop, begin), first
+
+
+def word_values(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, first word of each text); A-Z is lower-cased. One very long text is read in pieces that end at a blank."""
+    if len(off) != 2 or len(raw) <= 2 * PIECE:
+        start, end, first = word_places(raw, off)
+        return mix(span_hash(prefix_hash(_LOWER[raw]), start, end)), first
+    parts, at = [], 0
+    while at < len(raw):
+        to = min(at + PIECE, len(raw))
+        while to < len(raw) and not _SPACE[raw[to]]:
+            blank = np.flatnonzero(_SPACE[raw[to: to + PIECE]])
+            to = to + int(blank[0]) if len(blank) else min(to + PIECE, len(raw))
+        part = raw[at:to]
+        start, end, _ = word_places(part, np.array([0, len(part)]))
+        parts.append(mix(span_hash(prefix_hash(_LOWER[part]), start, end)))
+        at = to
+    out = np.concatenate(parts)
+    return out, np.array([0, len(out)])
+
+
+def segments(value: np.ndarray, off: np.ndarray, reading: Reading = BYTES):
+    """(text number, start, length, anchor hash, segment hash) of all segments of concatenated texts (64-bit values of their elements)."""
+    window, gram_size = reading.window, reading.gram
+    n = len(value) - window + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    prefix = prefix_hash(raw)
-    at = np.arange(len(raw) - GRAM + 1)
-    gram = span_hash(prefix, at, at + GRAM)
+    prefix = prefix_sums(value)
+    at = np.arange(len(value) - gram_size + 1)
+    gram = span_hash(prefix, at, at + gram_size)
     bits = max(1, int(len(at) - 1).bit_length())
     place = np.uint64((1 << bits) - 1)
-    least = window_minimum((gram & ~place) | at.astype(np.uint64), window - GRAM + 1) & place  # ties: the first place
+    least = window_minimum((gram & ~place) | at.astype(np.uint64), window - gram_size + 1) & place  # ties: the first place
     text = np.searchsorted(off, np.arange(n), side="right") - 1
     inside = np.arange(n) + window <= off[text + 1]
     new = np.ones(n, bool)
@@ -94,7 +148,7 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray
         beyond[on] = rank[on + k]
         rank = np.unique(rank * (int(rank.max()) + 1) + beyond, return_inverse=True)[1]
         k *= 2
-    return np.argsort(rank, kind="stable")
+    return stable_order(rank)
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +165,7 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     index = np.arange(len(whole))
     for _ in range(depth):
         symbol = whole[index]
-        deal = np.argsort(symbol, kind="stable")
+        deal = stable_order(symbol)
         shard, group, symbol = shard[deal], group[deal], symbol[deal]
         new = np.ones(len(whole), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1]) | (symbol[1:] == 0)
@@ -120,24 +174,33 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     return index, group
 
 
-def repeated_windows(parts: list[bytes], window: int = LENGTH, stride: int = STRIDE) -> list[np.ndarray]:
+def values_of(data: bytes, reading: Reading) -> np.ndarray:
+    """The 64-bit element values of a segment as it is sent: bytes, or words of eight bytes."""
+    return np.frombuffer(data, "<u8") if reading.words else _CODE[np.frombuffer(data, np.uint8)]
+
+
+def repeated_windows(parts: list[bytes], reading: Reading = BYTES) -> list[np.ndarray]:
     """For each of the (distinct) segments, which of its windows start anywhere else in them."""
-    size = np.array([len(p) for p in parts], np.int64)
-    raw = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8)  # the place after a segment ends a string that fills it
+    window, stride = reading.window, reading.symbol
+    values = [values_of(p, reading) for p in parts]
+    size = np.array([len(v) for v in values], np.int64)
+    gap = np.zeros(1, np.uint64)  # the place after a segment ends a string that fills it
+    value = np.concatenate([x for v in values for x in (v, gap)])
     off = np.concatenate([[0], np.cumsum(size + 1)])
-    prefix = prefix_hash(raw)
+    prefix = prefix_sums(value)
     owner = np.repeat(np.arange(len(parts)), size + 1)
-    place = np.arange(len(raw)) - off[owner]
+    place = np.arange(len(value)) - off[owner]
     whole = place + stride <= size[owner]  # a symbol fits; elsewhere a string ends
-    code = np.zeros(len(raw), np.int64)
+    code = np.zeros(len(value), np.int64)
     at = np.flatnonzero(whole)
     code[at] = np.unique(span_hash(prefix, at, at + stride), return_inverse=True)[1] + 1
     # Strings one after the other: by segment, then by phase; the last place of each is its end.
-    order = np.lexsort((place, place % stride, owner))
-    code, place, owner, left = code[order], place[order], owner[order], ((size[owner] - place) // stride)[order]
+    order = stable_order(owner * stride + place % stride)
+    code, place, owner = code[order], place[order], owner[order]
+    left = (size[owner] - place) // stride
     shards = min(SHARDS, len(parts))
-    bound = np.searchsorted(off[:-1], np.linspace(0, len(raw), shards + 1)[1:-1])
-    cut = [0, *np.searchsorted(owner, bound).tolist(), len(raw)]
+    bound = np.searchsorted(off[:-1], np.linspace(0, len(value), shards + 1)[1:-1])
+    cut = [0, *np.searchsorted(owner, bound).tolist(), len(value)]
     transforms, suffixes = [], []
     for a, b in zip(cut[:-1], cut[1:]):
         if a == b:
@@ -151,7 +214,7 @@ def repeated_windows(parts: list[bytes], window: int = LENGTH, stride: int = STR
     index, group = merge(transforms, window // stride)
     many = np.bincount(group)[group] >= 2
     hit = np.concatenate(suffixes)[index[many]]
-    flag = np.zeros(len(raw), bool)
+    flag = np.zeros(len(value), bool)
     flag[off[owner[hit]] + place[hit]] = True
     return [flag[a: b - window] for a, b in zip(off[:-1], off[1:])]
 
@@ -168,11 +231,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(7), text)})
 
 
-OCCURRENCE = "t1 long, t2 long, start long, size int, anchor long, segment long"
+OCCURRENCE = "t1 long, t2 long, unit int, start int, size int, anchor long, segment long"
 
 
-def occurrences(texts: DataFrame, window: int = LENGTH) -> DataFrame:
-    """All segments of all texts (t1, t2, text)."""
+def occurrences(texts: DataFrame, readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
+    """All segments of all texts (t1, t2, text); ``unit`` is the reading's number, start and size count its elements."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
@@ -181,40 +244,53 @@ def occurrences(texts: DataFrame, window: int = LENGTH) -> DataFrame:
             for b in batches(whole, PIECE):
                 raw, off = flat_bytes(b.column("text"))
                 t1, t2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("t1", "t2"))
-                pieces = [(raw, off, 0)] if len(off) > 2 or len(raw) <= 2 * PIECE else [
-                    (raw[k: k + PIECE + window - 1], np.array([0, min(PIECE + window - 1, len(raw) - k)]), k) for k in range(0, len(raw), PIECE)]
-                for data, o, shift in pieces:
-                    text, start, size, anchor, own = segments(data, o, window)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(t1[text]), pa.array(t2[text]), pa.array(start - o[text] + shift), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(own.view(np.int64)),
-                    ], names=["t1", "t2", "start", "size", "anchor", "segment"])
+                for unit, reading in enumerate(readings):
+                    window = reading.window
+                    if reading.words:
+                        pieces = [(*word_values(raw, off), 0)]
+                    elif len(off) > 2 or len(raw) <= 2 * PIECE:
+                        pieces = [(_CODE[raw], off, 0)]
+                    else:
+                        pieces = ((_CODE[raw[k: k + PIECE + window - 1]], np.array([0, min(PIECE + window - 1, len(raw) - k)]), k) for k in range(0, len(raw), PIECE))
+                    for data, o, shift in pieces:
+                        text, start, size, anchor, own = segments(data, o, reading)
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(t1[text]), pa.array(t2[text]), pa.array(np.full(len(text), unit, np.int32)), pa.array((start - o[text] + shift).astype(np.int32)), pa.array(size.astype(np.int32)),
+                            pa.array(mix(anchor ^ np.uint64(unit)).view(np.int64)), pa.array(mix(own ^ np.uint64(unit)).view(np.int64)),
+                        ], names=["t1", "t2", "unit", "start", "size", "anchor", "segment"])
 
     return texts.mapInArrow(run, OCCURRENCE)
 
 
-def _bytes_of(texts: DataFrame) -> DataFrame:
-    """(anchor, segment, bytes) of the wanted places of each text (text, want)."""
+def _elements_of(texts: DataFrame, readings: tuple[Reading, ...]) -> DataFrame:
+    """(unit, anchor, segment, bytes) of the wanted places of each text (text, want)."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in it:
-            anchor, own, data = [], [], []
-            for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
-                raw = (text or "").encode()
-                for w in want:
-                    anchor.append(w["anchor"])
-                    own.append(w["segment"])
-                    data.append(raw[w["start"]: w["start"] + w["size"]])
-                    if len(data) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["anchor", "segment", "bytes"])
-                        anchor, own, data = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(own, pa.int64()), pa.array(data, pa.binary())], names=["anchor", "segment", "bytes"])
-
-    return texts.select("text", "want").mapInArrow(run, "anchor long, segment long, bytes binary")
-
-
-def _merged(parts: DataFrame, window: int = LENGTH, stride: int = STRIDE) -> DataFrame:
+        def out(rows):
+            cols = list(zip(*rows)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["unit", "anchor", "segment", "bytes"])
+
+        for whole in it:
+            for b in batches(whole):
+                raw, off = flat_bytes(b.column("text"))
+                data = [(word_values(raw, off) if r.words else (raw, off)) for r in readings]
+                rows = []
+                for t, want in enumerate(b.column("want").to_pylist()):
+                    for w in want:
+                        value, o = data[w["unit"]]
+                        a = int(o[t]) + w["start"]
+                        rows.append((w["unit"], w["anchor"], w["segment"], value[a: a + w["size"]].tobytes()))
+                        if len(rows) >= 4096:
+                            yield out(rows)
+                            rows = []
+                yield out(rows)
+
+    return texts.select("text", "want").mapInArrow(run, "unit int, anchor long, segment long, bytes binary")
+
+
+def _merged(parts: DataFrame, readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
     """(anchor, segment, first, last): runs of repeated windows of the contested segments."""
 
     def run(it: Iterator) -> Iterator:
@@ -223,38 +299,40 @@ def _merged(parts: DataFrame, window: int = LENGTH, stride: int = STRIDE) -> Dat
         now, held, keys, size, seen = None, [], [], 0, set()
 
         def solve():
-            rows = [(k, a, b) for k, flag in zip(keys, repeated_windows(held, window, stride)) for a, b in zip(*(x.tolist() for x in runs(flag)))]
-            return pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.int64()), pa.array([r[0][1] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["anchor", "segment", "first", "last"])
+            found = repeated_windows(held, readings[now[0]])
+            rows = [(*k, a, z) for k, flag in zip(keys, found) for a, z in zip(*(x.tolist() for x in runs(flag)))]
+            cols = list(zip(*rows)) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["anchor", "segment", "first", "last"])
 
         for b in it:
-            for anchor, own, data in zip(b.column("anchor").to_pylist(), b.column("segment").to_pylist(), b.column("bytes").to_pylist()):
-                if anchor != now:
-                    if size >= MERGE_BYTES:
+            for unit, anchor, own, data in zip(*(b.column(c).to_pylist() for c in ("unit", "anchor", "segment", "bytes"))):
+                if (unit, anchor) != now:
+                    if held and (size >= MERGE_BYTES or unit != now[0]):
                         yield solve()
                         held, keys, size = [], [], 0
-                    now, seen = anchor, set()
+                    now, seen = (unit, anchor), set()
                 if own not in seen:
                     seen.add(own)
                     held.append(data)
                     keys.append((anchor, own))
-                    size += len(data)
+                    size += len(data) // (8 if readings[unit].words else 1)
         if held:
             yield solve()
 
-    return parts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, segment long, first long, last long")
+    return parts.repartition("unit", "anchor").sortWithinPartitions("unit", "anchor").mapInArrow(run, "anchor long, segment long, first long, last long")
 
 
-def _counted(parts: DataFrame, window: int = LENGTH) -> DataFrame:
+def _counted(parts: DataFrame, readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
     """As ``_merged``, for anchors with too many segments: windows with equal 128-bit hashes are counted, map-side first."""
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in it:
-            for anchor, own, data in zip(b.column("anchor").to_pylist(), b.column("segment").to_pylist(), b.column("bytes").to_pylist()):
-                raw = np.frombuffer(data, np.uint8)
-                at = np.arange(len(raw) - window + 1)
-                names = [span_hash(prefix_hash(raw, code), at, at + window).view(np.int64) for code in (_CODE, mix(_CODE))]
+            for unit, anchor, own, data in zip(*(b.column(c).to_pylist() for c in ("unit", "anchor", "segment", "bytes"))):
+                value, window = values_of(data, readings[unit]), readings[unit].window
+                at = np.arange(len(value) - window + 1)
+                names = [span_hash(prefix_sums(v), at, at + window).view(np.int64) for v in (value, mix(value))]
                 yield pa.RecordBatch.from_arrays([pa.array(names[0]), pa.array(names[1]), pa.array([anchor] * len(at), pa.int64()), pa.array([own] * len(at), pa.int64()), pa.array(at)], names=["w1", "w2", "anchor", "segment", "first"])
 
     windows = stored(parts.dropDuplicates(["anchor", "segment"]).mapInArrow(run, "w1 long, w2 long, anchor long, segment long, first long"), "windows")
@@ -262,41 +340,42 @@ def _counted(parts: DataFrame, window: int = LENGTH) -> DataFrame:
     return windows.join(many, ["w1", "w2"], "left_semi").select("anchor", "segment", "first", F.col("first").alias("last"))
 
 
-def repeats(docs: DataFrame, window: int = LENGTH, stride: int = STRIDE) -> DataFrame:
-    """(t1, t2, ranges): first and last start of repeated windows, one row per distinct text that has any."""
+def repeats(docs: DataFrame, readings: tuple[Reading, ...] = (BYTES,)) -> DataFrame:
+    """(t1, t2, ranges): reading, first and last start of repeated windows, one row per distinct text that has any."""
     texts = _keyed(docs.select("doc_id", "text"))
-    seen = stored(occurrences(texts.select("t1", "t2", "text"), window), "segments")
-    place = F.struct("t1", "t2", "start", "size")
+    seen = stored(occurrences(texts.select("t1", "t2", "text"), readings), "segments")
+    place = F.struct("t1", "t2", "unit", "start", "size")
     kinds = stored(seen.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("at")), "kinds")
     contested = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
     wanted = kinds.join(contested, "anchor").select("at.*", "anchor", "segment", "n", "k")
     wanted = stored(wanted, "wanted")
-    by_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("anchor", "segment", "start", "size")).alias("want"))
+    by_text = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("unit", "anchor", "segment", "start", "size")).alias("want"))
     # One row of each text; the ids only choose it.
     named = texts.select("t1", "t2", "doc_id").join(wanted.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
     by_text = stored(by_text.join(named, ["t1", "t2"]), "by_text")
     picked = F.broadcast(by_text) if wanted.count() <= BROADCAST_ROWS else by_text
     same = (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & F.col("x.doc_id").eqNullSafe(F.col("y.doc_id"))
-    parts = _bytes_of(texts.alias("x").join(picked.alias("y"), same).select("x.text", "y.want"))
+    parts = _elements_of(texts.alias("x").join(picked.alias("y"), same).select("x.text", "y.want"), readings)
     hot = wanted.where(F.col("k") > HOT_SEGMENTS).select("anchor").distinct()
     n_hot = hot.count()
     if n_hot:
         parts = stored(parts, "bytes")
         listed = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-        merged = _merged(parts.join(listed, "anchor", "left_anti"), window, stride).union(_counted(parts.join(listed, "anchor", "left_semi"), window))
+        merged = _merged(parts.join(listed, "anchor", "left_anti"), readings).union(_counted(parts.join(listed, "anchor", "left_semi"), readings))
     else:
-        merged = _merged(parts, window, stride)
+        merged = _merged(parts, readings)
     merged = stored(merged, "merged")
-    single = wanted.where("n = 1").join(merged, ["anchor", "segment"]).select("t1", "t2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    single = wanted.where("n = 1").join(merged, ["anchor", "segment"]).select("t1", "t2", "unit", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
     copies = seen.join(kinds.where("n > 1").select("anchor", "segment"), ["anchor", "segment"], "left_semi")
-    copies = copies.select("t1", "t2", F.col("start").alias("first"), (F.col("start") + F.col("size") - window).alias("last"))
-    return single.union(copies.distinct()).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    window = F.element_at(F.array(*(F.lit(r.window) for r in readings)), F.col("unit") + 1)
+    copies = copies.select("t1", "t2", "unit", F.col("start").cast("long").alias("first"), (F.col("start") + F.col("size") - window).cast("long").alias("last"))
+    return single.union(copies.distinct()).groupBy("t1", "t2").agg(F.collect_list(F.struct("unit", "first", "last")).alias("ranges"))
 
 
-def spans_of(ranges, size: int, more=()) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges of a text from its repeated windows (first and last start) and ``more`` ranges (start, end)."""
+def merged_spans(spans, size: int) -> list[tuple[int, int]]:
+    """Maximal byte ranges covered by ``spans`` (start, end)."""
     out: list[list[int]] = []
-    for a, z in sorted([*((r["first"], r["last"] + LENGTH) for r in ranges or ()), *more]):
+    for a, z in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)
         else:
@@ -309,91 +388,65 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[edges[k]: edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
+def _readings(passage: int | None) -> tuple[Reading, ...]:
+    return (BYTES, of_words(passage)) if passage else (BYTES,)
+
+
+def _with_ranges(docs: DataFrame, readings: tuple[Reading, ...]) -> DataFrame:
     """``docs`` with the repeated windows of each text; the texts stay in place while these are few enough to send."""
-    found = stored(repeats(docs), "ranges")
+    found = stored(repeats(docs, readings), "ranges")
     n = found.agg(F.sum(F.size("ranges"))).first()[0] or 0
     joined = _keyed(docs).join(F.broadcast(found) if n <= BROADCAST_ROWS else found, ["t1", "t2"], "left")
     return joined.select(*docs.columns, F.col("ranges").alias("_ranges"))
 
 
-def mark(docs: DataFrame) -> DataFrame:
+def _spans_of(b, passage: int | None) -> Iterator[tuple[str | None, bytes, list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(text, its bytes, byte spans, passage spans) of the rows of an Arrow batch with _ranges."""
+    ranges = b.column("_ranges").to_pylist()
+    if passage and any(r["unit"] for own in ranges for r in own or ()):
+        raw, off = flat_bytes(b.column("text"))
+        start, end, first = word_places(raw, off)
+    for t, (text, own) in enumerate(zip(b.column("text").to_pylist(), ranges)):
+        data, own = (text or "").encode(), own or ()
+        plain = [(r["first"], r["last"] + LENGTH) for r in own if not r["unit"]]
+        said = [(int(start[first[t] + r["first"]] - off[t]), int(end[first[t] + r["last"] + passage - 1] - off[t])) for r in own if r["unit"]]
+        yield text, data, merged_spans(plain, len(data)), merged_spans(said, len(data))
+
+
+def mark(docs: DataFrame, passage: int | None = None) -> DataFrame:
     """``docs`` plus spans (removed byte ranges, start and end, maximal and ascending) and kept (the other bytes).
 
     Texts are UTF-8 bytes, null is the empty text; strings are judged on the
     input. Two rows with equal texts repeat each other; texts shorter than
-    LENGTH bytes are untouched. Existing columns of the two names are replaced.
+    LENGTH bytes are untouched. With ``passage``, a column passages lists the
+    byte ranges of so many words that occur in a row anywhere else (see
+    ``cut``); spans and kept do not heed it. Existing columns of the names
+    are replaced.
     """
     from pyspark.sql import types as T
 
-    docs = docs.drop("spans", "kept", "t1", "t2")
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
+    docs = docs.drop("spans", "kept", "t1", "t2", *(["passages"] if passage else []))
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    more = [T.StructField("passages", span)] if passage else []
+    schema = T.StructType([*docs.schema.fields, T.StructField("spans", span), T.StructField("kept", T.BinaryType()), *more])
     names = docs.columns
 
     def run(it: Iterator) -> Iterator:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        listed = lambda spans: [{"start": a, "end": z} for a, z in spans]
         for whole in it:
             for b in batches(whole):
-                spans, kept = [], []
-                for text, ranges in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist()):
-                    raw = (text or "").encode()
-                    own = spans_of(ranges, len(raw))
-                    spans.append([{"start": a, "end": z} for a, z in own])
+                spans, kept, said = [], [], []
+                for _, raw, own, passages in _spans_of(b, passage):
+                    spans.append(listed(own))
                     kept.append(without(raw, own))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(spans, kind), pa.array(kept, pa.binary())], names=[*names, "spans", "kept"])
-
-    return _with_ranges(docs).mapInArrow(run, schema)
-
-
-_EDGE = np.zeros(256, bool)
-_EDGE[list(string.punctuation.encode())] = True
-
-
-def word_places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each text) of words as in ``common.words``, without ASCII punctuation at their edges."""
-    _, start, end, first = words(raw, off)
-    inner = np.append(np.flatnonzero(~_EDGE[raw]), len(raw))
-    begin = np.minimum(inner[np.searchsorted(inner, start)], end)
-    before = np.searchsorted(inner, end) - 1
-    stop = np.where(before >= 0, inner[before] + 1, 0)
-    return begin, np.maximum(stop, begin), first
-
-
-def _coded(docs: DataFrame) -> DataFrame:
-    """``docs`` with _code: CODE letters for each word of text."""
-    from pyspark.sql import types as T
-
-    names = docs.columns
-    letters = np.frombuffer((string.ascii_letters + string.digits + "-_").encode(), np.uint8)
-    shifts = np.arange(CODE, dtype=np.uint64) * np.uint64(6)
-
-    def run(it: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for whole in it:
-            for b in batches(whole):
-                raw, off = flat_bytes(b.column("text"))
-                start, end, first = word_places(raw, off)
-                own = span_hash(prefix_hash(_LOWER[raw]), start, end)
-                code = letters[((own[:, None] >> shifts) & np.uint64(63)).astype(np.int64)].tobytes().decode()
-                codes = [code[CODE * x: CODE * y] for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(codes, pa.string())], names=[*names, "_code"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_code", T.StringType())]))
-
+                    said.append(listed(passages))
+                columns = [*(b.column(c) for c in names), pa.array(spans, kind), pa.array(kept, pa.binary()), *([pa.array(said, kind)] if passage else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-def _with_passages(docs: DataFrame, passage: int) -> DataFrame:
-    """``_with_ranges`` plus _words: the repeated passages of ``passage`` words, as windows of codes."""
-    symbol = next(k for k in range(min(CODED_WORDS, passage), 0, -1) if passage % k == 0)
-    codes = _coded(docs.select("doc_id", "text")).select("doc_id", F.col("_code").alias("text"))
-    found = stored(repeats(codes, CODE * passage, CODE * symbol), "passages").withColumnsRenamed({"t1": "w1", "t2": "w2", "ranges": "_words"})
-    n = found.agg(F.sum(F.size("_words"))).first()[0] or 0
-    named = _coded(_with_ranges(docs)).withColumns({"w1": F.xxhash64("_code"), "w2": F.xxhash64(F.lit(7), "_code")}).drop("_code")
-    joined = named.join(F.broadcast(found) if n <= BROADCAST_ROWS else found, ["w1", "w2"], "left")
-    return joined.select(*docs.columns, "_ranges", "_words")
+    return _with_ranges(docs, _readings(passage)).mapInArrow(run, schema)
 
 
 def cut(docs: DataFrame, passage: int | None = None) -> DataFrame:
@@ -410,19 +463,11 @@ def cut(docs: DataFrame, passage: int | None = None) -> DataFrame:
 
         for whole in it:
             for b in batches(whole):
-                texts, more = [], [()] * b.num_rows
-                if passage:
-                    raw, off = flat_bytes(b.column("text"))
-                    start, end, first = word_places(raw, off)
-                    for t, ranges in enumerate(b.column("_words").to_pylist()):
-                        places = [(first[t] - (-r["first"] // CODE), first[t] + r["last"] // CODE) for r in ranges or ()]
-                        more[t] = [(int(start[x] - off[t]), int(end[y + passage - 1] - off[t])) for x, y in places if x <= y]
-                for text, ranges, extra in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), more):
-                    if ranges or extra:
-                        data = text.encode()
-                        text = without(data, spans_of(ranges, len(data), extra)).decode(errors="ignore")
+                texts = []
+                for text, raw, own, passages in _spans_of(b, passage):
+                    if own or passages:
+                        text = without(raw, merged_spans(own + passages, len(raw))).decode(errors="ignore")
                     texts.append(text)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names=names)
 
-    given = _with_passages(docs, passage) if passage else _with_ranges(docs)
-    return given.mapInArrow(run, docs.schema)
+    return _with_ranges(docs, _readings(passage)).mapInArrow(run, docs.schema)

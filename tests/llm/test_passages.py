@@ -44,3 +44,21 @@ def test_stage_cuts_every_passage_of_over_50_words(spark, prose):
     want = brute(texts)
     assert got == {k: (t, len(t)) for k, t in enumerate(want)}
     assert all(passages[0] in t for t in want[:4]) and not any(p in t for t in want for p in passages[1:])
+
+
+def test_marked_passages_and_long_texts(spark, prose, monkeypatch):
+    """Passage spans equal brute force while the byte spans stay as they are; a long text is read in pieces."""
+    from chainsift.llm import suffixdedup as S
+
+    rng = prose.rng
+    passages = [prose(n) for n in (50, 51, 70)]
+    texts = [f"{prose(rng.randrange(0, 60))} {p} {prose(rng.randrange(0, 60))}" for p in passages for _ in range(3)] + [prose(900) + " " + passages[2] + " " + prose(900), None, "", "solo " * 200]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    plain = {r.doc_id: (r.spans, r.kept) for r in S.mark(docs).collect()}
+    want = brute(texts, bytes_=10**9)  # passages only
+    for piece in (S.PIECE, 900):
+        monkeypatch.setattr(S, "PIECE", piece)
+        for r in S.mark(docs, 51).collect():
+            raw = (texts[r.doc_id] or "").encode()
+            assert (r.spans, r.kept) == plain[r.doc_id]
+            assert S.without(raw, [(s.start, s.end) for s in r.passages]).decode() == want[r.doc_id], r.doc_id
