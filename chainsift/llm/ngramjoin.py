@@ -28,10 +28,10 @@ SIMILAR = (4, 5)
 OFTEN, LOOK_SHINGLES, MAX_FREQUENT = 3, 2 << 20, 1 << 19
 #: Part of a set by which its first shingles are extended, so that one shared shingle is not yet enough.
 EXTRA = 20
-#: Classes, and bytes of their sets, of one candidate cluster that are searched in one task (its lists take about ten times as much
-#: memory); larger clusters are cut and joined over blocks of so many classes or bytes.
-CLUSTER, CLUSTER_BYTES = 4000, 16 << 20
-QUERY_BLOCK, QUERY_BYTES = 256, 8 << 20
+#: Classes, and bytes of their sets, of one candidate cluster that are searched in one task (which takes about twice those bytes);
+#: larger clusters are cut and joined over blocks of so many classes or bytes.
+CLUSTER, CLUSTER_BYTES = 4000, 96 << 20
+QUERY_BLOCK, QUERY_BYTES = 1024, 32 << 20
 #: Lists about this long are merged and probed half and half.
 MERGE = 4
 #: Candidates up to this number are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
@@ -206,49 +206,71 @@ def shared_postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 class Lists:
-    """Inverted lists over the sets of one cluster, those of at least ``least`` members."""
+    """Inverted lists over the sets of one cluster, those of at least ``least`` members, flat: one array of members, cut by shingle.
+
+    Built over one range of hashes after the other, so that building takes little more memory than the lists.
+    """
+
+    RANGES = 16
 
     def __init__(self, sets: list[np.ndarray], least: int = 1):
         self.sets = sets
-        code = np.concatenate([np.zeros(0, np.uint64), *sets])
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(code, kind="stable")
-        code, owner = code[order], owner[order]
-        edge = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1], [True]])) if len(code) else np.zeros(1, np.int64)
-        many = np.flatnonzero(np.diff(edge) >= least)
-        self.list: dict[int, list[int]] = {int(code[edge[k]]): owner[edge[k]: edge[k + 1]].tolist() for k in many}
+        keys, sizes, members = [], [], []
+        edges = [np.searchsorted(s, np.array([k << 60 for k in range(1, self.RANGES)], np.uint64)) for s in sets]
+        for k in range(self.RANGES):
+            parts = [s[(e[k - 1] if k else 0): (e[k] if k < self.RANGES - 1 else len(s))] for s, e in zip(sets, edges)]
+            code = np.concatenate([np.zeros(0, np.uint64), *parts])
+            owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in parts])
+            order = np.argsort(code, kind="stable")
+            code, owner = code[order], owner[order]
+            start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+            size = np.diff(np.append(start, len(code)))
+            keep = size >= least
+            keys.append(code[start[keep]])
+            sizes.append(size[keep])
+            members.append(owner[np.repeat(keep, size)])
+        self.key = np.concatenate(keys)
+        self.first = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes))])
+        self.member = memoryview(np.concatenate(members))
 
     def search(self, s: np.ndarray, skip) -> Iterator[int]:
         """Members whose set links with s, in DivideSkip order; ``skip(member)`` leaves out those already joined."""
         n = len(s)
         need = required(n)
-        lists = sorted((x for x in map(self.list.get, s.tolist()) if x), key=len)
-        if len(lists) < need:
+        at = np.searchsorted(self.key, s)
+        inside = at < len(self.key)
+        at, s = at[inside], s[inside]
+        at = at[self.key[at] == s]
+        if len(at) < need:
             return
+        size = self.first[at + 1] - self.first[at]
+        at = at[np.argsort(size, kind="stable")]
+        lists = list(zip(self.first[at].tolist(), self.first[at + 1].tolist()))
+        member_at = self.member
         # The longer the lists, the more of them are probed instead of merged; a member must still be met in a short one.
-        most = len(lists[-1])
+        most = lists[-1][1] - lists[-1][0]
         long = min(need - 1, need * most // (most + MERGE))
         cut = len(lists) - long
         short, rest = lists[:cut], lists[cut:]
-        heads = [(x[0], k, 0) for k, x in enumerate(short)]
+        heads = [(member_at[a], a, z) for a, z in short]
         heapq.heapify(heads)
         while heads:
             member, count = heads[0][0], 0
             while heads and heads[0][0] == member:
-                _, k, at = heads[0]
+                _, a, z = heads[0]
                 count += 1
-                if at + 1 < len(short[k]):
-                    heapq.heapreplace(heads, (short[k][at + 1], k, at + 1))
+                if a + 1 < z:
+                    heapq.heapreplace(heads, (member_at[a + 1], a + 1, z))
                 else:
                     heapq.heappop(heads)
             m = len(self.sets[member])
             if count >= need - long and SIMILAR[1] * min(n, m) >= SIMILAR[0] * max(n, m) and not skip(member):
                 least = -(-SIMILAR[0] * (n + m) // (SIMILAR[0] + SIMILAR[1]))
-                for left, x in zip(range(len(rest), 0, -1), rest):
+                for left, (a, z) in zip(range(len(rest), 0, -1), rest):
                     if count >= least or count + left < least:
                         break
-                    k = bisect_left(x, member)
-                    count += k < len(x) and x[k] == member
+                    k = bisect_left(member_at, member, a, z)
+                    count += k < z and member_at[k] == member
                 if count >= least:
                     yield member
 
