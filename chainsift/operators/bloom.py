@@ -52,6 +52,71 @@ def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("block").agg(F.bit_or("bits").alias("bits"))
 
 
+class BloomStore:
+    """A stored filter that grows: versions ``<path>/v=<n>`` of the block table, and a small file that says which one counts.
+
+    ``add`` writes the next version from the last one and the new members
+    only, then makes it the one that counts by a rename; a job that dies
+    before leaves the last version. Once the share of set bits passes that of
+    a filter at its design size, the false-positive rate would pass the design
+    rate: the filter is built anew for twice the items, from the member list
+    that the caller gives for that (bits cannot be dealt out anew).
+    """
+
+    def __init__(self, spark, path: str, items: int = BLOOM_CAPACITY, p: float = BLOOM_ERROR):
+        self.spark, self.path, self.p = spark, path.rstrip("/"), p
+        self.first = {"version": 0, "items": items}
+
+    def state(self) -> dict:
+        import json
+
+        from chainsift.session import filesystem
+
+        fs, base = filesystem(self.path)
+        try:
+            with fs.open_input_stream(f"{base}/current.json") as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return self.first
+
+    def params(self) -> tuple[int, int]:
+        return bloom_params(self.state()["items"], self.p)
+
+    def bits(self) -> DataFrame:
+        """The block table of the version that counts."""
+        version = self.state()["version"]
+        if not version:
+            return self.spark.createDataFrame([], "block bigint, bits bigint")
+        return self.spark.read.schema("block bigint, bits bigint").parquet(f"{self.path}/v={version}")
+
+    def fill(self) -> float:
+        """Share of the set bits, counted over the table."""
+        m, _ = self.params()
+        blocks = max(1, -(-m // BLOCK_BITS))
+        return float(self.bits().agg(F.sum(F.bit_count("bits"))).first()[0] or 0) / (blocks * BLOCK_BITS)
+
+    def _publish(self, table: DataFrame, items: int) -> None:
+        from chainsift.operators.store import _put
+        from chainsift.session import filesystem
+
+        version = self.state()["version"] + 1
+        table.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        fs, base = filesystem(self.path)
+        _put(fs, f"{base}/current.json", {"version": version, "items": items})
+
+    def add(self, members: DataFrame, everyone: DataFrame | None = None, col: str = "address") -> None:
+        """OR the bits of ``members`` in; ``everyone`` (all members, these too) is read only when the filter has to grow."""
+        m, k = self.params()
+        self._publish(bloom_merge(self.bits(), bloom_build(members, m, k, col)), self.state()["items"])
+        design = 1 - math.exp(-k * self.state()["items"] / m)
+        items = self.state()["items"]
+        while everyone is not None and self.fill() > design:
+            items *= 2
+            m, k = bloom_params(items, self.p)
+            self._publish(bloom_build(everyone, m, k, col), items)
+            design = 1 - math.exp(-k * items / m)
+
+
 def bloom_prefilter(events: DataFrame, bits: DataFrame, m: int, k: int, col: str = "user", size: int | None = None) -> DataFrame:
     """Events whose user may be a member (no false negatives); the log is read once and events stay where they are.
 

@@ -35,7 +35,11 @@ ROW_DDL = (
     "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE"
 )
 BACKFILL_RUN, BACKFILL_BATCH = "backfill", -1
-COMMITS = "_commits"
+COMMITS, WRITING = "_commits", "_writing"
+#: Commit files from which on a stream folds them; hours for which a writer's marker protects its segment.
+FOLD_AFTER, WRITER_HOURS = 64, 24
+#: Files that a replay touches, up to which their names are broadcast.
+BROADCAST_FILES = 1_000_000
 
 
 def _fs(path: str):
@@ -63,17 +67,26 @@ def _put(fs, path: str, value: dict) -> None:
 
 
 def _commits(path: str) -> dict[str, dict]:
-    """Commit files by name, without those that a later one has folded in."""
+    """Commit files by name, without those that a later one has folded in.
+
+    A fold that runs meanwhile publishes its file before it deletes those it
+    replaces, so a file that is gone when it is opened means: list again.
+    """
     import pyarrow.fs as pafs
 
     fs, base = _fs(path)
-    found = {}
-    for info in fs.get_file_info(pafs.FileSelector(f"{base}/{COMMITS}", allow_not_found=True)):
-        if info.base_name.endswith(".json"):
-            with fs.open_input_stream(info.path) as f:
-                found[info.base_name[: -len(".json")]] = json.loads(f.read())
-    folded = {n for c in found.values() for n in c.get("folds", ())}
-    return {n: c for n, c in found.items() if n not in folded}
+    while True:
+        found, gone = {}, False
+        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{COMMITS}", allow_not_found=True)):
+            if info.base_name.endswith(".json"):
+                try:
+                    with fs.open_input_stream(info.path) as f:
+                        found[info.base_name[: -len(".json")]] = json.loads(f.read())
+                except FileNotFoundError:
+                    gone = True
+        if not gone:
+            folded = {n for c in found.values() for n in c.get("folds", ())}
+            return {n: c for n, c in found.items() if n not in folded}
 
 
 def commit(path: str, name: str, adds, replaces=(), folds=(), meta: dict | None = None) -> None:
@@ -84,6 +97,15 @@ def commit(path: str, name: str, adds, replaces=(), folds=(), meta: dict | None
     _put(fs, f"{base}/{COMMITS}/{name}.json", {
         "adds": [list(u) for u in adds], "replaces": [list(u) for u in replaces], "folds": list(folds), "at": at, "meta": meta or {},
     })
+    for segment in {name, *(u[0] for u in adds)}:
+        _delete(fs, f"{base}/{WRITING}/{segment}")
+
+
+def _delete(fs, path: str) -> None:
+    try:
+        fs.delete_file(path)
+    except FileNotFoundError:
+        pass
 
 
 def committed(path: str, name: str) -> bool:
@@ -93,44 +115,76 @@ def committed(path: str, name: str) -> bool:
 def live_units(path: str) -> list[tuple[str, str]]:
     """(segment, day) units that readers see, sorted."""
     commits = _commits(path).values()
-    dead = {tuple(u) for c in commits for u in c["replaces"]}
+    dead = {tuple(u[:2]) for c in commits for u in c["replaces"]}
     return sorted({tuple(u) for c in commits for u in c["adds"]} - dead)
 
 
 def fold_commits(path: str) -> None:
-    """Replace all commit files by one that lists the live units; the old files go after it is published."""
+    """A checkpoint of the commit log: one file that stands for all commit files; the old ones go after it is published.
+
+    It holds the live units, per stream the highest batch (a late retry of an
+    earlier one is still skipped), and what the commits say of deliveries.
+    Units that were replaced stay listed for a day, so that a fold that ran
+    beside this one, and has not seen the replacement, cannot bring them back.
+    """
     before = _commits(path)
-    dead = {tuple(u) for c in before.values() for u in c["replaces"]}
-    adds = sorted({tuple(u) for c in before.values() for u in c["adds"]} - dead)
-    # Names of stream batches stay known, so a late retry of a folded batch is still skipped.
-    done = sorted({n for c in before.values() for n in c["meta"].get("done", ())} | {n for n, c in before.items() if c["meta"].get("stream")})
+    now = _dt.datetime.now(_dt.timezone.utc)
+    old = (now - _dt.timedelta(days=1)).isoformat()
+    dead = {tuple(u[:2]): (u[2] if len(u) > 2 else c["at"]) for c in before.values() for u in c["replaces"]}
+    adds = sorted({tuple(u) for c in before.values() for u in c["adds"]} - dead.keys())
+    in_order = sorted(before.items(), key=lambda x: (x[1]["at"], x[0]))
+    meta: dict = {"upto": {}, "live": {}, "changes": {}}
+    for n, c in in_order:
+        upto = dict(c["meta"].get("upto", {}))
+        if c["meta"].get("stream"):
+            upto[n[:-11]] = int(n[-10:])
+        for stream, batch in upto.items():
+            meta["upto"][stream] = max(batch, meta["upto"].get(stream, -1))
+        meta["live"].update(c["meta"].get("live", {}))
+        for stream, own in c["meta"].get("changes", {}).items():
+            have = meta["changes"].setdefault(stream, {"folders": [], "log": None})
+            have["folders"] = sorted({*have["folders"], *own["folders"]})
+            have["log"] = own["log"]
     name = f"fold-{uuid.uuid4().hex[:12]}"
-    in_order = sorted(before.values(), key=lambda c: c["at"])
-    meta = {k: {n: v for c in in_order for n, v in c["meta"].get(k, {}).items()} for k in ("snapshots", "state")} | {"done": done}
-    commit(path, name, adds, dead, before, meta)
+    commit(path, name, adds, [(*u, at) for u, at in sorted(dead.items()) if at >= old], before, meta)
     fs, base = _fs(path)
     for n in before:
-        fs.delete_file(f"{base}/{COMMITS}/{n}.json")
+        _delete(fs, f"{base}/{COMMITS}/{n}.json")
+
+
+def tidy_commits(path: str, commits: dict[str, dict]) -> None:
+    """Fold once the log has FOLD_AFTER files, so that a reader opens a bounded number of them however many batches there were."""
+    if len(commits) >= FOLD_AFTER:
+        fold_commits(path)
 
 
-def batch_done(path: str, name: str) -> bool:
-    """Whether a stream batch's commit exists, itself or folded."""
-    commits = _commits(path)
-    return name in commits or any(name in c["meta"].get("done", ()) for c in commits.values())
+def batch_done(path: str, name: str, commits: dict[str, dict] | None = None) -> bool:
+    """Whether a stream batch's commit exists, itself or folded (batches of a stream are committed in their order)."""
+    commits = _commits(path) if commits is None else commits
+    return name in commits or any(int(name[-10:]) <= c["meta"].get("upto", {}).get(name[:-11], -1) for c in commits.values())
 
 
 def vacuum(path: str, grace_hours: float = 1.0) -> int:
-    """Delete segment days that no commit holds live and that are older than ``grace_hours`` (running readers keep theirs)."""
+    """Delete segment days that no commit holds live and that are older than ``grace_hours`` (running readers keep theirs).
+
+    A segment that is being written has a marker and is left alone until its
+    commit, whatever the grace; the marker of a dead writer counts for
+    WRITER_HOURS after the writer's start.
+    """
     import pyarrow.fs as pafs
 
     fs, base = _fs(path)
     live = set(live_units(path))
     limit = _dt.datetime.now(_dt.timezone.utc) - _dt.timedelta(hours=grace_hours)
     gone = 0
+    started = _dt.datetime.now(_dt.timezone.utc) - _dt.timedelta(hours=WRITER_HOURS)
+    writing = {m.base_name for m in fs.get_file_info(pafs.FileSelector(f"{base}/{WRITING}", allow_not_found=True)) if m.mtime is None or m.mtime > started}
+    live |= set(live_units(path))  # what was committed between the two looks
     for seg in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-        if not seg.base_name.startswith("segment="):
+        if not seg.base_name.startswith("segment=") or seg.base_name[8:] in writing:
             continue
-        days = [d for d in fs.get_file_info(pafs.FileSelector(seg.path)) if d.type == pafs.FileType.Directory]
+        inside = [d for d in fs.get_file_info(pafs.FileSelector(seg.path, allow_not_found=True)) if d.type == pafs.FileType.Directory]
+        days = [d for d in inside if d.base_name.startswith("ingest_date=")]
         dead = [d for d in days if (seg.base_name[8:], d.base_name.split("=", 1)[-1]) not in live and (grace_hours <= 0 or d.mtime is None or d.mtime <= limit)]
         for d in dead:
             fs.delete_dir(d.path)
@@ -170,6 +224,10 @@ def write_segment(rows: DataFrame, path: str, segment: str) -> list[tuple[str, s
     import pyarrow.fs as pafs
 
     target = f"{path.rstrip('/')}/segment={segment}"
+    root, top = _fs(path)
+    root.create_dir(f"{top}/{WRITING}", recursive=True)
+    with root.open_output_stream(f"{top}/{WRITING}/{segment}") as f:  # ``vacuum`` leaves the segment alone until its commit
+        f.write(b"{}")
     rows.write.mode("overwrite").partitionBy("ingest_date", "event").parquet(target)
     fs, base = _fs(target)
     days = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
@@ -271,6 +329,8 @@ def dedupe(events: DataFrame, replay: DataFrame | None = None) -> DataFrame:
     """
     if replay is None:
         return require_lineage(events).dropDuplicates(LINEAGE_KEY)
-    touched = F.broadcast(replay.select("file").distinct())  # hour files since the saved position
+    touched = replay.select("file").distinct()  # hour files since the saved position
+    if touched.count() <= BROADCAST_FILES:
+        touched = F.broadcast(touched)
     both = require_lineage(events.join(touched, "file", "left_semi").unionByName(replay)).dropDuplicates(LINEAGE_KEY)
     return events.join(touched, "file", "left_anti").unionByName(both)

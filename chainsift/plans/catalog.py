@@ -180,6 +180,21 @@ def q_bloom_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_build(fixtures.whitelist(spark, sf_dir), m, k)
 
 
+def q_bloom_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 with incremental adds: a stored filter that takes the whitelist in as two deltas, split at the middle score."""
+    import uuid
+
+    from chainsift.operators.bloom import BloomStore
+    from chainsift.session import sub_dir
+
+    wl = fixtures.whitelist(spark, sf_dir)
+    middle = wl.agg(F.avg("score").alias("s")).first()["s"]
+    store = BloomStore(spark, sub_dir(spark, "bloom", uuid.uuid4().hex[:12]))
+    store.add(wl.where(F.col("score") <= middle))
+    store.add(wl.where(F.col("score") > middle))
+    return store.bits()
+
+
 def q_bloom_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Valid fills whose user passes the Bloom probe at the service's sizing."""
     from chainsift.operators.bloom import bloom_build, bloom_params, bloom_prefilter
@@ -397,6 +412,7 @@ QUERIES = {
     "whitelist_merge": q_whitelist_merge,
     "whitelist_score": q_whitelist_score,
     "bloom_build": q_bloom_build,
+    "bloom_incremental": q_bloom_incremental,
     "bloom_prefilter": q_bloom_prefilter,
     "bloom_prefilter_small": q_bloom_prefilter_small,
     "page_json": q_page_json,

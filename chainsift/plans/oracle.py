@@ -315,3 +315,5 @@ SQL["disconnect"] = f"""WITH {SUBLOG.rstrip()},
 SQL["empty_store"] = "SELECT 'fill' AS event, count(*) AS n, max(696372899 + event_id // 4) AS top FROM events"
 SQL["stream_resume_new_run"] = SQL["all_events"]
 SQL["stream_bounded_backlog"] = f"WITH {ALL_EVENTS_CTE} SELECT * FROM ae WHERE event = 'fill'"
+SQL["stream_bad_lines"] = SQL["bad_lines"]
+SQL["bloom_incremental"] = SQL["bloom_build"]

@@ -33,3 +33,22 @@ def test_incremental_merge_equals_rebuild(spark):
     whole = {tuple(r) for r in bloom_build(a.unionByName(b), m, k).collect()}
     assert merged == whole
     assert bloom_build(a, m, k).where(F.col("bits") == 0).count() == 0
+
+
+def test_stored_filter_grows(spark, scratch):
+    """Deltas give the filter of all members; past its design fill it is built anew, and never loses a member."""
+    from chainsift.operators.bloom import BloomStore, bloom_build, bloom_members, bloom_params
+
+    names = lambda a, b: spark.range(a, b).selectExpr("concat('0x', id) AS address")
+    store = BloomStore(spark, scratch + "/bloom", items=200)
+    store.add(names(0, 60))
+    store.add(names(60, 150))
+    want = {tuple(r) for r in bloom_build(names(0, 150), *bloom_params(200)).collect()}
+    assert {tuple(r) for r in store.bits().collect()} == want and store.state() == {"version": 2, "items": 200}
+    store.add(names(150, 1000), names(0, 1000))
+    state = store.state()
+    assert state["items"] >= 800
+    again = BloomStore(spark, scratch + "/bloom", items=200)
+    m, k = again.params()
+    assert bloom_members(names(0, 1000).withColumnRenamed("address", "user"), again.bits(), m, k).count() == 1000
+    assert bloom_members(names(5000, 15000).withColumnRenamed("address", "user"), again.bits(), m, k).count() < 500

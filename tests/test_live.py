@@ -60,10 +60,8 @@ def test_live_pipeline_tails_and_refreshes(spark, scratch):
     assert got == [("0xa", "fill", 1), ("0xa", "fill", 4), ("0xb", "fill", 3), ("0xb", "misc", 5), ("0xb", "misc", 5)]
     d = delivered_events(spark, cfg.store_path, cfg.delivery_path)
     assert sorted((r["client_id"], r["block"]) for r in d.collect()) == [(7, 1), (7, 3), (7, 4), (8, 5), (8, 5)]
-    # the stream wrote one snapshot row per subscriber and batch, not one row per delivery
-    import glob
-
-    assert len(glob.glob(os.path.join(cfg.delivery_path, "state-*"))) == 2  # one state per type: the log never changed
+    # the stream wrote one row per change of a subscriber, not one per batch or delivery
+    assert spark.read.parquet(os.path.join(cfg.delivery_path, "changes-*")).count() == 2
 
 
 def test_batch_and_stream_share_one_store(spark, scratch):
@@ -89,3 +87,38 @@ def test_batch_and_stream_share_one_store(spark, scratch):
     run_available_now(spark, cfg)
     got = sorted((r["block"], r["batch_id"]) for r in read_store(spark, store).collect())
     assert got == [(1, -1), (2, 0)]
+
+
+def test_rejected_lines_of_the_live_run(spark, scratch):
+    """They are published with the batch's events, a batch without commit shows none."""
+    from chainsift.operators import store as S
+    from chainsift.streaming.live import WhitelistCache, process_batch, read_bad_lines, run_available_now
+
+    root = os.path.join(scratch, "logs")
+    write_log(root, F5, fill(1, "0xa", 1) + "{broken\n" + "  \n" + '{"block_number":"x"}\n' + fill(2, "0xa", 2))
+    write_log(root, M5, misc(3, ["0xa"]) + "[]\n")
+    cfg = PipelineConfig(
+        root=root, store_path=os.path.join(scratch, "store"), checkpoint=os.path.join(scratch, "ckpt"), bad_lines_path=os.path.join(scratch, "bad"),
+        whitelist=lambda s: s.createDataFrame([("0xa", 1.0)], "address string, score double"), options={"now": "2024-01-02T00:00:00"},
+    )
+    assert read_bad_lines(spark, cfg).count() == 0
+    run_available_now(spark, cfg)
+    want = [("fill", "{broken"), ("fill", '{"block_number":"x"}'), ("misc", "[]")]
+    assert sorted((r.event, r.value) for r in read_bad_lines(spark, cfg).collect()) == want
+    assert S.read_store(spark, cfg.store_path).count() == 3
+
+    lines = spark.createDataFrame([(F5, 0, "late and broken")], "file string, offset bigint, value string")
+    real = S.commit
+    try:
+        S.commit = None  # the job dies before its commit
+        try:
+            process_batch(spark, cfg, "node_fills_by_block", lines, 7, "other", WhitelistCache(cfg))
+        except TypeError:
+            pass
+    finally:
+        S.commit = real
+    assert os.path.isdir(os.path.join(scratch, "bad", "batch=other-fill-0000000007"))
+    assert read_bad_lines(spark, cfg).count() == 3
+    process_batch(spark, cfg, "node_fills_by_block", lines, 7, "other", WhitelistCache(cfg))
+    S.fold_commits(cfg.store_path)
+    assert read_bad_lines(spark, cfg).count() == 4

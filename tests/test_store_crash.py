@@ -185,7 +185,16 @@ def test_deliveries_follow_the_state_of_their_batch(spark, scratch):
     assert len(os.listdir(cfg.delivery_path)) == 2
     S.compact_day(spark, cfg.store_path, dt.date(2024, 1, 1))
     assert got() == [(7, 0), (7, 1), (8, 2)]
-    assert live.expire_states(spark, cfg.store_path, cfg.delivery_path) == 0
+    # A message that becomes visible late, with a lower seq and none, counts from its batch on.
+    rows += [(9, "subscribe", "fill", 2), (10, "subscribe", "fill", None)]
+    step(3)
+    assert got() == [(7, 0), (7, 1), (8, 2), (8, 3), (9, 3)] + ([(10, 3)] if (10, 3) in got() else [])
+    rows += [(8, "unsubscribe", "fill", 90)]
+    for b in range(4, 8):
+        step(b)
+    assert [r for r in got() if r[0] == 8] == [(8, 2), (8, 3)]
+    changes = spark.read.parquet(cfg.delivery_path + "/changes-*")
+    assert changes.count() <= 6 and len(os.listdir(cfg.delivery_path)) == 4  # storage grows with the changes only
 
 
 @pytest.fixture
@@ -247,3 +256,61 @@ def test_an_append_computes_its_input_once(spark, scratch):
     rows = plain.mapInPandas(count, plain.schema).withColumn("data", F.parse_json(F.lit("{}")))
     S.append_events(rows, scratch + "/store")
     assert seen.value == 100
+
+
+def test_commit_log_stays_short(scratch, monkeypatch):
+    """1,000 batches: a reader opens a bounded number of files, every batch stays known, a fold beside readers breaks none."""
+    import threading
+
+    monkeypatch.setattr(S, "FOLD_AFTER", 8)
+    path, most, wrong, stop = scratch + "/store", 0, [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            n = len(S.live_units(path))
+            if wrong[-1:] and n < wrong[-1]:
+                wrong.append("a unit was lost")
+                return
+            wrong[:] = [n]
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for b in range(1000):
+        commits = S._commits(path)
+        most = max(most, len(commits))
+        name = f"run-fill-{b:010d}"
+        S.commit(path, name, [(name, "2024-01-01")], meta={"stream": True})
+        S.tidy_commits(path, commits)
+    stop.set()
+    reader.join()
+    assert most <= 9 and "a unit was lost" not in wrong
+    assert len(S.live_units(path)) == 1000
+    assert all(S.batch_done(path, f"run-fill-{b:010d}") for b in (0, 1, 500, 999)) and not S.batch_done(path, "run-fill-0000001000") and not S.batch_done(path, "run-misc-0000000000")
+
+
+def test_a_stale_fold_brings_no_replaced_unit_back(scratch):
+    path = scratch + "/store"
+    S.commit(path, "a", [("a", "2024-01-01")])
+    S.commit(path, "b", [("b", "2024-01-01")], [("a", "2024-01-01")])
+    S.fold_commits(path)
+    S.commit(path, "stale", [("a", "2024-01-01"), ("b", "2024-01-01")])  # as a fold that had listed before b
+    S.fold_commits(path)
+    assert S.live_units(path) == [("b", "2024-01-01")]
+
+
+def test_vacuum_leaves_running_writes_alone(spark, scratch):
+    """Between the write and its commit, and while tasks still write."""
+    path = scratch + "/store"
+    rows = store_rows(spark, [AS_OF] * 3).withColumns({"run_id": F.lit("r"), "batch_id": F.lit(0)})
+    units = S.write_segment(rows, path, "seg")
+    os.makedirs(f"{path}/segment=half/_temporary/0")
+    open(f"{path}/_writing/half", "w").close()
+    S.vacuum(path, grace_hours=0)
+    assert os.path.isdir(f"{path}/segment=half/_temporary/0")
+    S.commit(path, "seg", units)
+    assert S.read_store(spark, path).count() == 3 and os.listdir(f"{path}/_writing") == ["half"]
+    S.vacuum(path, grace_hours=0)
+    assert S.read_store(spark, path).count() == 3
+    os.utime(f"{path}/_writing/half", (0, 0))  # its writer died long ago
+    S.vacuum(path, grace_hours=0)
+    assert not os.path.exists(f"{path}/segment=half")
