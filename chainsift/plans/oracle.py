@@ -317,3 +317,4 @@ SQL["stream_resume_new_run"] = SQL["all_events"]
 SQL["stream_bounded_backlog"] = f"WITH {ALL_EVENTS_CTE} SELECT * FROM ae WHERE event = 'fill'"
 SQL["stream_bad_lines"] = SQL["bad_lines"]
 SQL["bloom_incremental"] = SQL["bloom_build"]
+SQL["stream_subscription_state"] = SQL["disconnect"]
