@@ -141,8 +141,20 @@ def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Gives memory that Python has freed back to the system: a worker process serves one stage after the other and keeps it otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def batches(record_batch, limit: int = 2 << 20):
-    """Cut an Arrow batch into slices of about ``limit`` text bytes (column ``text``), at least one row each."""
+    """Cut an Arrow batch into slices of about ``limit`` text bytes (column ``text``), at least one row each; frees memory after the last."""
     import pyarrow.compute as pc
 
     n = record_batch.num_rows
@@ -155,6 +167,7 @@ def batches(record_batch, limit: int = 2 << 20):
         to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
         yield record_batch.slice(at, to - at)
         at = to
+    release()
 
 
 #: A list of ids up to this length is broadcast (about 32 MB), a longer one is joined by shuffle.

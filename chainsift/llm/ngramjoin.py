@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import batches, components, flat_bytes, mix, shingle_hashes, stored, without_ids, words
+from chainsift.llm.common import batches, components, flat_bytes, mix, release, shingle_hashes, stored, without_ids, words
 
 SHINGLE = 5
 #: Link when SIMILAR[1] * intersection >= SIMILAR[0] * union.
@@ -200,6 +200,7 @@ def shared_postings(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 held.append(np.frombuffer(rows.as_buffer(), POSTING))
         if held:
             yield shared()
+        release()
 
     packed = docs.select("text").mapInArrow(emit, "part int, rows binary")
     return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(meet, "h long, c long, n int")
@@ -335,6 +336,7 @@ def _solve_groups(rows: DataFrame, key: str) -> DataFrame:
                     sets.append(np.frombuffer(s, "<u8"))
         if len(ids) > 1:
             yield links()
+        release()
 
     return rows.select(key, "c", "shingles").repartition(key).sortWithinPartitions(key).mapInPandas(run, "a long, b long")
 

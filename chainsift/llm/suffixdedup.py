@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import _CODE, _LOWER, _SPACE, batches, flat_bytes, mix, prefix_hash, prefix_sums, span_hash, stable_order, stored, words
+from chainsift.llm.common import _CODE, _LOWER, _SPACE, batches, flat_bytes, mix, prefix_hash, prefix_sums, release, span_hash, stable_order, stored, words
 
 
 @dataclass(frozen=True)
@@ -318,6 +318,7 @@ def _merged(parts: DataFrame, readings: tuple[Reading, ...] = (BYTES,)) -> DataF
                     size += len(data) // (8 if readings[unit].words else 1)
         if held:
             yield solve()
+        release()
 
     return parts.repartition("unit", "anchor").sortWithinPartitions("unit", "anchor").mapInArrow(run, "anchor long, segment long, first long, last long")
 
