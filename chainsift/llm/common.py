@@ -32,10 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (modulo 2**64), grown by doubling and kept."""
+    """BASE**i and BASE**-i for i < n (modulo 2**64), kept until ``release``."""
     have = _POW.get("p")
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(n + 65_535 >> 16, 1) << 16
         inv = np.uint64(pow(int(BASE), -1, 1 << 64))
         for key, b in (("p", BASE), ("i", inv)):
             out = np.full(size, b, np.uint64)
@@ -147,13 +147,14 @@ def release() -> None:
 
     import pyarrow as pa
 
+    _POW.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
     if trim is not None:
         trim(0)
 
 
-def batches(record_batch, limit: int = 2 << 20):
+def batches(record_batch, limit: int = 1 << 20):
     """Cut an Arrow batch into slices of about ``limit`` text bytes (column ``text``), at least one row each; frees memory after the last."""
     import pyarrow.compute as pc
 

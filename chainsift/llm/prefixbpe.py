@@ -21,7 +21,7 @@ from chainsift.llm.common import batches
 from chainsift.llm.pretokens import WordCache, encode_texts
 
 #: Pairs whose compatibility is remembered before the memory starts anew.
-PAIR_MEMORY = 500_000
+PAIR_MEMORY = 200_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -196,7 +196,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
         bpe = codec(vocabulary)
         for whole in it:
             named = whole.rename_columns([n if n != text else "text" for n in names])
-            for part in batches(named, 2 << 20):
+            for part in batches(named):
                 ids = bpe.encode([t or "" for t in part.column("text").to_pylist()])
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32), np.concatenate([np.zeros(0, np.uint32), *ids]).astype(np.int32))
                 decoded = pa.array([bpe.decode(i) for i in ids], pa.string())

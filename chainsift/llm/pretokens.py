@@ -33,7 +33,7 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _CHAR_CODE = mix(np.arange(1, SAFE_BELOW + 2, dtype=np.uint64))
 #: Entries that a cache holds before it starts anew; bounds a worker's memory.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 
 
 def split(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ class WordCache:
                 self.flat.extend(ids)
                 self.off.append(len(self.flat))
         slot = np.fromiter((at[h] for h in word.tolist()), np.int64, len(word))
-        all_off, flat = np.array(self.off, np.int64), np.array(self.flat, np.uint32)
+        all_off, flat = np.frombuffer(self.off, np.int64), np.frombuffer(self.flat, np.uint32)  # no copies; let go before the arrays grow
         begin, size = all_off[slot][inverse], (all_off[slot + 1] - all_off[slot])[inverse]
         done = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.repeat(begin - done[:-1], size) + np.arange(done[-1])]

@@ -61,7 +61,7 @@ MERGE_BYTES, SHARDS = 1 << 19, 4
 #: An anchor with more distinct segments than this (about 10 million elements) is not merged in one task: its windows are counted by their hashes.
 HOT_SEGMENTS = 1 << 14
 #: Windows of a text that are looked at in one go; a longer text is taken in such pieces.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Rows up to this number are broadcast to find their texts, more are joined by shuffle (the same way from middling sizes up).
 BROADCAST_ROWS = 1 << 14
 
