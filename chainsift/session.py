@@ -24,7 +24,7 @@ REQUIRED_CONF = {
     "spark.sql.maxConcurrentOutputFileWriters": "2",
     # Rows can be long texts: smaller batches keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
