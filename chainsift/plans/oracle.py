@@ -316,5 +316,6 @@ SQL["empty_store"] = "SELECT 'fill' AS event, count(*) AS n, max(696372899 + eve
 SQL["stream_resume_new_run"] = SQL["all_events"]
 SQL["stream_bounded_backlog"] = f"WITH {ALL_EVENTS_CTE} SELECT * FROM ae WHERE event = 'fill'"
 SQL["stream_bad_lines"] = SQL["bad_lines"]
+SQL["stream_dedupe"] = SQL["dedupe_replay"]
 SQL["bloom_incremental"] = SQL["bloom_build"]
 SQL["stream_subscription_state"] = SQL["disconnect"]
