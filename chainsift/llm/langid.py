@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import batches, mix
+from chainsift.llm.common import batches, mix, stored
 
 #: Code points in an n-gram.
 N = 4
@@ -24,8 +24,9 @@ N = 4
 SHARE = 0.2
 #: Slots looked up for an n-gram.
 PROBES = 3
-#: Slots for each n-gram in the filters, and the most slots that are sent to the tasks (16 bytes each for up to 63 languages).
-SLOTS_PER_GRAM, MAX_SLOTS = 12, 1 << 21
+#: Slots for each n-gram in the filters, and slots of one slice (8 bytes each for up to 63 languages): larger filters
+#: are cut by n-gram hash into slices that the texts meet one after the other.
+SLOTS_PER_GRAM, SLICE_SLOTS = 12, 1 << 22
 #: Languages in one slot word.
 WORD = 63
 UNDETERMINED = "und"
@@ -129,11 +130,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Filters:
-    """languages (by name), the most frequent one, slot words (slots x words), false-positive rate by language."""
+class Slice:
+    """Slot words (slots x words) of the n-grams of one hash slice, and their false-positive rate by language."""
 
-    langs: list[str]
-    default: int
     slots: np.ndarray
     wrong: np.ndarray
 
@@ -144,27 +143,68 @@ class Filters:
             out = self.slots[s] if out is None else out & self.slots[s]
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language, score) of each text; see ``predict``."""
-        gram, first, has = grams([t or "" for t in texts])
-        total = np.diff(first).astype(float)
-        langs, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        if not self.langs or not len(texts):
-            return langs, score
-        mask = self.masks(gram)
-        count = np.zeros((len(texts), len(self.langs)))
-        for k in range(len(self.langs)):
-            bit = (mask[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)
-            count[:, k] = np.diff(np.concatenate([[0], np.cumsum(bit.astype(np.int64))])[first])
-        right = np.clip((count - total[:, None] * self.wrong) / (1 - np.minimum(self.wrong, 0.999)), 0, None)
-        best = right.argmax(axis=1)
-        top = right[np.arange(len(texts)), best]
-        best[top == 0] = self.default
-        score = np.divide(top, right.sum(axis=1), out=score, where=top > 0)
-        for i in np.flatnonzero(has):
-            langs[i] = self.langs[best[i]]
-        score[~has] = 0
-        return langs, np.clip(score, 0, 1)
+
+@dataclass
+class Filters:
+    """Languages (by name), the most frequent one, stored slot words (slice, slot, word, bits), number of slices and slots in each."""
+
+    langs: list[str]
+    default: int
+    rows: DataFrame | None
+    slices: int
+    size: int
+
+    def slice(self, s: int) -> Slice:
+        """One slice, at most SLICE_SLOTS slots of it, through the driver."""
+        table = np.zeros((self.size, max(1, -(-len(self.langs) // WORD))), np.uint64)
+        if self.rows is not None:
+            rows = self.rows.where(F.col("slice") == s).toPandas()
+            table[rows.slot.to_numpy(), rows.word.to_numpy()] = rows.bits.to_numpy().view(np.uint64)
+        fill = [((table[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(self.langs))]
+        return Slice(table, np.array(fill) ** PROBES)
+
+    def masks(self, gram: np.ndarray) -> np.ndarray:
+        """Language bits of each n-gram, over all slices."""
+        out, own = np.zeros((len(gram), max(1, -(-len(self.langs) // WORD))), np.uint64), slice_of(gram, self.slices)
+        for s in range(self.slices):
+            out[own == s] = self.slice(s).masks(gram[own == s])
+        return out
+
+
+def slice_of(gram: np.ndarray, slices: int) -> np.ndarray:
+    """Slice of each n-gram: its highest bits (``slices`` is a power of two), which do not choose the slots."""
+    return (gram >> np.uint64(65 - slices.bit_length())).astype(np.int64) if slices > 1 else np.zeros(len(gram), np.int64)
+
+
+def evidence(texts: list[str | None], part: Slice, s: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """(corrected number of n-grams of slice ``s`` by text and language, whether a text has a letter)."""
+    gram, first, has = grams([t or "" for t in texts])
+    if slices > 1:
+        mine = slice_of(gram, slices) == s
+        gram, first = gram[mine], np.concatenate([[0], np.cumsum(mine)])[first]
+    total = np.diff(first).astype(float)
+    count = np.zeros((len(texts), len(part.wrong)))
+    mask = part.masks(gram)
+    for k in range(count.shape[1]):
+        bit = (mask[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)
+        count[:, k] = np.diff(np.concatenate([[0], np.cumsum(bit.astype(np.int64))])[first])
+    return (count - total[:, None] * part.wrong) / (1 - np.minimum(part.wrong, 0.999)), has
+
+
+def choose(langs: list[str], default: int, right: np.ndarray, has: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """(language, score) of each text from its corrected counts; see ``predict``."""
+    out, score = [UNDETERMINED] * len(right), np.zeros(len(right))
+    if not langs or not len(right):
+        return out, score
+    right = np.clip(right, 0, None)
+    best = right.argmax(axis=1)
+    top = right[np.arange(len(right)), best]
+    best[top == 0] = default
+    score = np.divide(top, right.sum(axis=1), out=score, where=top > 0)
+    for i in np.flatnonzero(has):
+        out[i] = langs[best[i]]
+    score[~has] = 0
+    return out, np.clip(score, 0, 1)
 
 
 def probes(gram: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -173,30 +213,28 @@ def probes(gram: np.ndarray, slots: int) -> list[np.ndarray]:
 
 
 def learn(docs: DataFrame) -> Filters:
-    """Filters from all training rows (columns text, lang); the driver gets the languages and at most MAX_SLOTS words."""
-    from chainsift.llm.common import stored
-
+    """Filters from all training rows (columns text, lang); the driver gets the languages, and later one slice at a time."""
     counts = stored(count_grams(docs), "grams")
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return Filters([], 0, np.zeros((1, 1), np.uint64), np.zeros(0))
+        return Filters([], 0, None, 1, 1)
     known = counts.sparkSession.createDataFrame([(x, k, float(totals[x])) for k, x in enumerate(langs)], "lang string, k int, total double")
     share = counts.join(F.broadcast(known), "lang").select("gram", "k", (F.col("n") / F.col("total")).alias("share"))
     of = share.join(share.groupBy("gram").agg(F.max("share").alias("most")), "gram").where(F.col("share") >= SHARE * F.col("most")).select("gram", "k")
     n = of.agg(F.approx_count_distinct("gram")).first()[0]
-    slots = min(MAX_SLOTS, 1 << max(6, int(n * SLOTS_PER_GRAM - 1).bit_length()))
+    slots = 1 << max(6, int(n * SLOTS_PER_GRAM - 1).bit_length())
+    slices = max(1, slots // SLICE_SLOTS)
+    size = slots // slices
     low, high = F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1))
-    at = F.array(*[(low + F.lit(j) * high).bitwiseAND(F.lit(slots - 1)) for j in range(PROBES)])
+    at = F.array(*[(low + F.lit(j) * high).bitwiseAND(F.lit(size - 1)) for j in range(PROBES)])
     bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("k") % WORD)
+    own = F.shiftrightunsigned("gram", 65 - slices.bit_length()) if slices > 1 else F.lit(0).cast("long")
     rows = (
-        of.select(F.explode(at).alias("slot"), (F.col("k") / WORD).cast("int").alias("word"), bits.alias("bits"))
-        .groupBy("slot", "word").agg(F.bit_or("bits").alias("bits")).toPandas()
+        of.select(own.alias("slice"), F.explode(at).alias("slot"), (F.col("k") / WORD).cast("int").alias("word"), bits.alias("bits"))
+        .groupBy("slice", "slot", "word").agg(F.bit_or("bits").alias("bits"))
     )
-    table = np.zeros((slots, -(-len(langs) // WORD)), np.uint64)
-    table[rows.slot.to_numpy(), rows.word.to_numpy()] = rows.bits.to_numpy().view(np.uint64)
-    fill = [((table[:, k // WORD] >> np.uint64(k % WORD)) & np.uint64(1)).mean() for k in range(len(langs))]
-    return Filters(langs, max(range(len(langs)), key=lambda k: totals[langs[k]]), table, np.array(fill) ** PROBES)
+    return Filters(langs, max(range(len(langs)), key=lambda k: totals[langs[k]]), stored(rows, "filters"), slices, size)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -209,17 +247,61 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     """
     from pyspark.sql import types as T
 
+    from pyspark.sql import types as T
+
     docs = docs.drop("lang_pred", "score")
-    sent = docs.sparkSession.sparkContext.broadcast(filters)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = docs.columns
+    names, langs, default = docs.columns, filters.langs, filters.default
+    if filters.slices == 1:
+        sent = docs.sparkSession.sparkContext.broadcast(filters.slice(0))
 
-    def run(it: Iterator) -> Iterator:
+        def run(it: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for whole in it:
+                for b in batches(whole):
+                    found, score = choose(langs, default, *evidence(b.column("text").to_pylist(), sent.value, 0, 1))
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+
+        return docs.mapInArrow(run, schema)
+
+    row = "_row"
+    while any(n.lower().startswith(row) for n in names):
+        row += "_"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    found = _all_slices(numbered.select(F.col(row).alias("row"), "text"), filters)
+    found = found.select(F.col("row").alias(row), F.col("has").alias(f"{row}has"), F.col("right").alias(f"{row}right"))
+
+    def pick(it: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for whole in it:
-            for b in batches(whole):
-                langs, score = sent.value.predict(b.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+        for b in it:
+            has = b.column(f"{row}has").to_numpy(zero_copy_only=False).astype(bool)
+            right = np.array(b.column(f"{row}right").to_pylist(), float).reshape(len(has), len(langs))
+            out, score = choose(langs, default, right, has)
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array(out, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
+
+    return numbered.join(found, row).select(*names, f"{row}has", f"{row}right").mapInArrow(pick, schema)
+
+
+def _all_slices(texts: DataFrame, filters: Filters) -> DataFrame:
+    """(row, has, right) of the texts (row, text): a pass over them for each slice, so that a task holds one slice at a time."""
+    spark, slices, passes = texts.sparkSession, filters.slices, []
+    for s in range(slices):
+        sent = spark.sparkContext.broadcast(filters.slice(s))
+
+        def run(it: Iterator, s=s, sent=sent) -> Iterator:
+            import pyarrow as pa
+
+            for whole in it:
+                for b in batches(whole):
+                    right, has = evidence(b.column("text").to_pylist(), sent.value, s, slices)
+                    yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(has), pa.array(list(right), pa.list_(pa.float64()))], names=["row", "has", "right"])
 
-    return docs.mapInArrow(run, schema)
+        passes.append(stored(texts.mapInArrow(run, "row long, has boolean, right array<double>"), "evidence"))
+        sent.unpersist()
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    sums = F.array(*[F.sum(F.col("right")[k]) for k in range(len(filters.langs))])
+    return every.groupBy("row").agg(F.max("has").alias("has"), sums.alias("right"))

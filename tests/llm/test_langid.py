@@ -33,3 +33,43 @@ def test_mask_holds_every_language_of_a_gram(spark, docs_df):
     filters = langid.learn(langid.training(docs_df(rows)))
     gram = langid.grams(["shared words here"])[0]
     assert (filters.masks(gram)[:, 0] == 0b111).all()
+
+
+def exact(rows, texts):
+    """Languages by exact n-gram sets, no filters and no correction."""
+    from collections import Counter
+
+    import zlib
+
+    seen = {}
+    for doc_id, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(doc_id).encode()) % 4 != 2:
+            seen.setdefault(lang, Counter()).update(langid.grams([text])[0].tolist())
+    total = {lang: sum(c.values()) for lang, c in seen.items()}
+    most = {}
+    for lang, c in seen.items():
+        for g, n in c.items():
+            most[g] = max(most.get(g, 0), n / total[lang])
+    sets = {lang: {g for g, n in c.items() if n / total[lang] >= langid.SHARE * most[g]} for lang, c in seen.items()}
+    out = []
+    for text in texts:
+        gram, _, has = langid.grams([text or ""])
+        hits = {lang: sum(g in sets[lang] for g in gram.tolist()) for lang in sorted(sets)}
+        best = max(sorted(hits), key=lambda x: (hits[x], -sorted(hits).index(x)))
+        out.append((best, hits[best] / max(1, sum(hits.values()))) if has[0] else ("und", 0.0))
+    return out
+
+
+def test_slices_and_exact_sets_agree(spark, monkeypatch):
+    """A filter of many slices, one slice and exact sets give the same languages, and nearly the same scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [tuple(r) for r in docs.collect()]
+    want = {r[0]: w for r, w in zip(rows, exact(rows, [r[1] for r in rows]))}
+    for slots in (langid.SLICE_SLOTS, 1 << 16):
+        monkeypatch.setattr(langid, "SLICE_SLOTS", slots)
+        filters = langid.learn(langid.training(docs))
+        assert (filters.slices > 1) == (slots == 1 << 16) and filters.size <= slots
+        out = langid.predict(docs.selectExpr("doc_id", "text", "lang as _row", "'x' as has"), filters).collect()
+        assert len(out) == len(rows) and out[0]["has"] == "x"
+        assert {r.doc_id: r.lang_pred for r in out} == {k: w[0] for k, w in want.items()}
+        assert all(abs(r.score - want[r.doc_id][1]) < 0.05 for r in out)
