@@ -23,6 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from chainsift.schemas import EVENT_COLUMNS, LINEAGE_KEY, RETENTION_DAYS, STORE_COLUMNS
+from chainsift.sources.storefeed import COMMITS, heads, read_commits, stream_batch
 
 #: Columns of the data files; event, ingest_date and segment are folders.
 FILE_DDL = (
@@ -35,7 +36,7 @@ ROW_DDL = (
     "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE"
 )
 BACKFILL_RUN, BACKFILL_BATCH = "backfill", -1
-COMMITS, WRITING = "_commits", "_writing"
+WRITING = "_writing"
 #: Commit files from which on a stream folds them; hours for which a writer's marker protects its segment.
 FOLD_AFTER, WRITER_HOURS = 64, 24
 #: Files that a replay touches, up to which their names are broadcast.
@@ -67,26 +68,7 @@ def _put(fs, path: str, value: dict) -> None:
 
 
 def _commits(path: str) -> dict[str, dict]:
-    """Commit files by name, without those that a later one has folded in.
-
-    A fold that runs meanwhile publishes its file before it deletes those it
-    replaces, so a file that is gone when it is opened means: list again.
-    """
-    import pyarrow.fs as pafs
-
-    fs, base = _fs(path)
-    while True:
-        found, gone = {}, False
-        for info in fs.get_file_info(pafs.FileSelector(f"{base}/{COMMITS}", allow_not_found=True)):
-            if info.base_name.endswith(".json"):
-                try:
-                    with fs.open_input_stream(info.path) as f:
-                        found[info.base_name[: -len(".json")]] = json.loads(f.read())
-                except FileNotFoundError:
-                    gone = True
-        if not gone:
-            folded = {n for c in found.values() for n in c.get("folds", ())}
-            return {n: c for n, c in found.items() if n not in folded}
+    return read_commits(path)
 
 
 def commit(path: str, name: str, adds, replaces=(), folds=(), meta: dict | None = None) -> None:
@@ -133,13 +115,10 @@ def fold_commits(path: str) -> None:
     dead = {tuple(u[:2]): (u[2] if len(u) > 2 else c["at"]) for c in before.values() for u in c["replaces"]}
     adds = sorted({tuple(u) for c in before.values() for u in c["adds"]} - dead.keys())
     in_order = sorted(before.items(), key=lambda x: (x[1]["at"], x[0]))
-    meta: dict = {"upto": {}, "live": {}, "changes": {}}
-    for n, c in in_order:
-        upto = dict(c["meta"].get("upto", {}))
-        if c["meta"].get("stream"):
-            upto[n[:-11]] = int(n[-10:])
-        for stream, batch in upto.items():
-            meta["upto"][stream] = max(batch, meta["upto"].get(stream, -1))
+    meta: dict = {"upto": heads(before), "live": {}, "changes": {}, "covers": {}}
+    left = {u[0] for u in adds}
+    for _, c in in_order:
+        meta["covers"].update({s: v for s, v in c["meta"].get("covers", {}).items() if s in left})
         meta["live"].update(c["meta"].get("live", {}))
         for stream, own in c["meta"].get("changes", {}).items():
             have = meta["changes"].setdefault(stream, {"folders": [], "log": None})
@@ -261,6 +240,58 @@ def read_store(spark: SparkSession, path: str, from_day: _dt.date | None = None)
     return read_units(spark, path, units)
 
 
+def covered(commits: dict[str, dict], segment: str) -> dict[str, list[int]] | None:
+    """The stream batches whose rows a segment may hold, as {stream: [lowest, highest]}; None if the log does not tell."""
+    own = stream_batch(segment)
+    if own:
+        return {own[0]: [own[1], own[1]]}
+    for c in commits.values():
+        if segment in c["meta"].get("covers", {}):
+            return c["meta"]["covers"][segment]
+    return {} if segment.startswith(f"{BACKFILL_RUN}-") else None
+
+
+def _covers(path: str, units) -> dict | None:
+    """What the merged units cover together; None if that of one of them is unknown."""
+    commits, out = _commits(path), {}
+    for segment in {u[0] for u in units}:
+        part = covered(commits, segment)
+        if part is None:
+            return None
+        for stream, (lo, hi) in part.items():
+            have = out.get(stream, [lo, hi])
+            out[stream] = [min(lo, have[0]), max(hi, have[1])]
+    return out
+
+
+def _covering(path: str, name: str, units) -> dict:
+    covers = _covers(path, units)
+    return {} if covers is None else {"covers": {name: covers}}
+
+
+def read_batches(spark: SparkSession, path: str, ranges: dict[str, tuple[int, int]]) -> DataFrame:
+    """The live rows of stream batches, ``ranges`` = {"<run>-<event>": (after, up to)}, wherever compaction has put them.
+
+    Only segments that may hold such a batch are read: a stream's own, and
+    merged ones whose commit says that they took it in.
+    """
+    commits = _commits(path)
+    dead = {tuple(u[:2]) for c in commits.values() for u in c["replaces"]}
+    live = sorted({tuple(u) for c in commits.values() for u in c["adds"]} - dead)
+
+    def wanted(segment: str) -> bool:
+        cover = covered(commits, segment)
+        return cover is None or any(s in ranges and lo <= ranges[s][1] and hi > ranges[s][0] for s, (lo, hi) in cover.items())
+
+    may = {s: wanted(s) for s in {u[0] for u in live}}
+    rows = read_units(spark, path, [u for u in live if may[u[0]]])
+    inside = F.lit(False)
+    for stream, (after, upto) in sorted(ranges.items()):
+        run, event = stream.rsplit("-", 1)
+        inside |= (F.col("run_id") == run) & (F.col("event") == event) & (F.col("batch_id") > after) & (F.col("batch_id") <= upto)
+    return rows.where(inside)
+
+
 def retain(store: DataFrame, as_of: _dt.datetime, keep_days: int = RETENTION_DAYS) -> DataFrame:
     """Rows with created_at >= as_of - keep (a row exactly at the cutoff stays)."""
     cutoff = as_of - _dt.timedelta(days=keep_days)
@@ -296,7 +327,7 @@ def apply_retention(spark: SparkSession, path: str, as_of: _dt.datetime, keep_da
     if edge:
         left = read_units(spark, path, edge).where(F.col("created_at") >= F.lit(cutoff)).drop("segment")
         adds = write_segment(left.sortWithinPartitions("ingest_date", "event", "block", *LINEAGE_KEY), path, name)
-    commit(path, name, adds, old + edge)
+    commit(path, name, adds, old + edge, meta=_covering(path, name, edge))
     return removed
 
 
@@ -316,7 +347,7 @@ def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_f
     name = f"compact-{uuid.uuid4().hex[:12]}"
     key = ["event", "block", *LINEAGE_KEY]
     adds = write_segment(rows.repartitionByRange(files, *key).sortWithinPartitions("ingest_date", *key), path, name)
-    commit(path, name, adds, units)
+    commit(path, name, adds, units, meta=_covering(path, name, units))
     fold_commits(path)
     return n
 

@@ -319,3 +319,4 @@ SQL["stream_bad_lines"] = SQL["bad_lines"]
 SQL["stream_dedupe"] = SQL["dedupe_replay"]
 SQL["bloom_incremental"] = SQL["bloom_build"]
 SQL["stream_subscription_state"] = SQL["disconnect"]
+SQL["stream_delivery_feed"] = SQL["fan_out"]

@@ -88,9 +88,10 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
     ship_package(spark)
-    from chainsift.sources.blocklog import register
+    from chainsift.sources import blocklog, storefeed
 
-    register(spark)
+    blocklog.register(spark)
+    storefeed.register(spark)
     return spark
 
 

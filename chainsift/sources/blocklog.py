@@ -347,6 +347,22 @@ def last_offset(checkpoint: str):
     return json.loads(text) if text.startswith("{") else None
 
 
+def progress(checkpoint: str) -> tuple:
+    """(newest planned offset, newest planned batch, newest finished batch) of a checkpoint folder; -1 where there is none.
+
+    A restarted ``availableNow`` query that first repeats an unfinished batch
+    ends after it, so callers run it until this value stays.
+    """
+    import pyarrow.fs as pafs
+
+    fs, base = _fs(checkpoint)
+    last = [
+        max((int(i.base_name) for i in fs.get_file_info(pafs.FileSelector(f"{base}/{kind}", allow_not_found=True)) if i.base_name.isdigit()), default=-1)
+        for kind in ("offsets", "commits")
+    ]
+    return (last_offset(checkpoint), *last)
+
+
 class BlockLogReader(DataSourceReader):
     def __init__(self, options):
         self.options = _lower(options)
