@@ -36,7 +36,7 @@ ROW_DDL = (
     "event_pos INT, user_pos INT, created_at TIMESTAMP, ingest_date DATE"
 )
 BACKFILL_RUN, BACKFILL_BATCH = "backfill", -1
-WRITING = "_writing"
+WRITING, STATS = "_writing", "_stats"
 #: Commit files from which on a stream folds them; hours for which a writer's marker protects its segment.
 FOLD_AFTER, WRITER_HOURS = 64, 24
 #: Files that a replay touches, up to which their names are broadcast.
@@ -170,6 +170,9 @@ def vacuum(path: str, grace_hours: float = 1.0) -> int:
             gone += 1
         if len(dead) == len(days) and (grace_hours <= 0 or seg.mtime is None or seg.mtime <= limit):
             fs.delete_dir(seg.path)
+            stats = f"{base}/{STATS}/{seg.base_name}"
+            if fs.get_file_info(stats).type == pafs.FileType.Directory:
+                fs.delete_dir(stats)
     return gone
 
 
@@ -338,6 +341,8 @@ def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_f
     run_id and batch_id as columns, and replace exactly the units that were
     read. Returns the row count.
     """
+    from chainsift.operators.pages import store_stats
+
     units = [u for u in live_units(path) if u[1] == day.isoformat()]
     rows = read_units(spark, path, units).drop("segment")
     n = rows.count() if units else 0
@@ -347,6 +352,7 @@ def compact_day(spark: SparkSession, path: str, day: _dt.date, target_rows_per_f
     name = f"compact-{uuid.uuid4().hex[:12]}"
     key = ["event", "block", *LINEAGE_KEY]
     adds = write_segment(rows.repartitionByRange(files, *key).sortWithinPartitions("ingest_date", *key), path, name)
+    store_stats(spark, path, name, adds)
     commit(path, name, adds, units, meta=_covering(path, name, units))
     fold_commits(path)
     return n

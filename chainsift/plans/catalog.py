@@ -76,6 +76,28 @@ def q_events_by_block_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_events_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page in the middle of all stored events, found by file statistics.
+
+    The even blocks are compacted into 16 files, whose statistics are stored;
+    the odd ones are one append, whose footers are read.
+    """
+    import uuid
+
+    from chainsift.operators.pages import deep_page
+    from chainsift.operators.store import append_events, compact_day
+    from chainsift.schemas import STORE_COLUMNS
+    from chainsift.session import sub_dir
+
+    path, rows = sub_dir(spark, "written", uuid.uuid4().hex), C.store(spark, sf_dir).select(*STORE_COLUMNS)
+    n = rows.count()
+    append_events(rows.where("block % 2 = 0"), path)
+    compact_day(spark, path, C.INGEST_TS.date(), target_rows_per_file=max(1, n // 32))
+    append_events(rows.where("block % 2 = 1"), path)
+    page = deep_page(spark, path, 0, 2**62, n // 2 // PAGE_SIZE + 1, PAGE_SIZE)
+    return page.select("user", "event", "block", "event_pos", "user_pos")
+
+
 def q_latest_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: block of the last decodable fill line (file order); the newest hours only, older ones if they hold no valid line."""
     return C.newest_height(spark, fixtures.height_root(spark, sf_dir))
@@ -399,6 +421,7 @@ QUERIES = {
     "all_events": q_all_events,
     "events_by_block": q_events_by_block,
     "events_by_block_seek": q_events_by_block_seek,
+    "events_page_deep": q_events_page_deep,
     "latest_height": q_latest_height,
     "max_height": q_max_height,
     "saved_positions": q_saved_positions,

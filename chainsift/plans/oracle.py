@@ -320,3 +320,6 @@ SQL["stream_dedupe"] = SQL["dedupe_replay"]
 SQL["bloom_incremental"] = SQL["bloom_build"]
 SQL["stream_subscription_state"] = SQL["disconnect"]
 SQL["stream_delivery_feed"] = SQL["fan_out"]
+SQL["events_page_deep"] = f"""WITH {ALL_EVENTS_CTE.rstrip()},
+  numbered AS (SELECT *, row_number() OVER (ORDER BY block, event, event_pos, user_pos) - 1 AS i, count(*) OVER () AS n FROM ae)
+  SELECT "user", event, block, event_pos, user_pos FROM numbered WHERE i // 100 = n // 2 // 100"""
