@@ -103,7 +103,7 @@ def test_rejected_lines_of_the_live_run(spark, scratch):
     )
     assert read_bad_lines(spark, cfg).count() == 0
     run_available_now(spark, cfg)
-    want = [("fill", "{broken"), ("fill", '{"block_number":"x"}'), ("misc", "[]")]
+    want = [("fill", '{"block_number":"x"}'), ("fill", "{broken"), ("misc", "[]")]
     assert sorted((r.event, r.value) for r in read_bad_lines(spark, cfg).collect()) == want
     assert S.read_store(spark, cfg.store_path).count() == 3
 
