@@ -23,6 +23,8 @@ BASE_BLOCK = 696372899
 # Bump when the line format changes, so cached hour files are not reused.
 FIXTURE_VERSION = "v2-r2"
 TID_BASE = 320000000000000001
+# Table rows whose lines one writing task sorts.
+WRITER_ROWS = 400_000
 COIN_BY_EVENT_TYPE = {"click": "BTC", "view": "ETH", "purchase": "SUI"}  # anything else: XRP
 
 
@@ -224,12 +226,18 @@ def publish_once(spark: SparkSession, final: str, build) -> str:
     return final
 
 
+def writers(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Writing tasks for the lines of some tables: more with more rows, so that a task sorts a bounded share."""
+    rows = sum(table(spark, sf_dir, n).count() for n in names)
+    return max(spark.sparkContext.defaultParallelism, -(-rows // WRITER_ROWS))
+
+
 def fixture_root(spark: SparkSession, sf_dir: str) -> str:
     """Hour files of both log types for sf_dir, written once per work folder."""
     tag = hashlib.sha1((FIXTURE_VERSION + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
     root = sub_dir(spark, "fixtures", tag)
     return publish_once(
-        spark, root, lambda tmp: write_hour_files(block_lines(spark, sf_dir), tmp).agg(F.sum("lines")).collect()
+        spark, root, lambda tmp: write_hour_files(block_lines(spark, sf_dir), tmp, writers(spark, sf_dir, "events", "orders")).agg(F.sum("lines")).collect()
     )
 
 
@@ -238,7 +246,7 @@ def height_root(spark: SparkSession, sf_dir: str) -> str:
     tag = hashlib.sha1((FIXTURE_VERSION + "height" + sf_dir.rstrip("/")).encode()).hexdigest()[:12]
     root = sub_dir(spark, "fixtures", tag)
     return publish_once(
-        spark, root, lambda tmp: write_hour_files(fill_lines(spark, sf_dir), tmp, order=F.desc).agg(F.sum("lines")).collect()
+        spark, root, lambda tmp: write_hour_files(fill_lines(spark, sf_dir), tmp, writers(spark, sf_dir, "events"), order=F.desc).agg(F.sum("lines")).collect()
     )
 
 

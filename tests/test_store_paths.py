@@ -94,3 +94,29 @@ def test_compact_day(spark, scratch):
     after = read_store(spark, path)
     assert sorted(tuple(r) for r in after.drop("data", "segment").collect()) == before
     assert len(after.inputFiles()) == 3
+
+
+def test_compaction_tasks_stay_small_by_default(spark, scratch):
+    """A day of many rows is sorted in several tasks: one task's memory does not follow the day."""
+    from chainsift.operators.store import FILE_ROWS, compact_day
+
+    n = FILE_ROWS + 100_000
+    rows = spark.range(n).select(
+        F.lit("u").alias("user"), F.lit("fill").alias("event"), F.col("id").alias("block"), F.parse_json(F.lit("{}")).alias("data"),
+        F.lit("f").alias("file"), F.col("id").alias("offset"), F.lit(0).alias("event_pos"), F.lit(0).alias("user_pos"),
+    )
+    path = scratch + "/store"
+    append_events(with_ingest_time(rows, F.lit(AS_OF)), path)
+    assert compact_day(spark, path, AS_OF.date()) == n
+    files = read_store(spark, path).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n"), F.min("block").alias("lo"), F.max("block").alias("hi")).orderBy("lo").collect()
+    assert len(files) > 1 and max(f["n"] for f in files) <= FILE_ROWS
+    assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]))
+
+
+def test_writers_follow_the_rows(spark, scratch):
+    from chainsift.sources.fixtures import WRITER_ROWS, writers
+
+    for name, n in (("events", 20 * WRITER_ROWS), ("orders", 5)):
+        spark.range(n).write.parquet(f"{scratch}/{name}.parquet")
+    assert writers(spark, scratch, "events", "orders") == 21
+    assert writers(spark, scratch, "orders") == spark.sparkContext.defaultParallelism
