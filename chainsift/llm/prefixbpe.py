@@ -71,7 +71,7 @@ class PrefixBPE:
         self.pre = Tokenizer.from_file(path).pre_tokenizer
         self.pair: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
-        self.cache = WordCache(lambda words: [self.encode_mapped(self.mapped(w)) for w in words])
+        self.cache = WordCache(self.encode_words)
 
     def mapped(self, word: str) -> str:
         return word.encode().decode("latin-1").translate(self.table)
@@ -117,6 +117,15 @@ class PrefixBPE:
         got = self.pair[a << 20 | b] = self.undone(a, b, 1 << 60)
         return got
 
+    def encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """ids of all pre-tokens in one list, and how many each has."""
+        flat, sizes = [], []
+        for w in words:
+            ids = self.encode_mapped(self.mapped(w))
+            flat += ids
+            sizes.append(len(ids))
+        return flat, sizes
+
     def encode_mapped(self, s: str) -> list[int]:
         """ids of one pre-token in byte letters."""
         n = len(s)

@@ -68,9 +68,9 @@ def split(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """ids of pre-tokens by hash, filled through ``encode`` (list of pre-tokens -> list of id lists)."""
+    """ids of pre-tokens by hash, filled through ``encode`` (list of pre-tokens -> their ids in one list, number of ids of each)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple]):
         self.encode = encode
         self.clear()
 
@@ -90,15 +90,16 @@ class WordCache:
         word, index, inverse = np.unique(span_hash(prefix_hash(cp, _CHAR_CODE), starts, ends), return_index=True, return_inverse=True)
         if len(self.at) + len(word) > CACHE_WORDS:
             self.clear()
-        at = self.at
-        new = [k for k, h in enumerate(word.tolist()) if h not in at]
+        at, keys = self.at, word.tolist()
+        new = [k for k, h in enumerate(keys) if h not in at]
         if new:
-            got = self.encode([joined[starts[index[k]]: ends[index[k]]] for k in new])
-            for k, ids in zip(new, got):
-                at[int(word[k])] = len(self.off) - 1
-                self.flat.extend(ids)
-                self.off.append(len(self.flat))
-        slot = np.fromiter((at[h] for h in word.tolist()), np.int64, len(word))
+            first = index[new]
+            got, sizes = self.encode([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+            base, k = len(self.off) - 1, len(self.flat)
+            at.update(zip([keys[i] for i in new], range(base, base + len(new))))
+            self.flat.extend(got)
+            self.off.extend((k + np.cumsum(sizes, dtype=np.int64)).tolist())
+        slot = np.fromiter(map(at.__getitem__, keys), np.int64, len(word))
         all_off, flat = np.frombuffer(self.off, np.int64), np.frombuffer(self.flat, np.uint32)  # no copies; let go before the arrays grow
         begin, size = all_off[slot][inverse], (all_off[slot + 1] - all_off[slot])[inverse]
         done = np.concatenate([[0], np.cumsum(size)])

@@ -34,6 +34,8 @@ MAGIC = b"WVMX1"
 BLOCK_BITS = 1 << 19
 #: A shard is closed once it holds so many ids; a longer document has a shard of its own.
 SHARD_IDS = 4 << 20
+#: Pre-tokens that the tokenizer takes as one input.
+BATCH_WORDS = 500
 #: Id written after each document.
 END_ID = 0
 
@@ -47,10 +49,9 @@ def build(ids: np.ndarray, docs: list[tuple[int | None, int]], level: int = 3) -
     cur, blobs, at = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], 0
     zeros, places, ones = [], [], []
     for b in range(bits - 1, -1, -1):
-        bit = (cur >> b) & 1
-        on = bit.astype(bool)
+        on = (cur & cur.dtype.type(1 << b)) != 0
         place, before, seen = [], [], 0
-        for k in range(0, len(bit), BLOCK_BITS):
+        for k in range(0, len(on), BLOCK_BITS):
             part = on[k: k + BLOCK_BITS]
             blob = pack.compress(np.packbits(part).tobytes())
             place.append([at, len(blob)])
@@ -58,7 +59,7 @@ def build(ids: np.ndarray, docs: list[tuple[int | None, int]], level: int = 3) -
             blobs.append(blob)
             at += len(blob)
             seen += int(np.count_nonzero(part))
-        zeros.append(len(bit) - seen)
+        zeros.append(len(on) - seen)
         places.append(place)
         ones.append(before)
         cur = np.concatenate([cur[~on], cur[on]])
@@ -194,7 +195,25 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
-        many = lambda words: [e.ids for e in lib.encode_batch_fast(words, add_special_tokens=False)]
+
+        n_bytes = np.zeros(lib.get_vocab_size(), np.int64)
+        for token, i in lib.get_vocab(with_added_tokens=False).items():
+            n_bytes[i] = len(token)  # a letter of a token stands for one byte
+
+        def many(words: list[str]) -> tuple:
+            """Pre-tokens as ready-made pieces of a few inputs: an object per input, not per pre-token.
+
+            Ids stand for the bytes of their pre-token and no others, so the bytes tell where each ends.
+            """
+            got = lib.encode_batch_fast([words[k: k + BATCH_WORDS] for k in range(0, len(words), BATCH_WORDS)], is_pretokenized=True, add_special_tokens=False)
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in got])
+            done = np.cumsum(n_bytes[flat])
+            ends = np.cumsum([len(w.encode()) for w in words])
+            upto = np.searchsorted(done, ends)
+            if not (len(flat) == upto[-1] + 1 and np.array_equal(done[upto], ends)):
+                raise ValueError("the vocabulary is not a byte-level one")
+            return flat.tolist(), np.diff(upto, prepend=-1)
+
         special = next((t.content for t in lib.get_added_tokens_decoder().values()), "\0none\0")
         _LOADED[path] = WordCache(many), lambda t: lib.encode(t, add_special_tokens=False).ids, special
     return _LOADED[path]

@@ -73,3 +73,23 @@ def test_shards(spark, docs_df, vocabulary, monkeypatch, scratch):
         at += len(ids)
     assert wavelet.open_shard(index.first().path).count(0) >= 1
     assert wavelet.read_documents(wavelet.write_shards(docs_df([]), vocabulary)).count() == 0
+
+
+def test_new_pretokens_cost_no_object_each(vocabulary, monkeypatch):
+    """Many pre-tokens at once, cut into few inputs of the tokenizer, give the library's ids; so does a cache that starts anew."""
+    from chainsift.llm import pretokens
+
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdeé'1!\n") for _ in range(rng.randrange(1, 9))) for _ in range(300)) for _ in range(30)]
+    monkeypatch.setattr(wavelet, "_LOADED", {})
+    cache, whole, special = wavelet._tokenizer(vocabulary)
+    calls, encode = [], cache.encode
+    cache.encode = lambda words: calls.append(len(words)) or encode(words)
+    want = [e.ids for e in library(vocabulary).encode_batch(texts, add_special_tokens=False)]
+    for bound in (pretokens.CACHE_WORDS, 10):
+        monkeypatch.setattr(pretokens, "CACHE_WORDS", bound)
+        got = [i.tolist() for k in (0, 20) for i in pretokens.encode_texts(texts[k: k + 20], cache, whole, special)]
+        assert got == want
+    assert max(calls) > 2 * wavelet.BATCH_WORDS
+    ids, sizes = encode(["a", " thereabouts", "é!"])
+    assert len(ids) == sum(sizes) and list(sizes) == [len(library(vocabulary).encode(w, add_special_tokens=False).ids) for w in ("a", " thereabouts", "é!")]
