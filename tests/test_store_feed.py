@@ -119,3 +119,32 @@ def test_retention_keeps_what_is_left_in_the_feed(spark, scratch):
     assert S.apply_retention(spark, path, DAY + dt.timedelta(days=7, hours=1)) == 1
     follow(spark, scratch)
     assert fed(spark, scratch) == [("fill", 2)]
+
+
+def test_listing_taken_during_a_fold_is_not_trusted(scratch, monkeypatch):
+    """A listing that holds neither the fold's file nor those that it deleted must not lose units."""
+    from chainsift.sources import storefeed
+
+    path = scratch + "/store"
+    for b in range(3):
+        S.commit(path, f"run-fill-{b:010d}", [(f"run-fill-{b:010d}", "2024-01-01")], meta={"stream": True})
+    S.fold_commits(path)
+    S.commit(path, "run-fill-0000000003", [("run-fill-0000000003", "2024-01-01")], meta={"stream": True})
+    real, listings = storefeed._fs(path), []
+
+    class Torn:
+        """The first listing misses the fold's file."""
+
+        def get_file_info(self, where):
+            listings.append(where)
+            infos = real[0].get_file_info(where)
+            return [i for i in infos if len(listings) > 1 or not i.base_name.startswith("fold-")]
+
+        def open_input_stream(self, name):
+            return real[0].open_input_stream(name)
+
+    monkeypatch.setattr(storefeed, "_fs", lambda _: (Torn(), real[1]))
+    assert len(storefeed.heads(storefeed.read_commits(path))) == 1
+    listings.clear()
+    units = {u[0] for c in storefeed.read_commits(path).values() for u in c["adds"]}
+    assert units == {f"run-fill-{b:010d}" for b in range(4)}
