@@ -78,6 +78,27 @@ def stable_order(key: np.ndarray) -> np.ndarray:
     return np.sort((key.astype(np.int64) << bits) | np.arange(n)) & ((1 << bits) - 1)
 
 
+def distinct(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``np.unique`` of hashes with first places and inverse, by the plain sort of their upper bits and their places.
+
+    Where different hashes agree in the upper bits, the slower exact way is taken.
+    """
+    n = len(value)
+    value = value.astype(np.uint64, copy=False)
+    place = np.uint64((1 << max(1, int(n - 1).bit_length())) - 1)
+    both = np.sort((value & ~place) | np.arange(n, dtype=np.uint64))
+    order = (both & place).astype(np.int64)
+    ranked = value[order]
+    new = np.ones(n, bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    if n and np.count_nonzero(new[1:]) != np.count_nonzero((both[1:] ^ both[:-1]) > place):
+        return np.unique(value, return_index=True, return_inverse=True)
+    first = np.flatnonzero(new)
+    inverse = np.empty(n, np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[first], order[first], inverse
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of data[start:end] for arrays of positions, equal for equal bytes at any place."""
     _, inv = _powers(len(prefix))

@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from chainsift.llm.common import mix, prefix_hash, span_hash
+from chainsift.llm.common import distinct, mix, prefix_hash, span_hash
 
 OTHER, LETTER, NUMBER, SPACE, UNSAFE = 0, 1, 2, 3, 4
 SAFE_BELOW = 0x250
@@ -33,7 +33,7 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _CHAR_CODE = mix(np.arange(1, SAFE_BELOW + 2, dtype=np.uint64))
 #: Entries that a cache holds before it starts anew; bounds a worker's memory.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1 << 21
 
 
 def split(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -68,16 +68,32 @@ def split(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class WordCache:
-    """ids of pre-tokens by hash, filled through ``encode`` (list of pre-tokens -> their ids in one list, number of ids of each)."""
+    """ids of pre-tokens by hash, filled through ``encode`` (list of pre-tokens -> their ids in one list, number of ids of each).
+
+    ``keys`` are the hashes in ascending order, ``slot`` the place of each in
+    ``off``, the offsets of its ids in ``flat``.
+    """
 
     def __init__(self, encode: Callable[[list[str]], tuple]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.off, self.flat = array("q", [0]), array("I")
 
+    def _add(self, at: np.ndarray, keys: np.ndarray) -> None:
+        """Takes in new keys, each before the entry ``at``."""
+        to, n = at + np.arange(len(at)), len(self.keys) + len(at)
+        old = np.ones(n, bool)
+        old[to] = False
+        old = np.flatnonzero(old)
+        base = len(self.keys)
+        for name, own in (("keys", keys), ("slot", np.arange(base, n, dtype=np.int32))):
+            whole = np.empty(n, own.dtype)
+            whole[old], whole[to] = getattr(self, name), own
+            setattr(self, name, whole)
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets by text) of safe texts."""
         joined = "".join(texts)
@@ -87,19 +103,22 @@ class WordCache:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         ends = np.append(starts[1:], len(cp))
-        word, index, inverse = np.unique(span_hash(prefix_hash(cp, _CHAR_CODE), starts, ends), return_index=True, return_inverse=True)
-        if len(self.at) + len(word) > CACHE_WORDS:
+        word, index, inverse = distinct(span_hash(prefix_hash(cp, _CHAR_CODE), starts, ends))
+        if len(self.keys) + len(word) > CACHE_WORDS:
             self.clear()
-        at, keys = self.at, word.tolist()
-        new = [k for k, h in enumerate(keys) if h not in at]
-        if new:
+        at = np.searchsorted(self.keys, word)
+        fresh, inside = np.ones(len(word), bool), np.flatnonzero(at < len(self.keys))
+        fresh[inside] = self.keys[at[inside]] != word[inside]
+        new = np.flatnonzero(fresh)
+        if len(new):
             first = index[new]
             got, sizes = self.encode([joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-            base, k = len(self.off) - 1, len(self.flat)
-            at.update(zip([keys[i] for i in new], range(base, base + len(new))))
+            self._add(at[new], word[new])
+            k = len(self.flat)
             self.flat.extend(got)
             self.off.extend((k + np.cumsum(sizes, dtype=np.int64)).tolist())
-        slot = np.fromiter(map(at.__getitem__, keys), np.int64, len(word))
+            at = at + np.cumsum(fresh) - fresh
+        slot = self.slot[at]
         all_off, flat = np.frombuffer(self.off, np.int64), np.frombuffer(self.flat, np.uint32)  # no copies; let go before the arrays grow
         begin, size = all_off[slot][inverse], (all_off[slot + 1] - all_off[slot])[inverse]
         done = np.concatenate([[0], np.cumsum(size)])

@@ -36,10 +36,23 @@ BLOCK_BITS = 1 << 19
 SHARD_IDS = 4 << 20
 #: Pre-tokens that the tokenizer takes as one input.
 BATCH_WORDS = 500
+#: Bits of a plane that are dealt at once, in the processor's cache.
+DEAL_BITS = 1 << 16
 #: Id written after each document.
 END_ID = 0
 
 
+def _dealt(on: np.ndarray, zeros: int) -> Iterator[tuple[np.ndarray, slice, slice]]:
+    """Places of the zeros and of the ones of a plane, piece by piece: (places, their piece, where they go on the next plane)."""
+    at = [0, zeros]
+    for k in range(0, len(on), DEAL_BITS):
+        piece = slice(k, k + DEAL_BITS)
+        for bit, part in enumerate((~on[piece], on[piece])):
+            own = np.flatnonzero(part)  # places: several times as fast as an index of booleans
+            yield own, piece, slice(at[bit], at[bit] + len(own))
+            at[bit] += len(own)
+
+
 def build(ids: np.ndarray, docs: list[tuple[int | None, int]], level: int = 3) -> bytes:
     """File bytes of a shard: ``ids`` of all its documents in order, ``docs`` = (doc_id, number of ids)."""
     import zstandard
@@ -62,7 +75,10 @@ def build(ids: np.ndarray, docs: list[tuple[int | None, int]], level: int = 3) -
         zeros.append(len(on) - seen)
         places.append(place)
         ones.append(before)
-        cur = np.concatenate([cur[~on], cur[on]])
+        after = np.empty_like(cur)
+        for own, piece, to in _dealt(on, zeros[-1]):
+            after[to] = cur[piece].take(own)
+        cur = after
     listed = pack.compress(json.dumps(docs).encode())
     head = json.dumps({"n": len(ids), "bits": bits, "zeros": zeros, "blocks": places, "ones": ones, "docs": [at, len(listed)]}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(head)), head, *blobs, listed])
@@ -178,9 +194,10 @@ class WaveletFile:
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in range(self.bits - 1, -1, -1):
             on, z = self.plane(p), self.head["zeros"][p]
+            out[z:] |= out.dtype.type(1 << (self.bits - 1 - p))
             up = np.empty_like(out)
-            up[~on] = out[:z]
-            up[on] = out[z:] | out.dtype.type(1 << (self.bits - 1 - p))
+            for own, piece, here in _dealt(on, z):
+                up[piece][own] = out[here]
             out = up
         return out
 
@@ -193,8 +210,11 @@ def _tokenizer(path: str):
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         lib = Tokenizer.from_file(path)
+        plain = Tokenizer(lib.model)  # for pre-tokens: they are not searched for the split pattern again
+        plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
         n_bytes = np.zeros(lib.get_vocab_size(), np.int64)
         for token, i in lib.get_vocab(with_added_tokens=False).items():
@@ -205,7 +225,7 @@ def _tokenizer(path: str):
 
             Ids stand for the bytes of their pre-token and no others, so the bytes tell where each ends.
             """
-            got = lib.encode_batch_fast([words[k: k + BATCH_WORDS] for k in range(0, len(words), BATCH_WORDS)], is_pretokenized=True, add_special_tokens=False)
+            got = plain.encode_batch_fast([words[k: k + BATCH_WORDS] for k in range(0, len(words), BATCH_WORDS)], is_pretokenized=True, add_special_tokens=False)
             flat = np.concatenate([np.array(e.ids, np.uint32) for e in got])
             done = np.cumsum(n_bytes[flat])
             ends = np.cumsum([len(w.encode()) for w in words])

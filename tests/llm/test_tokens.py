@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from chainsift.llm import prefixbpe, wavelet
+from chainsift.llm import prefixbpe, pretokens, wavelet
+from chainsift.llm.common import distinct
 
 TEXTS = ["", None, "a", " ", "  ", "\n\n a", "it's  'tis 're'll we'll''s x's's", "I'M'd 'd", "  \t\n x", "a<|endoftext|>b <|endoftext|>", "日本語 テスト 🎉 x",
          "\u00a0 a\u00a0b", "\x1c a", "é'sé ²½ 12a3", "'", "''s", " 's", "\n's", "x 'll", "end  ", "\r\n\r\nx", "ǅ ɏ", "a'", "word " * 3000]
@@ -93,3 +94,28 @@ def test_new_pretokens_cost_no_object_each(vocabulary, monkeypatch):
     assert max(calls) > 2 * wavelet.BATCH_WORDS
     ids, sizes = encode(["a", " thereabouts", "é!"])
     assert len(ids) == sum(sizes) and list(sizes) == [len(library(vocabulary).encode(w, add_special_tokens=False).ids) for w in ("a", " thereabouts", "é!")]
+
+
+def test_cache_asks_once_for_each_pre_token():
+    """Half a million pre-tokens are remembered; met again, they are not encoded again."""
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return [len(w) for w in words for _ in range(2)], [2] * len(words)
+
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(5))
+    cache, texts = pretokens.WordCache(encode), [" ".join(map(name, range(a, a + 50_000))) for a in range(0, 500_000, 50_000)]
+    first = [cache.ids([t])[0] for t in texts]
+    n = len(asked)
+    assert n == len(set(asked)) >= 500_000
+    for t, ids in zip(texts[::-1], first[::-1]):
+        assert np.array_equal(cache.ids([t, t])[0], np.concatenate([ids, ids]))
+    assert len(asked) == n and np.array_equal(first[0][:4], [5, 5, 6, 6])
+
+
+def test_distinct_hashes_that_agree_in_their_upper_bits():
+    rng = np.random.default_rng(3)
+    for value in (rng.integers(0, 1 << 64, 5000, np.uint64), rng.integers(0, 40, 5000).astype(np.uint64), (rng.integers(0, 50, 5000).astype(np.uint64) << np.uint64(40)) + np.uint64(7), np.zeros(0, np.uint64)):
+        for got, want in zip(distinct(value), np.unique(value, return_index=True, return_inverse=True)):
+            assert np.array_equal(got, want)
