@@ -79,19 +79,21 @@ def stable_order(key: np.ndarray) -> np.ndarray:
 
 
 def distinct(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``np.unique`` of hashes with first places and inverse, by the plain sort of their upper bits and their places.
+    """``np.unique`` of 64-bit numbers from 0 on with first places and inverse, by one plain sort of numbers and places.
 
-    Where different hashes agree in the upper bits, the slower exact way is taken.
+    Hashes leave no room for the places: these take the lower bits, and where
+    different hashes agree in the upper ones, the slower way is taken.
     """
-    n = len(value)
-    value = value.astype(np.uint64, copy=False)
-    place = np.uint64((1 << max(1, int(n - 1).bit_length())) - 1)
-    both = np.sort((value & ~place) | np.arange(n, dtype=np.uint64))
-    order = (both & place).astype(np.int64)
+    n, value = len(value), value.astype(np.uint64, copy=False)
+    bits = max(1, int(n - 1).bit_length())
+    place = np.uint64((1 << bits) - 1)
+    key = value << np.uint64(bits) if n and int(value.max()).bit_length() + bits <= 64 else value & ~place
+    both = np.sort(key | np.arange(n, dtype=np.uint64))
+    order = (both & place).view(np.int64)
     ranked = value[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
-    if n and np.count_nonzero(new[1:]) != np.count_nonzero((both[1:] ^ both[:-1]) > place):
+    if np.count_nonzero(new[1:]) != np.count_nonzero((both[1:] ^ both[:-1]) > place):
         return np.unique(value, return_index=True, return_inverse=True)
     first = np.flatnonzero(new)
     inverse = np.empty(n, np.int64)
@@ -105,6 +107,13 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * inv[start] + mix((end - start).astype(np.uint64)))
 
 
+def window_hash(prefix: np.ndarray, size: int) -> np.ndarray:
+    """``span_hash`` of every ``size`` consecutive entries."""
+    n = max(0, len(prefix) - size)
+    _, inv = _powers(len(prefix))
+    return mix((prefix[size:] - prefix[:n]) * inv[:n] + mix(np.array([size], np.uint64)))
+
+
 def flat_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column without copying; null is the empty text."""
     import pyarrow as pa
@@ -128,14 +137,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words(raw: np.ndarray, off: np.ndarray):
-    """Words of many texts at once: (hash, start, end, first word of each text).
-
-    A-Z is lower-cased; a word is a run without the six separators. ``first``
-    has one more entry than there are texts, so text t owns words
-    ``first[t]:first[t + 1]``.
-    """
-    low = _LOWER[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each text) of the words of many texts; see ``words``."""
     solid = ~_SPACE[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True  # a text border splits a word
@@ -147,8 +150,18 @@ def words(raw: np.ndarray, off: np.ndarray):
     if len(raw):
         end[:-1] &= ~solid[1:] | edge[1:-1]
     ends = np.flatnonzero(end) + 1
-    first = np.searchsorted(starts, off)
-    return span_hash(prefix_hash(low), starts, ends), starts, ends, first
+    return starts, ends, np.searchsorted(starts, off)
+
+
+def words(raw: np.ndarray, off: np.ndarray):
+    """Words of many texts at once: (hash, start, end, first word of each text).
+
+    A-Z is lower-cased; a word is a run without the six separators. ``first``
+    has one more entry than there are texts, so text t owns words
+    ``first[t]:first[t + 1]``.
+    """
+    starts, ends, first = word_spans(raw, off)
+    return span_hash(prefix_hash(_LOWER[raw]), starts, ends), starts, ends, first
 
 
 def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:

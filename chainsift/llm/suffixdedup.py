@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainsift.llm.common import _CODE, _LOWER, _SPACE, batches, flat_bytes, mix, prefix_hash, prefix_sums, release, span_hash, stable_order, stored, words
+from chainsift.llm.common import _CODE, _LOWER, _SPACE, batches, distinct, flat_bytes, mix, prefix_hash, prefix_sums, release, span_hash, stable_order, stored, window_hash, word_spans
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,15 @@ _EDGE[list(string.punctuation.encode())] = True
 
 def word_places(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each text) of words as in ``common.words``, without ASCII punctuation at their edges."""
-    _, start, end, first = words(raw, off)
-    inner = np.append(np.flatnonzero(~_EDGE[raw]), len(raw))
-    begin = np.minimum(inner[np.searchsorted(inner, start)], end)
-    before = np.searchsorted(inner, end) - 1
-    stop = np.where(before >= 0, inner[before] + 1, 0)
+    start, end, first = word_spans(raw, off)
+    plain = ~_EDGE[raw]
+    begin, stop = start.copy(), end.copy()
+    # Only words with punctuation at that edge look for their inner places.
+    if len(start) and len(at := np.flatnonzero(~plain[start] | ~plain[end - 1])):
+        inner = np.append(np.flatnonzero(plain), len(raw))
+        begin[at] = np.minimum(inner[np.searchsorted(inner, start[at])], end[at])
+        before = np.searchsorted(inner, end[at]) - 1
+        stop[at] = np.where(before >= 0, inner[before] + 1, 0)
     return begin, np.maximum(stop, begin), first
 
 
@@ -118,21 +122,22 @@ def segments(value: np.ndarray, off: np.ndarray, reading: Reading = BYTES):
     if n <= 0:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
     prefix = prefix_sums(value)
-    at = np.arange(len(value) - gram_size + 1)
-    gram = span_hash(prefix, at, at + gram_size)
-    bits = max(1, int(len(at) - 1).bit_length())
+    gram = window_hash(prefix, gram_size)
+    bits = max(1, int(len(gram) - 1).bit_length())
     place = np.uint64((1 << bits) - 1)
-    least = window_minimum((gram & ~place) | at.astype(np.uint64), window - gram_size + 1) & place  # ties: the first place
-    text = np.searchsorted(off, np.arange(n), side="right") - 1
-    inside = np.arange(n) + window <= off[text + 1]
+    least = window_minimum((gram & ~place) | np.arange(len(gram), dtype=np.uint64), window - gram_size + 1) & place  # ties: the first place
+    # Segments end where the anchor changes, where a text starts, and after its last whole window.
     new = np.ones(n, bool)
-    new[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1])
+    new[1:] = least[1:] != least[:-1]
+    edge = np.concatenate([off, off[1:] - window + 1])
+    new[edge[(edge >= 0) & (edge < n)]] = True
     start = np.flatnonzero(new)
     end = np.append(start[1:], n)
-    keep = inside[start]
-    start, end = start[keep], end[keep]
+    text = np.searchsorted(off, start, side="right") - 1
+    keep = start + window <= off[text + 1]
+    text, start, end = text[keep], start[keep], end[keep]
     length = end - start + window - 1
-    return text[start], start, length, gram[least[start].astype(np.int64)], span_hash(prefix, start, start + length)
+    return text, start, length, gram[least[start].astype(np.int64)], span_hash(prefix, start, start + length)
 
 
 def suffix_order(symbol: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
@@ -141,14 +146,15 @@ def suffix_order(symbol: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray
     ``symbol[i]`` is 0 at the end of a string; ``left[i]`` counts the symbols
     from i to that end. Strings lie one after the other.
     """
-    rank, k = symbol.astype(np.int64), 1
-    while k < depth:
-        beyond = np.zeros(len(rank), np.int64)
-        on = np.flatnonzero(left >= k)
-        beyond[on] = rank[on + k]
-        rank = np.unique(rank * (int(rank.max()) + 1) + beyond, return_inverse=True)[1]
-        k *= 2
-    return stable_order(rank)
+    rank, k = symbol, 1
+    while True:
+        both = rank.astype(np.int64)
+        if k < depth:
+            both *= int(rank.max()) + 1
+            both[:-k] += np.where(left[:-k] >= k, rank[k:], 0)  # strings lie in order: k symbols on is k places on
+        if 2 * k >= depth:
+            return stable_order(both)
+        rank, k = distinct(both)[2], 2 * k
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,17 +166,20 @@ def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndar
     different. Returns (index into the concatenated transforms, class).
     """
     whole = np.concatenate(transforms)
+    begin = np.cumsum([0, *(len(t) for t in transforms)])
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    group = np.zeros(len(whole), np.int64)
-    index = np.arange(len(whole))
+    group = np.zeros(len(whole), np.int32)
+    index = np.arange(len(whole), dtype=np.int32)
     for _ in range(depth):
         symbol = whole[index]
         deal = stable_order(symbol)
         shard, group, symbol = shard[deal], group[deal], symbol[deal]
-        new = np.ones(len(whole), bool)
-        new[1:] = (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1]) | (symbol[1:] == 0)
-        group = np.cumsum(new)
-        index[np.argsort(shard, kind="stable")] = np.arange(len(whole))
+        new = symbol == 0
+        new[:1] = True
+        new[1:] |= (symbol[1:] != symbol[:-1]) | (group[1:] != group[:-1])
+        np.cumsum(new, out=group)
+        for k in range(len(transforms)):
+            index[np.flatnonzero(shard == k)] = np.arange(begin[k], begin[k + 1], dtype=np.int32)
     return index, group
 
 
@@ -188,34 +197,34 @@ def repeated_windows(parts: list[bytes], reading: Reading = BYTES) -> list[np.nd
     value = np.concatenate([x for v in values for x in (v, gap)])
     off = np.concatenate([[0], np.cumsum(size + 1)])
     prefix = prefix_sums(value)
-    owner = np.repeat(np.arange(len(parts)), size + 1)
-    place = np.arange(len(value)) - off[owner]
-    whole = place + stride <= size[owner]  # a symbol fits; elsewhere a string ends
-    code = np.zeros(len(value), np.int64)
-    at = np.flatnonzero(whole)
-    code[at] = np.unique(span_hash(prefix, at, at + stride), return_inverse=True)[1] + 1
+    place = np.arange(len(value), dtype=np.int32) - np.repeat(off[:-1].astype(np.int32), size + 1)
+    left = np.repeat(size.astype(np.int32), size + 1) - place  # elements up to the segment's end
+    at = np.flatnonzero(left >= stride)  # a symbol fits; elsewhere a string ends
+    code = np.zeros(len(value), np.int32)
+    code[at] = distinct(window_hash(prefix, stride)[at])[2] + 1
     # Strings one after the other: by segment, then by phase; the last place of each is its end.
-    order = stable_order(owner * stride + place % stride)
-    code, place, owner = code[order], place[order], owner[order]
-    left = (size[owner] - place) // stride
+    string = np.repeat(np.arange(len(parts)) * stride, size + 1) + (place - place // stride * stride)
+    order = stable_order(string)
+    code, left, first = code[order], (left // stride)[order], (place < stride)[order]
     shards = min(SHARDS, len(parts))
     bound = np.searchsorted(off[:-1], np.linspace(0, len(value), shards + 1)[1:-1])
-    cut = [0, *np.searchsorted(owner, bound).tolist(), len(value)]
+    cut = [0, *off[bound].tolist(), len(value)]
     transforms, suffixes = [], []
     for a, b in zip(cut[:-1], cut[1:]):
         if a == b:
             continue
-        order = suffix_order(code[a:b], left[a:b], window // stride)
-        before = np.zeros(b - a, np.int64)
+        own = suffix_order(code[a:b], left[a:b], window // stride)
+        before = np.zeros(b - a, np.int32)
         before[1:] = code[a: b - 1]
-        before[place[a:b] < stride] = 0  # the first place of a string
-        transforms.append(before[order])
-        suffixes.append(order + a)
+        before[first[a:b]] = 0  # the first place of a string
+        transforms.append(before[own])
+        suffixes.append(order[own + a])
     index, group = merge(transforms, window // stride)
-    many = np.bincount(group)[group] >= 2
-    hit = np.concatenate(suffixes)[index[many]]
+    many, same = np.zeros(len(group), bool), group[1:] == group[:-1]
+    many[1:] = same
+    many[:-1] |= same
     flag = np.zeros(len(value), bool)
-    flag[off[owner[hit]] + place[hit]] = True
+    flag[np.concatenate(suffixes)[index[np.flatnonzero(many)]]] = True
     return [flag[a: b - window] for a, b in zip(off[:-1], off[1:])]
 
 

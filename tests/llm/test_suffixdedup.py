@@ -79,3 +79,21 @@ def test_repeated_rows_and_empty_table(spark, docs_df, prose):
     got = S.mark(docs_df([(1, t), (1, t), (None, t), (2, prose(200))])).collect()
     assert sorted(len(r.kept) == 0 for r in got) == [False, True, True, True]
     assert S.mark(docs_df([])).count() == 0
+
+
+def test_hash_of_every_window_and_edges_of_segments():
+    """``window_hash`` names windows as ``span_hash`` does; segments stay inside their texts, those too short for a window included."""
+    from chainsift.llm import common
+
+    rng = np.random.default_rng(5)
+    size = [0, 3, 30, 0, 7, 8, 100, 1, 0]
+    off = np.concatenate([[0], np.cumsum(size)])
+    value = common._CODE[rng.integers(97, 99, off[-1])]
+    prefix = common.prefix_sums(value)
+    for w in (1, 8, len(value), len(value) + 1):
+        at = np.arange(max(0, len(value) - w + 1))
+        assert np.array_equal(common.window_hash(prefix, w), common.span_hash(prefix, at, at + w))
+    text, start, length, _, _ = S.segments(value, off, S.Reading(8, 2, 3))
+    assert (start >= off[text]).all() and (start + length <= off[text + 1]).all()
+    windows = sorted(k for a, n in zip(start.tolist(), length.tolist()) for k in range(a, a + n - 7))
+    assert windows == [k for a, n in zip(off.tolist(), size) for k in range(a, a + n - 7)]
