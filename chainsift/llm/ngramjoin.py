@@ -32,6 +32,9 @@ EXTRA = 20
 #: larger clusters are cut and joined over blocks of so many classes or bytes.
 CLUSTER, CLUSTER_BYTES = 4000, 96 << 20
 QUERY_BLOCK, QUERY_BYTES = 1024, 32 << 20
+#: A cluster that is too large is split by its pairs' common first shingles. Lists up to these lengths give all their pairs,
+#: one length after the other as long as clusters are too large; classes in longer ones are held together by their neighbours.
+PAIR_LISTS = (16, 64, 256)
 #: Lists about this long are merged and probed half and half.
 MERGE = 4
 #: Candidates up to this number are broadcast (16 bytes each) to pick their texts; more are joined by shuffle.
@@ -395,6 +398,46 @@ def _join_blocks(big: DataFrame, links: DataFrame) -> DataFrame:
         asked = stored(asked.union(spark.createDataFrame([(c,) for c in chosen], "c long")), "asked")
 
 
+def _chained(postings: DataFrame, *keys: str) -> DataFrame:
+    """(c, c0): classes next to each other by size in a list (``keys``), if their sizes can link at all."""
+    near = Window.partitionBy(*keys).orderBy("n", "c")
+    return (
+        postings.select("n", "c", F.lag("c").over(near).alias("c0"), F.lag("n").over(near).alias("n0"))
+        .where(F.lit(SIMILAR[1]) * F.col("n0") >= F.lit(SIMILAR[0]) * F.col("n"))
+        .select("c", "c0").distinct()
+    )
+
+
+def _parts():
+    """Tasks' worth of a cluster's classes and sets (aggregate over n)."""
+    return F.greatest(F.count("*") / CLUSTER, F.sum("n") * 8 / CLUSTER_BYTES)
+
+
+def _split(postings: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """``classes`` (doc_id, c, cluster, n) in the smaller clusters that their possible links hold together; classes without one go.
+
+    Sets of n shingles or more link only if they have 1 + n / EXTRA first
+    shingles in common. These are counted for every pair that meets in a list
+    of at most ``most`` classes of its cluster; of the longer lists a pair may
+    share as many as its class with fewer of them has. Pairs that meet in
+    longer lists only have enough of them each, and are held together there by
+    the classes between them.
+    """
+    own = postings.join(classes.select("c", "cluster"), "c")
+    sizes = own.groupBy("cluster", "h").agg(F.count("*").alias("size")).where("size > 1")
+    lists = stored(own.join(sizes, ["cluster", "h"]), "lists")
+    late = lists.where(F.col("size") > most).groupBy("c").agg(F.count("*").alias("late"))
+    lists = stored(lists.join(late, "c", "left").fillna(0, ["late"]), "lists")
+    x, y = (lists.where(F.col("size") <= most).select("cluster", "h", *[F.col(k).alias(k + end) for k in ("c", "n", "late")]) for end in "xy")
+    after = (F.col("ny") > F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("cy") > F.col("cx")))
+    met = x.join(y, ["cluster", "h"]).where(after & (F.lit(SIMILAR[1]) * F.col("nx") >= F.lit(SIMILAR[0]) * F.col("ny")))
+    common = met.groupBy("cx", "cy", "nx", "latex", "latey").agg(F.count("*").alias("k"))
+    pairs = common.where(F.col("k") + F.least("latex", "latey") >= 1 + F.floor(F.col("nx") / EXTRA)).select(F.col("cx").alias("c"), F.col("cy").alias("c0"))
+    chains = _chained(lists.where((F.col("size") > most) & (F.col("late") >= enough(F.col("n")))), "cluster", "h")
+    smaller = components(pairs.union(chains), "c", "c0").select(F.col("id").alias("c"), F.col("component").alias("cluster"))
+    return classes.drop("cluster").join(smaller, "c").select(*classes.columns)
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (doc_id, text).
 
@@ -413,18 +456,19 @@ def join(docs: DataFrame) -> DataFrame:
     strong = postings.groupBy("c").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough(F.col("n"))).select("c")
     strong = stored(strong, "strong")
     # Classes next to each other by size in a list, if their sizes can link at all, hold a cluster together.
-    near = Window.partitionBy("h").orderBy("n", "c")
-    pairs = (
-        postings.join(strong, "c", "left_semi")
-        .select("h", "c", "n", F.lag("c").over(near).alias("c0"), F.lag("n").over(near).alias("n0"))
-        .where(F.lit(SIMILAR[1]) * F.col("n0") >= F.lit(SIMILAR[0]) * F.col("n"))
-        .select("c", "c0").distinct()
-    )
+    pairs = _chained(postings.join(strong, "c", "left_semi"), "h")
     clusters = stored(components(pairs, "c", "c0").select(F.col("id").alias("c"), F.col("component").alias("cluster")), "clusters")
     # One text of every candidate class; what is known of the class rides along, so that the sets move once.
     classes = sets.join(clusters, "c").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("cluster").alias("cluster"), F.first("n_shingles").alias("n")).where("doc_id is not null")
     classes = stored(classes, "candidate_classes")
-    part = F.greatest(F.count("*") / CLUSTER, F.sum("n") * 8 / CLUSTER_BYTES)
+    for most in PAIR_LISTS:
+        large = stored(classes.groupBy("cluster").agg(_parts().alias("parts")).where("parts > 1").select("cluster"), "large")
+        if not large.limit(1).count():
+            break
+        kept = classes.join(F.broadcast(large), "cluster", "left_anti").select(*classes.columns)
+        smaller = _split(postings, stored(classes.join(F.broadcast(large), "cluster", "left_semi").select(*classes.columns), "large_classes"), most)
+        classes = stored(kept.union(smaller), "candidate_classes")
+    part = _parts()
     sizes = classes.groupBy("cluster").agg(F.when(part <= 1, 1).otherwise(F.ceil(2 * part)).cast("long").alias("pieces"))
     classes = stored(classes.drop("n").join(sizes, "cluster"), "classes")
     rows = stored(_fetch(docs, F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes), "candidates")

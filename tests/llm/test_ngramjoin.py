@@ -123,3 +123,35 @@ def test_many_long_near_copies_are_cut_by_bytes(spark, docs_df, prose, monkeypat
     got = {r.doc_id: r.component_id for r in J.join(docs_df(rows)).collect()}
     assert got == {**dict.fromkeys(range(1200), 0), 5000: 5000, 5001: 5001}
     assert 3 < len(sizes) and max(sizes) < 4 << 20 < sum(sizes)
+
+
+def chance_meetings(prose):
+    """Texts that share a short passage with each of many others, too little to link, and a few copies that do link."""
+    rng, texts, met = prose.rng, [[] for _ in range(60)], set()
+    while len(met) < 360:
+        a, b = rng.sample(range(60), 2)
+        if (min(a, b), max(a, b)) not in met:
+            met.add((min(a, b), max(a, b)))
+            passage = prose(8)
+            texts[a].append(passage)
+            texts[b].append(passage)
+    rows = [" ".join(t) for t in texts]
+    return list(enumerate(rows + [rows[0] + " more", rows[7] + " of", "an " + rows[7]]))
+
+
+def test_chance_meetings_do_not_make_a_large_cluster(spark, docs_df, prose, monkeypatch):
+    rows = chance_meetings(prose)
+    monkeypatch.setattr(J, "CLUSTER", 10)
+    monkeypatch.setattr(J, "_join_blocks", lambda *a: pytest.fail("searched in rounds"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs_df(rows)).collect()}
+    assert got == brute(rows) and len({c for _, c in got.values()}) == 60
+
+
+def test_split_clusters_keep_all_links(spark, docs_df, prose, monkeypatch):
+    """Lists of more than two classes count as long ones here."""
+    monkeypatch.setattr(J, "CLUSTER", 10)
+    monkeypatch.setattr(J, "PAIR_LISTS", (2,))
+    common = prose(60)
+    rows = chance_meetings(prose) + [(1000 + k, common + " " + prose(k)) for k in (1, 2, 3, 4, 90, 95)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs_df(rows)).collect()}
+    assert got == brute(rows)
